@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_duplicates
+from .near_dedup import near_duplicates
+
+
+def op2_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op6_exact_dedup(spark, sf_dir):
@@ -11,6 +16,7 @@ def op6_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
