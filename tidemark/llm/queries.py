@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from .common import table
+from pyspark.sql import functions as F
+
+from .common import fold, table
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
+from .toxicity import toxicity
 
 
 def op2_near_dedup(spark, sf_dir):
@@ -15,9 +18,16 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity(docs, labels.where(fold("doc_id", 5) != 0))
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {

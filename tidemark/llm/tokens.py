@@ -15,6 +15,8 @@ BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything of ASCII but letters and digits, for words without their punctuation.
+LOOSE = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _TABLES: dict = {}
 
 
@@ -62,12 +64,12 @@ def blocks(offsets: np.ndarray, size: int = BLOCK):
         i = min(j, n)
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte spans of the words; a word ends where its text ends."""
+def word_spans(data: np.ndarray, bounds: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Byte spans of the words; a word ends where its text ends. gaps: the bytes between words."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = ~_SPACE[data]
+    word = ~gaps[data]
     cut = np.zeros(n + 1, bool)
     cut[bounds] = True
     before = np.empty(n, bool)
@@ -77,9 +79,14 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(word & (before | cut[:-1])), np.flatnonzero(word & (after | cut[1:])) + 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte spans in order of their starts; long inputs are hashed piece by piece."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, heads: tuple[int, ...] = ()) -> np.ndarray:
+    """Hashes of byte spans in order of their starts; long inputs are hashed piece by piece.
+
+    heads: with lengths given, there is a further row for each with the hashes of the spans' first so
+    many bytes (0 where a span has no more than that).
+    """
     out = np.empty(len(starts), np.uint64)
+    more = np.zeros((len(heads), len(starts)), np.uint64)
     i = 0
     while i < len(starts):
         low = starts[i]
@@ -88,9 +95,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         up, down = _powers(high - low)
         sums = np.zeros(high - low + 1, np.uint64)
         np.cumsum(_BYTE[data[low:high]] * up[: high - low], out=sums[1:])
-        out[i:j] = mix((sums[ends[i:j] - low] - sums[starts[i:j] - low]) * down[starts[i:j] - low])
+        a, b = starts[i:j] - low, ends[i:j] - low
+        out[i:j] = mix((sums[b] - sums[a]) * down[a])
+        for row, n in zip(more, heads, strict=True):
+            long = b - a > n
+            at = a[long]
+            part = np.zeros(j - i, np.uint64)
+            part[long] = mix((sums[at + n] - sums[at]) * down[at] + np.uint64(n))
+            row[i:j] = part
         i = j
-    return out
+    return np.vstack([out, more]) if heads else out
 
 
 def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
