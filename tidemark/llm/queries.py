@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from .common import fold, table
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
+from .secrets import KINDS as SECRET_KINDS
+from .secrets import secret_spans
 from .toxicity import toxicity
 
 
@@ -18,6 +20,21 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def spans_text(spans):
+    """Spans as kind:start:end, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def counted(spans, kind):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op7_secret_scan(spark, sf_dir):
+    found, spans = secret_spans(table(spark, sf_dir, "documents")), F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*SECRET_KINDS))
+    return found.select("doc_id", *(counted(spans, k) for k in SECRET_KINDS), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(spans).alias("spans"))
+
+
 def op10_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = toxicity(docs, labels.where(fold("doc_id", 5) != 0))
@@ -27,6 +44,7 @@ def op10_toxicity(spark, sf_dir):
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op10_toxicity": op10_toxicity,
 }
 
