@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .common import fold, table
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
+from .packing import best_fit
 from .secrets import KINDS as SECRET_KINDS
 from .secrets import secret_spans
 from .toxicity import toxicity
@@ -16,6 +17,10 @@ def op2_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark, sf_dir):
+    return best_fit(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op10_toxicity(spark, sf_dir):
 
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op10_toxicity": op10_toxicity,
