@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, table
 from .exact_dedup import exact_duplicates
+from .html_text import main_text
 from .near_dedup import near_duplicates
 from .packing import best_fit
 from .secrets import KINDS as SECRET_KINDS
@@ -40,6 +41,10 @@ def op7_secret_scan(spark, sf_dir):
     return found.select("doc_id", *(counted(spans, k) for k in SECRET_KINDS), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(spans).alias("spans"))
 
 
+def op9_main_text(spark, sf_dir):
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = toxicity(docs, labels.where(fold("doc_id", 5) != 0))
@@ -51,6 +56,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op9_main_text": op9_main_text,
     "op10_toxicity": op10_toxicity,
 }
 
