@@ -6,14 +6,27 @@ from pyspark.sql import functions as F
 
 from .common import fold, table
 from .exact_dedup import exact_duplicates
+from .fingerprints import fingerprints_with_next
 from .html_text import main_text
 from .near_dedup import near_duplicates
 from .packing import best_fit
+from .pii import KINDS as PII_KINDS
+from .pii import personal_data
 from .secrets import KINDS as SECRET_KINDS
 from .secrets import secret_spans
 from .toxicity import toxicity
 
 
+def op1_personal_data(spark, sf_dir):
+    found, spans = personal_data(table(spark, sf_dir, "documents")), F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*PII_KINDS))
+    return found.select("doc_id", *(counted(spans, k) for k in PII_KINDS), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(spans).alias("spans"))
+
+
+def op3_fingerprints(spark, sf_dir):
+    return fingerprints_with_next(table(spark, sf_dir, "documents"))
+
+
 def op2_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,6 +65,8 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_personal_data": op1_personal_data,
+    "op3_fingerprints": op3_fingerprints,
     "op2_near_dedup": op2_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_exact_dedup": op6_exact_dedup,
