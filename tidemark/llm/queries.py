@@ -12,6 +12,7 @@ from .near_dedup import near_duplicates
 from .packing import best_fit
 from .pii import KINDS as PII_KINDS
 from .pii import personal_data
+from .quality import quality
 from .secrets import KINDS as SECRET_KINDS
 from .secrets import secret_spans
 from .toxicity import toxicity
@@ -35,6 +36,12 @@ def op4_best_fit_packing(spark, sf_dir):
     return best_fit(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality(docs, labels.where(fold("doc_id", 3) != 1))
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -69,6 +76,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op2_near_dedup": op2_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op9_main_text": op9_main_text,
