@@ -15,6 +15,7 @@ from .pii import personal_data
 from .quality import quality
 from .secrets import KINDS as SECRET_KINDS
 from .secrets import secret_spans
+from .segmentations import sampled_segmentations
 from .toxicity import toxicity
 
 
@@ -61,6 +62,10 @@ def op7_secret_scan(spark, sf_dir):
     return found.select("doc_id", *(counted(spans, k) for k in SECRET_KINDS), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(spans).alias("spans"))
 
 
+def op8_sampled_segmentations(spark, sf_dir):
+    return sampled_segmentations(table(spark, sf_dir, "conversations"), ("conv_id", "turn"))
+
+
 def op9_main_text(spark, sf_dir):
     return main_text(table(spark, sf_dir, "pages"))
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op8_sampled_segmentations": op8_sampled_segmentations,
     "op9_main_text": op9_main_text,
     "op10_toxicity": op10_toxicity,
 }
