@@ -1,10 +1,11 @@
-"""Queries over the reference tables and the SQL that must return the same rows."""
+"""All queries over the reference tables and their oracle SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from .plans import decision, evaluation, ingest, learning, panel, series, visibility  # noqa: F401  they register themselves
+from .registry import ORACLES, QUERIES
+
+FLAGSHIP = "q_signal_panel"
 
 
 def queries() -> dict:
