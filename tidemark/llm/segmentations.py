@@ -265,7 +265,7 @@ def sampled_segmentations(docs: DataFrame, keys: tuple[str, ...], text: str = "t
 def decoded(encoded: DataFrame, pieces: str = "pieces", text: str = "text", model: str = MODEL) -> DataFrame:
     """The rows with the text of their pieces in a new column; null pieces make a null text."""
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(model))
-    schema = encoded.drop(text).withColumn(text, F.lit("")).schema
+    schema = encoded.drop(text).withColumn(text, F.lit(None).cast("string")).schema
     kept = [c for c in encoded.columns if c != text]
 
     def decode(batches):

@@ -195,8 +195,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     labels: (key, label) rows to learn from; rows with a null key or label are left out, and of a key's
     conflicting labels 1 counts. At most `examples` labelled documents are used. Null texts are empty; a
-    text with none of the terms scores as such examples do, and with no labels at all every score is
-    1/2's half (0.25). Other columns, clashing names too, are ignored.
+    text with none of the terms scores as such examples do, and with no labels at all every score is 0.25. Other columns, clashing names too, are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("__id"), whole_text(text).alias("__text"))
