@@ -144,5 +144,5 @@ def alert_states(df: DataFrame, keys: list[str], order: str, value: str, history
             states.append(state), bases.append(base)
         return site.assign(state=states, baseline=pd.Series(bases, index=site.index, dtype=float))
 
-    schema = df.withColumn("state", F.lit("")).withColumn("baseline", F.lit(0.0).cast("double")).schema
+    schema = df.withColumn("state", F.lit("")).withColumn("baseline", F.lit(None).cast("double")).schema
     return df.groupBy(*keys).applyInPandas(run, schema)

@@ -1 +1,81 @@
-"""."""
+"""Ingestion: parsing, unpivoting, upserts and validation over the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import sources
+from ..functions import code, number_from_text, r, slug, week_from_label
+from ..registry import query
+from .inputs import table
+
+
+@query("q_json_props", "SELECT event_type AS source, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY ALL")
+def json_props(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.from_json("props", "k bigint").k.alias("k"))
+    return e.groupBy("source", "k").agg(F.count("*").alias("n"))
+
+
+@query(
+    "q_unpivot",
+    "SELECT l_returnflag AS flag, name, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT l_returnflag, unnest(['quantity', 'discount', 'tax']) AS name, unnest([l_quantity, l_discount, l_tax]) AS value FROM lineitem) GROUP BY ALL",
+)
+def unpivot(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
+    return li.unpivot(["flag"], ["quantity", "discount", "tax"], "name", "value").groupBy("flag", "name").agg(F.count("*").alias("n"), r(F.sum("value"), 2).alias("total"))
+
+
+@query("q_week_labels", "SELECT strftime(o_orderdate, '%G_%V') AS label, CAST(min(CAST(date_trunc('week', o_orderdate) AS DATE)) AS VARCHAR) AS monday, count(*) AS n FROM orders GROUP BY 1")
+def week_labels(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    label = F.concat_ws("_", F.expr("extract(YEAROFWEEK FROM o_orderdate)").cast("string"), F.lpad(F.weekofyear("o_orderdate").cast("string"), 2, "0"))
+    g = o.groupBy(label.alias("label")).agg(F.count("*").alias("n"))
+    return g.select("label", week_from_label(F.col("label")).cast("string").alias("monday"), "n")
+
+
+@query("q_locale_numbers", "SELECT o_orderkey, round(o_totalprice, 2) AS value FROM orders WHERE o_orderkey % 50 = 0")
+def locale_numbers(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+    english = F.format_number("o_totalprice", 2)
+    german = F.translate(english, ",.", ".,")
+    text = F.when(F.col("o_orderkey") % 100 == 0, german).otherwise(english)
+    return o.select("o_orderkey", r(number_from_text(text), 2).alias("value"))
+
+
+@query("q_codes_and_slugs", "SELECT n_nationkey, right('00000' || n_nationkey, 5) AS code, trim(regexp_replace(lower(trim(n_name)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM nation")
+def codes(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", code(F.concat("n_nationkey", F.lit(".0")), 5).alias("code"), slug(F.col("n_name")).alias("slug"))
+
+
+@query(
+    "q_upsert",
+    """WITH o AS (SELECT c_custkey AS k, c_acctbal AS v, 20 AS seen FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal * 2 END AS v, 10 + CAST(c_custkey % 20 AS INTEGER) AS seen FROM customer WHERE c_custkey % 2 = 0)
+       SELECT coalesce(o.k, n.k) AS k, round(coalesce(n.v, o.v), 4) AS v, least(o.seen, n.seen) AS seen FROM o FULL JOIN n ON o.k = n.k""",
+)
+def upsert(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    old = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.lit(20).alias("seen"))
+    new = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal") * 2).alias("v"), (10 + F.col("c_custkey") % 20).cast("int").alias("seen"))
+    return sources.upsert(old, new, ["k"], earliest=["seen"]).select("k", r(F.col("v"), 4).alias("v"), "seen")
+
+
+@query(
+    "q_validation_issues",
+    "SELECT concat_ws('|', CASE WHEN NOT o_totalprice < 400000 THEN 'too_large' END, CASE WHEN NOT o_orderstatus IN ('O', 'F') THEN 'status' END, CASE WHEN NOT o_orderpriority <> '5-LOW' THEN 'priority' END) AS codes, count(*) AS n FROM orders GROUP BY 1",
+)
+def validation(spark, sf_dir):
+    rules = {"too_large": F.col("o_totalprice") < 400000, "status": F.col("o_orderstatus").isin("O", "F"), "priority": F.col("o_orderpriority") != "5-LOW"}
+    return sources.issues(table(spark, sf_dir, "orders"), rules).groupBy(F.array_join("issues", "|").alias("codes")).agg(F.count("*").alias("n"))
+
+
+@query("q_repeat_flags", "SELECT repeated, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts, event_id) > 1 AS repeated FROM events) GROUP BY 1")
+def repeats(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return sources.flag_repeats(e, ["user_id", "event_type", "day"], ["ts", "event_id"]).groupBy("repeated").agg(F.count("*").alias("n"))
+
+
+@query("q_missing_targets", "SELECT CAST(d AS VARCHAR) AS day FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1995-12-31', INTERVAL 1 DAY)) AS DATE) AS d) EXCEPT SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) FROM orders WHERE o_orderkey % 29 = 0")
+def missing_targets(spark, sf_dir):
+    days = spark.range(1).select(F.explode(F.sequence(F.lit("1995-01-01").cast("date"), F.lit("1995-12-31").cast("date"))).alias("day")).select(F.col("day").cast("string").alias("day"))
+    have = table(spark, sf_dir, "orders").where("o_orderkey % 29 = 0").select(F.to_date("o_orderdate").cast("string").alias("day"))
+    return days.join(have, "day", "left_anti")

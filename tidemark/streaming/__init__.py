@@ -1 +1,51 @@
+"""Structured Streaming forms of the windowed and stateful operators. Each takes a streaming or a batch table."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+
+
+def stream(spark: SparkSession, folder: str, schema: StructType, files: int = 1) -> DataFrame:
+    """Parquet files of a folder as they come, so many a batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def windowed(df: DataFrame, keys: list[str], at: str, value: str, width: str, slide: str | None = None, late: str = "2 days") -> DataFrame:
+    """Count, mean and total per key and time window; rows later than the watermark are dropped."""
+    window = F.window(at, width, slide) if slide else F.window(at, width)
+    out = df.withWatermark(at, late).groupBy(*keys, window).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.sum(value).alias("total"))
+    return out.select(*keys, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", "mean", "total")
+
+
+def sessions(df: DataFrame, keys: list[str], at: str, gap: str, late: str = "2 days") -> DataFrame:
+    """Runs of rows at most a gap apart."""
+    out = df.withWatermark(at, late).groupBy(*keys, F.session_window(at, gap).alias("s")).agg(F.count("*").alias("n"))
+    return out.select(*keys, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
+
+
+def first_seen(df: DataFrame, keys: list[str], at: str, late: str = "2 days") -> DataFrame:
+    """Rows without repeats of their key within the watermark."""
+    return df.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+
+
+def alerts(df: DataFrame, key: str, at: str, value: str, rise: float = 2.0, weight: float = 0.2) -> DataFrame:
+    """A state per key: an exponential mean; a row at `rise` times the mean of the rows before it alarms."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mean, seen = state.get if state.exists else (0.0, 0)
+        out = []
+        for row in pd.concat(list(frames)).sort_values(at, kind="stable").itertuples():
+            v = float(getattr(row, value))
+            out.append((name[0], getattr(row, at), v, mean, bool(seen >= 3 and v >= rise * mean)))
+            mean, seen = (v if seen == 0 else (1 - weight) * mean + weight * v), seen + 1
+        state.update((mean, seen))
+        yield pd.DataFrame(out, columns=[key, at, value, "mean", "alarm"])
+
+    return df.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {at} timestamp, {value} double, mean double, alarm boolean", "mean double, seen long", "append", GroupStateTimeout.NoTimeout)
