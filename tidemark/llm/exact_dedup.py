@@ -80,14 +80,16 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", r
 
 def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; of rows that repeat a key and a text, one."""
-    found = cut(exact_duplicates(docs, key, text).where("kept").select(F.col(key).alias("__kept_id"), "text_sha256"))
+    every = cut(exact_duplicates(docs, key, text).select(F.col(key).alias("__kept_id"), "text_sha256", "kept"))
+    found = every.where("kept").select("__kept_id", "text_sha256")
     match = F.col(key).eqNullSafe(F.col("__kept_id"))
-    again = found.groupBy("__kept_id").count().where("count > 1").select("__kept_id")
+    again = every.groupBy("__kept_id").count().where("count > 1").select("__kept_id")
     if again.isEmpty():
         return docs.join(found.select("__kept_id"), match, "left_semi")
+    # keys of several rows are told apart by their texts too; of a key's equal texts the longest stays
     twice = docs.join(again, match, "left_semi").withColumn("__sha", F.sha2(F.translate(whole_text(text), WHITE, ""), 256))
     held = twice.join(found.distinct(), match & (F.col("__sha") == F.col("text_sha256")), "left_semi")
-    # of one key's rows with equal texts, the longest, as the contract has it
     one = held.groupBy(key, "__sha").agg(F.max_by(F.struct(*docs.columns), F.length(whole_text(text))).alias("__row")).select("__row.*")
-    once = found.join(again, "__kept_id", "left_anti").select("__kept_id")
+    other = again.withColumnRenamed("__kept_id", "__again")
+    once = found.join(other, F.col("__kept_id").eqNullSafe(F.col("__again")), "left_anti")
     return docs.join(once, match, "left_semi").unionByName(one.select(docs.columns))

@@ -99,12 +99,13 @@ class Neighbours:
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list, idf: np.ndarray):
         self.idf, entries = idf, {}
         for (at, n), y, i in zip(vectors, labels, ids, strict=True):
-            e = entries.setdefault((at.tobytes(), n.tobytes()), [at, n, 0, 0, i])
+            w = self.vector(at, n)[1] if len(at) else n
+            e = entries.setdefault((at.tobytes(), np.round(w, 12).tobytes()), [at, w, 0, 0, i])
             e[2], e[3] = e[2] + 1, e[3] + int(y)
         self.empty = entries.pop((b"", b""), [0, 0, 0, 0, None])
         self.prior = (labels.sum() + 1) / (len(labels) + 2)
         # entries with the same leading term lie together, so that blocks have tight bounds
-        made = [(*self.vector(e[0], e[1]), *e[2:]) for e in entries.values()]
+        made = [tuple(e) for e in entries.values()]
         made.sort(key=lambda e: (int(e[0][e[1].argmax()]), -float(e[1].max()), e[0].tobytes(), e[1].tobytes()))
         self.n, self.good = np.array([e[2] for e in made], float), np.array([e[3] for e in made], float)
         self.ids = [e[4] for e in made]
