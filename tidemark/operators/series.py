@@ -180,3 +180,60 @@ def lag_distribution(corrs: DataFrame, keys: list[str], sharp: float = 8.0) -> D
     )
 
 
+
+
+def signal_features(df: DataFrame, keys: list[str], day: str, value: str, cutoff: Column, prefix: str) -> DataFrame:
+    """One row per key as of a cutoff: level, lags, trailing means, deviations and ranges, a 28-day z score,
+    change, slopes, acceleration, days since the peak and the age of the last row. Windows are calendar days
+    up to the cutoff; everything comes from one aggregate over the visible rows."""
+    age = F.datediff(cutoff, F.col(day))
+    seen = df.where(F.col(day) <= cutoff).withColumn("__age", age)
+    within = lambda n: F.when(F.col("__age") < n, F.col(value))
+    asof = lambda n: F.max_by(F.when(F.col("__age") >= n, F.col(value)), F.when(F.col("__age") >= n, -F.col("__age")))
+    x = lambda n: F.when(F.col("__age") < n, -F.col("__age").cast("double"))
+    slope = lambda n: F.when(F.var_pop(x(n)) > 0, F.try_divide(F.covar_pop(within(n), x(n)), F.var_pop(x(n))))
+    out = {"level": asof(0), "age_days": F.min("__age")}
+    out |= {f"lag_{n}": asof(n) for n in (1, 3, 7, 14, 21, 28)}
+    for n in (3, 7, 14):
+        out |= {f"mean_{n}": F.avg(within(n)), f"std_{n}": F.stddev_pop(within(n)), f"min_{n}": F.min(within(n)), f"max_{n}": F.max(within(n))}
+    out |= {"slope_7": slope(7), "slope_14": slope(14), "mean_28": F.avg(within(28)), "std_28": F.stddev_pop(within(28)), "missing_28": 28 - F.countDistinct(F.when(F.col("__age") < 28, F.col(day)))}
+    out |= {"days_since_peak": F.max_by("__age", F.struct(value, -F.col("__age")))}
+    wide = seen.groupBy(*keys).agg(*[c.alias(n) for n, c in out.items()])
+    wide = wide.withColumn("z_28", ratio(F.col("level") - F.col("mean_28"), F.nullif(F.col("std_28"), F.lit(0.0)))).withColumn("change_7", (F.col("level") - F.col("lag_7")) / F.greatest(F.abs("lag_7"), F.lit(1.0)))
+    wide = wide.withColumn("acceleration", F.col("slope_7") - F.col("slope_14"))
+    return wide.select(*keys, *[F.col(c).alias(f"{prefix}{c}") for c in wide.columns if c not in keys])
+
+
+def wave_features(df: DataFrame, keys: list[str], order: str, value: str, history: int = 104, low: float = 0.2, spread: float = 1.0) -> DataFrame:
+    """Waves of each series: runs of at least two smoothed values above the trailing low quantile plus a
+    multiple of the series' median distance from it; onset, end, peak row, peak value and strength."""
+    s = smoothed(df, keys, order, value)
+    base = F.percentile("smooth", F.lit(low)).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-(history - 1), 0))
+    s = s.withColumn("base", base)
+    mad = s.groupBy(*keys).agg(F.percentile(F.abs(F.col("smooth") - F.col("base")), F.lit(0.5)).alias("__mad"))
+    s = s.join(mad, keys).withColumn("__on", F.col("smooth") > F.col("base") + spread * F.col("__mad"))
+    w = Window.partitionBy(*keys).orderBy(order)
+    s = s.withColumn("__run", F.sum(F.when(F.col("__on") & F.coalesce(F.lag("__on").over(w), F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = s.where("__on").groupBy(*keys, "__run").agg(F.min(order).alias("onset"), F.max(order).alias("end"), F.count("*").alias("length"), F.max_by(order, F.struct("smooth", F.negative(F.unix_date(order)))).alias("peak"), F.max("smooth").alias("peak_value"), F.avg(F.col("smooth") - F.col("base")).alias("strength"))
+    return out.where("length >= 2").drop("__run")
+
+
+def baseline_stability(df: DataFrame, keys: list[str], order: str, value: str, width: int = 8) -> DataFrame:
+    """1 / (1 + variation) of the rows before, one half where their mean is zero."""
+    span = Window.partitionBy(*keys).orderBy(order).rowsBetween(-width, -1)
+    mean = F.avg(value).over(span)
+    return df.withColumn("stability", F.when(mean == 0, 0.5).when(mean.isNotNull(), 1 / (1 + F.try_divide(F.stddev_pop(value).over(span), F.abs(mean)))))
+
+
+def resample_step(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Median days between rows."""
+    gap = F.datediff(F.col(order), F.lag(order).over(Window.partitionBy(*keys).orderBy(order)))
+    return df.withColumn("__gap", gap).groupBy(*keys).agg(F.percentile("__gap", F.lit(0.5)).alias("step"))
+
+
+def seasonal_naive(df: DataFrame, keys: list[str], day: str, value: str, at: Column) -> DataFrame:
+    """Median of the history in the target's ISO week, else in its month, else of all."""
+    half = lambda c: F.percentile(F.when(c, F.col(value)), F.lit(0.5))
+    past = df.where(F.col(day) < at)
+    out = past.groupBy(*keys).agg(half(F.weekofyear(day) == F.weekofyear(at)).alias("__w"), half(F.month(day) == F.month(at)).alias("__m"), F.percentile(value, F.lit(0.5)).alias("__a"))
+    return out.select(*keys, F.coalesce("__w", "__m", "__a").alias("expected"))
