@@ -82,3 +82,43 @@ def rank_scores(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def regret(df: DataFrame, issue: list[str], share: str, gain: str) -> DataFrame:
     """Of each issue's allocation: the gain it captures, the best single region's gain and the regret."""
     return df.groupBy(*issue).agg(F.sum(F.col(share) * F.col(gain)).alias("captured"), F.max(gain).alias("best")).withColumn("regret", F.col("best") - F.col("captured"))
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for positive x: Stirling's series after eight steps up."""
+    z = x + 8
+    product = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7)
+    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+
+
+def negative_binomial_log_p(k: Column, mean: Column, size: Column) -> Column:
+    """Log probability of a count with a mean and a dispersion size."""
+    return log_gamma(k + size) - log_gamma(size) - log_gamma(k + 1) + size * F.log(size / (size + mean)) + k * F.log(mean / (size + mean))
+
+
+def student_log_p(x: Column, centre: Column, scale: Column, df: float) -> Column:
+    z = (x - centre) / scale
+    nu = F.lit(float(df))
+    return log_gamma((nu + 1) / 2) - log_gamma(nu / 2) - 0.5 * F.log(nu * math.pi) - F.log(scale) - (nu + 1) / 2 * F.log1p(z * z / nu)
+
+
+def first_category(text: Column, words: list[tuple[str, list[str]]], other: str) -> Column:
+    """The first category, in the order given, one of whose words the text has; case doesn't count."""
+    out = None
+    for name, keys in words:
+        hit = F.lit(False)
+        for key in keys:
+            hit |= F.contains(F.lower(text), F.lit(key.lower()))
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise(other)
+
+
+def scale_fit(df: DataFrame, keys: list[str], y: str, p: str, low: float = 0.5, high: float = 2.0) -> DataFrame:
+    """Slope and intercept of truth on forecast, the slope held within bounds; kept only where the error falls."""
+    m = df.groupBy(*keys).agg(F.avg(y).alias("my"), F.avg(p).alias("mp"), F.covar_pop(y, p).alias("c"), F.var_pop(p).alias("v"), F.var_pop(y).alias("vy"), F.avg((F.col(p) - F.col(y)) ** 2).alias("before"))
+    b = F.greatest(F.least(ratio(F.col("c"), F.nullif(F.col("v"), F.lit(0.0))), F.lit(high)), F.lit(low))
+    m = m.withColumn("slope", b).withColumn("intercept", F.col("my") - F.col("slope") * F.col("mp"))
+    after = F.col("vy") - 2 * F.col("slope") * F.col("c") + F.col("slope") ** 2 * F.col("v")
+    better = F.coalesce(after < F.col("before"), F.lit(False))
+    return m.select(*keys, F.when(better, F.col("slope")).otherwise(1.0).alias("slope"), F.when(better, F.col("intercept")).otherwise(0.0).alias("intercept"), better.alias("improves"))

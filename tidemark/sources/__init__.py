@@ -81,3 +81,14 @@ def issues(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 def flag_repeats(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """A flag on second and later rows of a key."""
     return df.withColumn("repeated", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) > 1)
+
+
+def read_cube(spark: SparkSession, path: str, row: str, schema: str) -> DataFrame:
+    """Rows of an XML export, by row tag and schema."""
+    return spark.read.format("xml").option("rowTag", row).schema(schema).load(path)
+
+
+def nested_horizons(df: DataFrame, body: str, levels: tuple[str, str], into: str) -> DataFrame:
+    """A two-level JSON map as long rows."""
+    outer = df.select("*", F.explode(F.from_json(body, "map<string, map<string, string>>")).alias(levels[0], "__inner"))
+    return outer.select("*", F.explode("__inner").alias(levels[1], into)).drop("__inner", body)
