@@ -52,6 +52,7 @@ class Vocabulary:
         self.log_p = {i: float(weight(r) - total) for i, r in order.items()}
         self.byte_p = float(weight(len(order) + 255.0) - total)
         self.longest = max(map(len, self.pieces))
+        self.prefixes = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
         self.values = {i: b for b, i in self.bytes.items()}
 
     def decode(self, ids: list[int]) -> str:
@@ -74,7 +75,7 @@ class Lattices:
         self.v, self.known, self.states = vocabulary, {}, 0
         self._first, self._piece, self._next, self._gain = [], [], [], []
         self._edges, self.log_z, self.root = 0, [], []
-        self._words, self._built = [], -1
+        self._words, self._built = [], 0
 
     def add(self, word: str) -> int:
         """The number of a kind of word, whose lattice is built at its first sight."""
@@ -82,14 +83,17 @@ class Lattices:
         if k is not None:
             return k
         v, n = self.v, len(word)
-        pieces, log_p = v.pieces, v.log_p
+        pieces, log_p, prefixes = v.pieces, v.log_p, v.prefixes
         out: list[list[tuple[int, int, float]]] = []
         for a in range(n):
             edges = []
             for b in range(a + 1, min(n, a + v.longest) + 1):
-                i = pieces.get(word[a:b])
+                part = word[a:b]
+                i = pieces.get(part)
                 if i is not None:
                     edges.append((i, b, log_p[i]))
+                elif part not in prefixes:
+                    break
             if not edges or edges[0][1] != a + 1:
                 raw = word[a].encode("utf-8", "replace")
                 edges.append((-1 - len(raw), a + 1, v.byte_p * len(raw)))
@@ -112,15 +116,22 @@ class Lattices:
         return k
 
     def freeze(self) -> None:
-        """Arrays of all that was added. gain: log-probability of an edge given its state."""
-        if self._built != self.states:
-            self.first = np.array([*self._first, self._edges], np.int64)
-            self.piece, self.next, self.gain = np.array(self._piece, np.int64), np.array(self._next, np.int64), np.array(self._gain)
-            # log-mass still ahead falls along an edge by its own log-probability: gains sum to the path's
-            before = np.concatenate([[0.0], np.cumsum(np.exp(self.gain))])
-            self.low = before[:-1] - np.repeat(before[self.first[:-1]], np.diff(self.first))
-            self.roots, self.masses = np.array(self.root, np.int64), np.array(self.log_z)
-            self._built = self.states
+        """Arrays of all that was added; what came since the last call is put behind them. gain: log-probability
+        of an edge given its state; gains sum to the path's. low: the gains before it in its state, summed."""
+        if self._built == self.states:
+            return
+        first = np.array(self._first, np.int64)
+        gain = np.array(self._gain)
+        before = np.concatenate([[0.0], np.cumsum(np.exp(gain))])
+        at = first - (len(self.piece) if self._built else 0)
+        low = before[:-1] - np.repeat(before[at], np.diff([*at, len(gain)]))
+        new = {"piece": np.array(self._piece, np.int64), "next": np.array(self._next, np.int64), "gain": gain, "low": low}
+        for name, part in new.items():
+            setattr(self, name, np.concatenate([getattr(self, name), part]) if self._built else part)
+        self.first = np.concatenate([*([self.first[:-1]] if self._built else []), first, [self._edges]])
+        self.roots, self.masses = np.array(self.root, np.int64), np.array(self.log_z)
+        self._first, self._piece, self._next, self._gain = [], [], [], []
+        self._built = self.states
 
     def pieces(self, edges: np.ndarray) -> list[int]:
         """Piece numbers of edges; a sign outside the vocabulary is its bytes."""
