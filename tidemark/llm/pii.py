@@ -84,7 +84,8 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     scored = cut(edges.withColumn("score", F.col("seed").cast("double")))
     patterns = None
     for r in range(rounds):
-        patterns = scored.groupBy("pattern").agg(F.sum(F.col("seed").cast("long")).alias("seeds"), (F.sum("score") / (F.count("*") + F.lit(DOUBT))).alias("confidence"))
+        # written, so that the join below deals out both sides itself and Spark can split a hot pattern
+        patterns = cut(scored.groupBy("pattern").agg(F.sum(F.col("seed").cast("long")).alias("seeds"), (F.sum("score") / (F.count("*") + F.lit(DOUBT))).alias("confidence")))
         if r < rounds - 1:
             doubt = F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999))))
             back = scored.join(patterns.where("seeds > 0"), "pattern").where("NOT seed").groupBy("what").agg((1 - F.exp(doubt)).alias("lifted"))
