@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import cut, whole_text
 
 LENGTHS, SHARD, OVERHEAD, ATTENTION = (512, 1024, 2048, 4096), 20_000, 32.0, 0.0
 #: A token of the default measure: a run of letters and digits, or one other sign that isn't white space.
@@ -82,7 +82,7 @@ def best_fit(docs: DataFrame, key: str = "doc_id", text: str = "text", size: Col
     each for itself, as are rows with a null key. Other columns are ignored.
     """
     top = max(lengths)
-    counted = docs.select(F.col(key).alias("__id"), F.greatest(F.coalesce(size if size is not None else token_count(text), F.lit(0)), F.lit(0)).cast("long").alias("__n"))
+    counted = cut(docs.select(F.col(key).alias("__id"), F.greatest(F.coalesce(size if size is not None else token_count(text), F.lit(0)), F.lit(0)).cast("long").alias("__n")))
     pieces = counted.select(
         "__id", "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("__n") / top) - 1, F.lit(0).cast("long")))).alias("piece")
     ).withColumn("n", F.least(F.col("__n") - F.col("piece") * top, F.lit(top)).cast("long"))
