@@ -12,3 +12,11 @@ def test_registry():
 
 def test_flagship(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_imports_without_a_session():
+    import subprocess
+    import sys
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr

@@ -10,7 +10,10 @@ from ..operators import regional, splits, visibility
 from ..registry import query
 from .inputs import CUTOFF, DAILY, DEMAND, OBS, WEEKLY, daily, demand, obs, table, weekly
 
-WEEK = F.col("week").cast("string").alias("week")
+
+def week_text():
+    return F.col("week").cast("string").alias("week")
+
 _VIS = f"vis AS (SELECT * FROM obs WHERE available <= TIMESTAMP '{CUTOFF}' OR (available IS NULL AND ts <= TIMESTAMP '{CUTOFF}'))"
 
 
@@ -77,7 +80,7 @@ def rollup_levels(spark, sf_dir):
 def weighted_moments(spark, sf_dir):
     people = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("pop"))
     held = demand(spark, sf_dir).join(people, "nation")
-    return held.groupBy(WEEK).agg(r(regional.weighted_mean(F.col("v"), F.col("pop")), 3).alias("mean"), r(regional.weighted_std(F.col("v"), F.col("pop")), 2).alias("std"))
+    return held.groupBy(week_text()).agg(r(regional.weighted_mean(F.col("v"), F.col("pop")), 3).alias("mean"), r(regional.weighted_std(F.col("v"), F.col("pop")), 2).alias("std"))
 
 
 @query(
@@ -87,7 +90,7 @@ def weighted_moments(spark, sf_dir):
 def zscore(spark, sf_dir):
     m = weekly(spark, sf_dir).groupBy("week").agg(F.avg("v").alias("v"))
     all_ = m.agg(F.avg("v").alias("a"), F.coalesce(F.nullif(F.stddev_pop("v"), F.lit(0.0)), F.lit(1.0)).alias("s"))
-    return m.join(F.broadcast(all_)).select(WEEK, r((F.col("v") - F.col("a")) / F.col("s")).alias("z"))
+    return m.join(F.broadcast(all_)).select(week_text(), r((F.col("v") - F.col("a")) / F.col("s")).alias("z"))
 
 
 @query(
@@ -123,17 +126,17 @@ def history_rank(spark, sf_dir):
     w = weekly(spark, sf_dir).withColumn("woy", F.weekofyear("week"))
     old = w.select("flag", "woy", F.col("week").alias("then"), F.col("v").alias("old"))
     x = w.join(old, ["flag", "woy"]).where("then < week").groupBy("flag", "week").agg(F.sum((F.col("old") <= F.col("v")).cast("long")).alias("k"), F.count("*").alias("n"))
-    return x.where("n >= 3").select("flag", WEEK, r(F.col("k") / F.col("n")).alias("rank"))
+    return x.where("n >= 3").select("flag", week_text(), r(F.col("k") / F.col("n")).alias("rank"))
 
 
 @query("q_rest_gap", f"WITH {DEMAND}, x AS (SELECT *, (sum(v) OVER (PARTITION BY week) - v) / nullif(count(*) OVER (PARTITION BY week) - 1, 0) AS rest FROM demand) SELECT nation, CAST(week AS VARCHAR) AS week, round(v - rest, 6) + 0.0 AS rest_gap, round(v / rest, 5) AS rest_ratio FROM x")
 def rest_gap(spark, sf_dir):
-    return regional.rest_gap(demand(spark, sf_dir), ["week"], "v").select("nation", WEEK, r(F.col("rest_gap")).alias("rest_gap"), r(F.col("rest_ratio"), 5).alias("rest_ratio"))
+    return regional.rest_gap(demand(spark, sf_dir), ["week"], "v").select("nation", week_text(), r(F.col("rest_gap")).alias("rest_gap"), r(F.col("rest_ratio"), 5).alias("rest_ratio"))
 
 
 @query("q_pct_rank_ties", f"WITH {DEMAND}, x AS (SELECT nation, week, n, rank() OVER w + (count(*) OVER (PARTITION BY week, n) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY week) AS m FROM demand WINDOW w AS (PARTITION BY week ORDER BY n)) SELECT nation, CAST(week AS VARCHAR) AS week, round(k / m, 6) AS pct_rank FROM x")
 def pct_rank(spark, sf_dir):
-    return regional.percent_rank_mean(demand(spark, sf_dir), ["week"], "n").select("nation", WEEK, r(F.col("pct_rank")).alias("pct_rank"))
+    return regional.percent_rank_mean(demand(spark, sf_dir), ["week"], "n").select("nation", week_text(), r(F.col("pct_rank")).alias("pct_rank"))
 
 
 @query(
@@ -146,7 +149,7 @@ def pressure(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"))
     edges = n.select("src", ((F.col("src") + 1) % 25).alias("dst"), F.lit(1.0).alias("weight")).unionByName(n.select("src", ((F.col("src") + 24) % 25).alias("dst"), F.lit(0.5).alias("weight")))
     out = regional.neighbour_mean(demand(spark, sf_dir), edges, "nation", ["week"], "v")
-    return out.select("nation", WEEK, r(F.col("neighbour_mean"), 3).alias("neighbour_mean"), r(F.col("pressure")).alias("pressure"))
+    return out.select("nation", week_text(), r(F.col("neighbour_mean"), 3).alias("neighbour_mean"), r(F.col("pressure")).alias("pressure"))
 
 
 @query(
@@ -172,7 +175,7 @@ def reconcile(spark, sf_dir):
 def event_label(spark, sf_dir):
     w = Window.partitionBy("flag").orderBy("week")
     x = weekly(spark, sf_dir).withColumn("t", F.lead("v").over(w)).withColumn("b", F.percentile("v", F.lit(0.5)).over(w.rowsBetween(-12, -1))).where("b IS NOT NULL")
-    return x.select("flag", WEEK, splits.event_label(F.col("v"), F.col("t"), F.col("b"), F.lit(5.0), 0.1, 1.0, 10.0).alias("label"))
+    return x.select("flag", week_text(), splits.event_label(F.col("v"), F.col("t"), F.col("b"), F.lit(5.0), 0.1, 1.0, 10.0).alias("label"))
 
 
 _FOLDS = f"{WEEKLY}, d AS (SELECT week, row_number() OVER (ORDER BY week) AS n FROM (SELECT DISTINCT week FROM weekly)), s AS (SELECT CAST((n - 105) / 26 AS BIGINT) AS fold, n AS s FROM d WHERE n > 104 AND (n - 105) % 26 = 0 AND (n - 105) / 26 < 5), f AS (SELECT fold, max(week) FILTER (n < s) AS a, min(week) FILTER (n >= s) AS b, max(week) FILTER (n >= s) AS c FROM s JOIN d ON n >= s - 1 AND n < s + 26 GROUP BY fold)"
@@ -213,6 +216,6 @@ def pivot_sources(spark, sf_dir):
 def issue_calendar(spark, sf_dir):
     span = weekly(spark, sf_dir).agg(F.min("week").alias("a"), F.max("week").alias("b"))
     c = span.select("b", F.explode(F.sequence("a", "b", F.make_interval(days=F.lit(7)))).alias("week")).withColumn("cutoff", F.least(F.date_add("week", 6), F.col("b")))
-    return c.select(WEEK, F.col("cutoff").cast("string").alias("cutoff"), F.date_trunc("week", F.date_add("cutoff", 7)).cast("date").cast("string").alias("target"))
+    return c.select(week_text(), F.col("cutoff").cast("string").alias("cutoff"), F.date_trunc("week", F.date_add("cutoff", 7)).cast("date").cast("string").alias("target"))
 
 

@@ -11,7 +11,10 @@ from ..operators import series
 from ..registry import query
 from .inputs import CUTOFF, DAILY, DEMAND, OBS, WEEKLY, daily, demand, obs, weekly
 
-WEEK = F.col("week").cast("string").alias("week")
+
+def week_text():
+    return F.col("week").cast("string").alias("week")
+
 _AGE = f"date_diff('day', day, DATE '{CUTOFF}')"
 _F = {"level": "max_by(v, day)", "age_days": "min(a)"} | {f"lag_{n}": f"max_by(v, day) FILTER (a >= {n})" for n in (1, 3, 7, 14, 21, 28)}
 for _n in (3, 7, 14):
@@ -42,7 +45,7 @@ def wave_features(spark, sf_dir):
 
 @query("q_baseline_stability", f"WITH {WEEKLY}, x AS (SELECT flag, week, avg(v) OVER w AS m, stddev_pop(v) OVER w AS s FROM weekly WINDOW w AS (PARTITION BY flag ORDER BY week ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)) SELECT flag, CAST(week AS VARCHAR) AS week, round(CASE WHEN m = 0 THEN 0.5 WHEN m IS NOT NULL THEN 1 / (1 + s / abs(m)) END, 6) AS stability FROM x")
 def stability(spark, sf_dir):
-    return series.baseline_stability(weekly(spark, sf_dir), ["flag"], "week", "v").select("flag", WEEK, r(F.col("stability")).alias("stability"))
+    return series.baseline_stability(weekly(spark, sf_dir), ["flag"], "week", "v").select("flag", week_text(), r(F.col("stability")).alias("stability"))
 
 
 @query("q_step_days", f"WITH {DAILY}, g AS (SELECT region, source, date_diff('day', lag(day) OVER (PARTITION BY region, source ORDER BY day), day) AS g FROM daily) SELECT region, source, quantile_cont(g, 0.5) AS step FROM g GROUP BY ALL")
@@ -119,7 +122,7 @@ def sample_crps(spark, sf_dir):
     f"WITH {DEMAND}, x AS (SELECT nation, week, dense_rank() OVER (PARTITION BY week ORDER BY n) - 1 AS d FROM demand), y AS (SELECT *, max(d) OVER (PARTITION BY week) AS m FROM x) SELECT nation, CAST(week AS VARCHAR) AS week, round(CASE WHEN m = 0 THEN 0.5 ELSE d / m END, 6) AS rank_score FROM y",
 )
 def rank_scores(spark, sf_dir):
-    return op.rank_scores(demand(spark, sf_dir), ["week"], "n").select("nation", WEEK, r(F.col("rank_score")).alias("rank_score"))
+    return op.rank_scores(demand(spark, sf_dir), ["week"], "n").select("nation", week_text(), r(F.col("rank_score")).alias("rank_score"))
 
 
 @query(
@@ -130,7 +133,7 @@ def rank_scores(spark, sf_dir):
 def allocation_regret(spark, sf_dir):
     x = demand(spark, sf_dir).withColumn("next", F.lead("v").over(Window.partitionBy("nation").orderBy("week"))).where("next IS NOT NULL").withColumn("gain", F.greatest(F.col("next") - F.col("v"), F.lit(0.0)) / 1000)
     s = x.withColumn("share", ratio(F.col("v"), F.sum("v").over(Window.partitionBy("week"))))
-    return op.regret(s, ["week"], "share", "gain").select(WEEK, *(r(F.col(c), 4).alias(c) for c in ("captured", "best", "regret")))
+    return op.regret(s, ["week"], "share", "gain").select(week_text(), *(r(F.col(c), 4).alias(c) for c in ("captured", "best", "regret")))
 
 
 @query(

@@ -9,8 +9,14 @@ from ..operators import series as op
 from ..registry import query
 from .inputs import DAILY, OBS, WEEKLY, daily, obs, table, weekly
 
-DAY = F.col("day").cast("string").alias("day")
-WEEK = F.col("week").cast("string").alias("week")
+
+def day_text():
+    return F.col("day").cast("string").alias("day")
+
+
+def week_text():
+    return F.col("week").cast("string").alias("week")
+
 
 
 def national(spark, sf_dir):
@@ -31,7 +37,7 @@ _GRID = "g AS (SELECT source, CAST(unnest(generate_series(CAST(min(day) AS TIMES
 @query("q_dense_fill_forward", f"WITH {SPARSE}, {_GRID} SELECT source, CAST(day AS VARCHAR) AS day, round(last_value(v IGNORE NULLS) OVER (PARTITION BY source ORDER BY day), 6) AS filled FROM d")
 def dense_fill(spark, sf_dir):
     out = op.fill_forward(op.dense(sparse(spark, sf_dir), ["source"], "day"), ["source"], "day", "v", "filled")
-    return out.select("source", DAY, r(F.col("filled")).alias("filled"))
+    return out.select("source", day_text(), r(F.col("filled")).alias("filled"))
 
 
 @query(
@@ -43,26 +49,26 @@ def dense_fill(spark, sf_dir):
 )
 def interpolate(spark, sf_dir):
     out = op.interpolate(op.dense(sparse(spark, sf_dir), ["source"], "day"), ["source"], "day", "v", "u")
-    return out.select("source", DAY, r(F.col("u")).alias("v"))
+    return out.select("source", day_text(), r(F.col("u")).alias("v"))
 
 
 @query("q_lag_family", f"WITH {NATIONAL} SELECT source, CAST(day AS VARCHAR) AS day, " + ", ".join(f"round(lag(v, {n}) OVER (PARTITION BY source ORDER BY day), 6) AS lag_{n}" for n in (1, 7, 14)) + " FROM nat")
 def lag_family(spark, sf_dir):
-    return op.lags(national(spark, sf_dir), ["source"], "day", "v", [1, 7, 14]).select("source", DAY, *(r(F.col(f"lag_{n}")).alias(f"lag_{n}") for n in (1, 7, 14)))
+    return op.lags(national(spark, sf_dir), ["source"], "day", "v", [1, 7, 14]).select("source", day_text(), *(r(F.col(f"lag_{n}")).alias(f"lag_{n}") for n in (1, 7, 14)))
 
 
-_ROLL = ", ".join(f"round({f}(v) OVER (PARTITION BY source ORDER BY day ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 5) AS {a}_{n}" for n in (3, 7, 14) for f, a in (("avg", "mean"), ("stddev_pop", "std"), ("min", "min"), ("max", "max")))
+_ROLL = ", ".join(f"round({f}(v) OVER (PARTITION BY source ORDER BY day ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 8) AS {a}_{n}" for n in (3, 7, 14) for f, a in (("avg", "mean"), ("stddev_pop", "std"), ("min", "min"), ("max", "max")))
 
 
 @query("q_rolling_family", f"WITH {NATIONAL} SELECT source, CAST(day AS VARCHAR) AS day, {_ROLL} FROM nat")
 def rolling_family(spark, sf_dir):
     out = op.rolling(national(spark, sf_dir), ["source"], "day", "v", [3, 7, 14])
-    return out.select("source", DAY, *(r(F.col(f"{a}_{n}"), 5).alias(f"{a}_{n}") for n in (3, 7, 14) for a in ("mean", "std", "min", "max")))
+    return out.select("source", day_text(), *(r(F.col(f"{a}_{n}"), 8).alias(f"{a}_{n}") for n in (3, 7, 14) for a in ("mean", "std", "min", "max")))
 
 
 @query("q_rolling_quantile", f"WITH {WEEKLY} SELECT flag, CAST(week AS VARCHAR) AS week, CASE WHEN count(v) OVER w >= 8 THEN round(quantile_cont(v, 0.75) OVER w, 6) END AS p75 FROM weekly WINDOW w AS (PARTITION BY flag ORDER BY week ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING)")
 def rolling_quantile(spark, sf_dir):
-    return op.rolling_quantile(weekly(spark, sf_dir), ["flag"], "week", "v", 0.75, 26, 8, "p75").select("flag", WEEK, r(F.col("p75")).alias("p75"))
+    return op.rolling_quantile(weekly(spark, sf_dir), ["flag"], "week", "v", 0.75, 26, 8, "p75").select("flag", week_text(), r(F.col("p75")).alias("p75"))
 
 
 @query(
@@ -70,7 +76,7 @@ def rolling_quantile(spark, sf_dir):
     f"WITH {WEEKLY}, x AS (SELECT flag, week, v, row_number() OVER (PARTITION BY flag ORDER BY week) AS i FROM weekly) SELECT flag, CAST(week AS VARCHAR) AS week, round(CASE WHEN count(*) OVER w > 1 THEN regr_slope(v, i) OVER w END, 4) AS slope FROM x WINDOW w AS (PARTITION BY flag ORDER BY week ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)",
 )
 def rolling_slope(spark, sf_dir):
-    return op.rolling_slope(weekly(spark, sf_dir), ["flag"], "week", "v", 7, "slope").select("flag", WEEK, r(F.col("slope"), 4).alias("slope"))
+    return op.rolling_slope(weekly(spark, sf_dir), ["flag"], "week", "v", 7, "slope").select("flag", week_text(), r(F.col("slope"), 4).alias("slope"))
 
 
 @query(
@@ -78,7 +84,7 @@ def rolling_slope(spark, sf_dir):
     f"WITH {WEEKLY}, b AS (SELECT flag, week, v, quantile_cont(v, 0.5) OVER (PARTITION BY flag ORDER BY week ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING) AS m FROM weekly) SELECT flag, CAST(week AS VARCHAR) AS week, round(m, 6) AS baseline, round(ln((v + 1) / (m + 1)), 6) + 0.0 AS log_ratio FROM b",
 )
 def log_ratio(spark, sf_dir):
-    return op.log_ratio_to_baseline(weekly(spark, sf_dir), ["flag"], "week", "v").select("flag", WEEK, r(F.col("baseline")).alias("baseline"), r(F.col("log_ratio")).alias("log_ratio"))
+    return op.log_ratio_to_baseline(weekly(spark, sf_dir), ["flag"], "week", "v").select("flag", week_text(), r(F.col("baseline")).alias("baseline"), r(F.col("log_ratio")).alias("log_ratio"))
 
 
 @query(
@@ -88,7 +94,7 @@ def log_ratio(spark, sf_dir):
         SELECT source, CAST(day AS VARCHAR) AS day, round(growth, 6) + 0.0 AS growth, round(growth - last_value(growth IGNORE NULLS) OVER (PARTITION BY source ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) + 0.0 AS acceleration FROM h""",
 )
 def growth(spark, sf_dir):
-    return op.growth(sparse(spark, sf_dir), ["source"], "day", "v", 7).select("source", DAY, r(F.col("growth")).alias("growth"), r(F.col("acceleration")).alias("acceleration"))
+    return op.growth(sparse(spark, sf_dir), ["source"], "day", "v", 7).select("source", day_text(), r(F.col("growth")).alias("growth"), r(F.col("acceleration")).alias("acceleration"))
 
 
 SEASONAL = f"""WITH {WEEKLY}, h AS (SELECT a.flag, a.week, b.v AS old, least(abs(least(weekofyear(a.week), 52) - least(weekofyear(b.week), 52)), 52 - abs(least(weekofyear(a.week), 52) - least(weekofyear(b.week), 52))) <= 1 AS near,
@@ -101,7 +107,7 @@ SEASONAL = f"""WITH {WEEKLY}, h AS (SELECT a.flag, a.week, b.v AS old, least(abs
 
 @query("q_seasonal_baseline", SEASONAL)
 def seasonal(spark, sf_dir):
-    return op.seasonal_baseline(weekly(spark, sf_dir), ["flag"], "week", "v").select("flag", WEEK, r(F.col("baseline")).alias("baseline"), r(F.col("mad")).alias("mad"), "seasonal")
+    return op.seasonal_baseline(weekly(spark, sf_dir), ["flag"], "week", "v").select("flag", week_text(), r(F.col("baseline")).alias("baseline"), r(F.col("mad")).alias("mad"), "seasonal")
 
 
 @query(
@@ -134,7 +140,7 @@ def sustained(spark, sf_dir):
 
 @query("q_centred_median", f"WITH {WEEKLY} SELECT flag, CAST(week AS VARCHAR) AS week, round(quantile_cont(v, 0.5) OVER (PARTITION BY flag ORDER BY week ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS smooth FROM weekly")
 def centred(spark, sf_dir):
-    return op.smoothed(weekly(spark, sf_dir), ["flag"], "week", "v").select("flag", WEEK, r(F.col("smooth")).alias("smooth"))
+    return op.smoothed(weekly(spark, sf_dir), ["flag"], "week", "v").select("flag", week_text(), r(F.col("smooth")).alias("smooth"))
 
 
 @query(
@@ -142,7 +148,7 @@ def centred(spark, sf_dir):
     f"WITH {WEEKLY}, x AS (SELECT flag, week, v, lead(v, 2) OVER (PARTITION BY flag ORDER BY week) AS t FROM weekly) SELECT flag, CAST(week AS VARCHAR) AS week, round(t, 4) AS target, round((t - v) / greatest(abs(v), 1.0), 6) + 0.0 AS target_growth, CAST((t - v) / greatest(abs(v), 1.0) >= 0.1 AS INTEGER) AS event FROM x WHERE t IS NOT NULL",
 )
 def direct_target(spark, sf_dir):
-    return op.direct_target(weekly(spark, sf_dir), ["flag"], "week", "v", 2, 0.1).select("flag", WEEK, r(F.col("target"), 4).alias("target"), r(F.col("target_growth")).alias("target_growth"), "event")
+    return op.direct_target(weekly(spark, sf_dir), ["flag"], "week", "v", 2, 0.1).select("flag", week_text(), r(F.col("target"), 4).alias("target"), r(F.col("target_growth")).alias("target_growth"), "event")
 
 
 _KERNEL = [0.1, 0.3, 0.4, 0.2]

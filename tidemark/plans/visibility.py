@@ -9,17 +9,19 @@ from ..operators import visibility as op
 from ..registry import query
 from .inputs import CUTOFF, DAILY, OBS, WEEKLY, daily, obs, table, weekly
 
-CUT = F.lit(CUTOFF).cast("timestamp")
+
+def cutoff():
+    return F.lit(CUTOFF).cast("timestamp")
 
 
 @query("q_asof_visible", f"WITH {OBS} SELECT region, source, count(*) AS n, round(sum(value), 4) AS total FROM obs WHERE available <= TIMESTAMP '{CUTOFF}' OR (available IS NULL AND ts <= TIMESTAMP '{CUTOFF}') GROUP BY ALL")
 def asof_visible(spark, sf_dir):
-    return op.visible(obs(spark, sf_dir), CUT, "ts", "available").groupBy("region", "source").agg(F.count("*").alias("n"), r(F.sum("value"), 4).alias("total"))
+    return op.visible(obs(spark, sf_dir), cutoff(), "ts", "available").groupBy("region", "source").agg(F.count("*").alias("n"), r(F.sum("value"), 4).alias("total"))
 
 
 @query("q_asof_known_only", f"WITH {OBS} SELECT region, source, count(*) AS n, round(sum(value), 4) AS total FROM obs WHERE day <= DATE '{CUTOFF}' AND available <= TIMESTAMP '{CUTOFF}' GROUP BY ALL")
 def asof_known(spark, sf_dir):
-    return op.visible_known(obs(spark, sf_dir), CUT, "ts", "available").groupBy("region", "source").agg(F.count("*").alias("n"), r(F.sum("value"), 4).alias("total"))
+    return op.visible_known(obs(spark, sf_dir), cutoff(), "ts", "available").groupBy("region", "source").agg(F.count("*").alias("n"), r(F.sum("value"), 4).alias("total"))
 
 
 @query("q_inferred_availability", f"WITH {OBS}, k AS (SELECT source, available IS NULL AS inferred, coalesce(available, ts + to_days(CASE source WHEN 'click' THEN 3 WHEN 'purchase' THEN 10 ELSE 7 END)) AS known_at FROM obs) SELECT source, inferred, count(*) AS n, CAST(CAST(max(known_at) AS DATE) AS VARCHAR) AS last_known FROM k GROUP BY ALL")
