@@ -20,8 +20,8 @@ _VIS = f"vis AS (SELECT * FROM obs WHERE available <= TIMESTAMP '{CUTOFF}' OR (a
 @query(
     "q_signal_panel",
     f"""WITH {OBS}, {_VIS}, d AS (SELECT region, source, day, avg(value) AS v, stddev_pop(value) AS s, count(*) AS n FROM vis GROUP BY ALL),
-        p AS (SELECT region, source, max_by(v, day) AS level, max_by(v, day) FILTER (day <= DATE '{CUTOFF}' - 7) AS lag_7, regr_slope(v, date_diff('day', DATE '2024-01-01', day)) FILTER (day > DATE '{CUTOFF}' - 7) AS slope, sum(n) AS n FROM d GROUP BY ALL)
-        SELECT region, source, CAST(n AS BIGINT) AS n, round(level, 6) AS level, round(lag_7, 6) AS lag_7, round((level - lag_7) / greatest(abs(lag_7), 1.0), 6) + 0.0 AS growth, round(slope, 5) + 0.0 AS slope, row_number() OVER (PARTITION BY source ORDER BY level DESC, region) AS rank FROM p""",
+        p AS (SELECT region, source, max_by(v, day) AS level, max_by(v, day) FILTER (day <= DATE '{CUTOFF}' - 7) AS lag_7, CASE WHEN count(*) FILTER (day > DATE '{CUTOFF}' - 7) > 1 THEN regr_slope(v, date_diff('day', DATE '2024-01-01', day)) FILTER (day > DATE '{CUTOFF}' - 7) END AS slope, sum(n) AS n FROM d GROUP BY ALL)
+        SELECT region, source, CAST(n AS BIGINT) AS n, round(level, 6) AS level, round(lag_7, 6) AS lag_7, round((level - lag_7) / greatest(abs(lag_7), 1.0), 6) + 0.0 AS growth, round(slope, 8) + 0.0 AS slope, row_number() OVER (PARTITION BY source ORDER BY level DESC, region) AS rank FROM p""",
 )
 def signal_panel(spark, sf_dir):
     """Latest visible signals per region and source: as-of level, week-old level, growth, slope and rank."""
@@ -37,7 +37,7 @@ def signal_panel(spark, sf_dir):
     )
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("level"), "region")).cast("long")
     growth = (F.col("level") - F.col("lag_7")) / F.greatest(F.abs("lag_7"), F.lit(1.0))
-    return p.select("region", "source", "n", r(F.col("level")).alias("level"), r(F.col("lag_7")).alias("lag_7"), r(growth).alias("growth"), r(F.col("slope"), 5).alias("slope"), rank.alias("rank"))
+    return p.select("region", "source", "n", r(F.col("level")).alias("level"), r(F.col("lag_7")).alias("lag_7"), r(growth).alias("growth"), r(F.col("slope"), 8).alias("slope"), rank.alias("rank"))
 
 
 @query("q_site_daily", "SELECT l_returnflag AS site, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, max(l_quantity) AS most, round(avg(l_quantity), 6) AS mean, count(*) AS n, round(avg(CAST(l_linestatus = 'F' AS INTEGER)), 6) AS share_f, round(stddev_pop(l_quantity), 6) AS std FROM lineitem GROUP BY ALL")

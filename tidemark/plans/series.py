@@ -73,10 +73,10 @@ def rolling_quantile(spark, sf_dir):
 
 @query(
     "q_rolling_slope",
-    f"WITH {WEEKLY}, x AS (SELECT flag, week, v, row_number() OVER (PARTITION BY flag ORDER BY week) AS i FROM weekly) SELECT flag, CAST(week AS VARCHAR) AS week, round(CASE WHEN count(*) OVER w > 1 THEN regr_slope(v, i) OVER w END, 4) AS slope FROM x WINDOW w AS (PARTITION BY flag ORDER BY week ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)",
+    f"WITH {WEEKLY}, x AS (SELECT flag, week, v, row_number() OVER (PARTITION BY flag ORDER BY week) AS i FROM weekly) SELECT flag, CAST(week AS VARCHAR) AS week, round(CASE WHEN count(*) OVER w > 1 THEN regr_slope(v, i) OVER w END, 8) + 0.0 AS slope FROM x WINDOW w AS (PARTITION BY flag ORDER BY week ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)",
 )
 def rolling_slope(spark, sf_dir):
-    return op.rolling_slope(weekly(spark, sf_dir), ["flag"], "week", "v", 7, "slope").select("flag", week_text(), r(F.col("slope"), 4).alias("slope"))
+    return op.rolling_slope(weekly(spark, sf_dir), ["flag"], "week", "v", 7, "slope").select("flag", week_text(), r(F.col("slope"), 8).alias("slope"))
 
 
 @query(
