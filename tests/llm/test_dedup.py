@@ -123,3 +123,41 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {r["id"]: r["class"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {v: top(v) for v in parent if top(v) != v}
+
+
+def plain(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def replaced(text, at):
+    out = text.split()
+    for k, word in at.items():
+        out[k] = word
+    return " ".join(out)
+
+
+def test_near_group_of_a_third(spark):
+    # each copy has two words of its own, so two copies of the group share 80 to 88 of a hundred shingles
+    base = words(110, 77)
+    group = [replaced(base, {0: f"first{i}", 30 + i: f"own{i}"}) for i in range(20)]
+    assert all(0.8 < plain(a, b) < 0.884 for a in group for b in group if a != b)
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(spark, [*group, *(words(100, 500 + i) for i in range(40))])).collect()}
+    assert got == {i: 0 if i < 20 else i for i in range(60)}
+
+
+def test_near_edit_of_a_text_that_is_copied_exactly(spark):
+    base = words(100, 78)
+    edit = replaced(base, {20: "one", 50: "two"})
+    texts = [base] * 30 + [edit] + [words(100, 600 + i) for i in range(59)]
+    assert 0.8 < plain(base, edit) < 0.85
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(spark, texts)).collect()}
+    assert got == {i: 0 if i <= 30 else i for i in range(90)}
+
+
+def test_near_classes_are_of_texts_and_not_of_keys(spark):
+    a, b = words(60, 80), words(60, 81)
+    # a repeated key with two texts doesn't join their classes, and a null key is linked as any other
+    texts = [(7, a), (7, b), (8, a.upper()), (9, b.upper()), (None, words(60, 82)), (None, words(60, 82).upper()), (None, a + " more")]
+    got = sorted((str(r.doc_id), str(r.class_id), r.class_size, r.kept) for r in near_duplicates(docs(spark, texts)).collect())
+    assert got == sorted([("7", "7", 3, True), ("7", "7", 2, True), ("8", "7", 3, False), ("9", "7", 2, False), ("None", "None", 2, True), ("None", "None", 2, False), ("None", "7", 3, False)])
