@@ -17,11 +17,20 @@ from tidemark.llm.secrets import redact
 from tidemark.llm.toxicity import toxicity
 
 
+ROW = "__stage_row"
+
+
+def numbered(docs):
+    """The rows with a number of their own, written once, so that a row is dropped by itself and not by its doc_id."""
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def drop_toxic(spark, docs, sf_dir):
-    """Rows that score below one half; rows that share a doc_id go together."""
+    """Rows that score below one half."""
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
-    bad = toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__toxic_id"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__toxic_id")), "left_anti")
+    rows = numbered(docs)
+    bad = toxicity(rows, labels, row=ROW).where("predicted = 1").select(ROW)
+    return rows.join(bad, ROW, "left_anti").select(docs.columns)
 
 
 def drop_exact(spark, docs, sf_dir):
@@ -30,9 +39,10 @@ def drop_exact(spark, docs, sf_dir):
 
 
 def drop_near(spark, docs, sf_dir):
-    """Of near duplicates, the row with the least doc_id; rows that share a doc_id go together."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__near_id"))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__near_id")), "left_anti")
+    """Of near duplicates, one row of the least doc_id, null last."""
+    rows = numbered(docs)
+    gone = near_duplicates(rows, row=ROW).where("NOT kept").select(ROW)
+    return rows.join(gone, ROW, "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark, docs, sf_dir):

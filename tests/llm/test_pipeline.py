@@ -35,3 +35,14 @@ def test_queries_give_a_row_for_each_input_row(spark, sf_dir):
     for name in ("op1_personal_data", "op2_near_dedup", "op3_fingerprints", "op5_quality", "op6_exact_dedup", "op7_secret_scan", "op10_toxicity"):
         assert QUERIES[name](spark, sf_dir).count() == n, name
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_stages_drop_rows_and_not_keys(spark, tmp_path):
+    texts = [words(60, i) + (" you idiot moron scum" if i % 5 == 0 else "") for i in range(120)]
+    bad, clean, other = words(60, 700) + " you idiot moron scum", words(60, 701), words(60, 702)
+    df = docs(spark, [*texts, (None, bad), (None, clean), (None, texts[1].upper()), (500, bad + " again"), (500, other)])
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(120)], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    kept = [r.text for r in corpus_pipeline.drop_toxic(spark, df, str(tmp_path)).collect()]
+    assert bad not in kept and clean in kept and bad + " again" not in kept and other in kept
+    kept = [r.text for r in corpus_pipeline.drop_near(spark, df, str(tmp_path)).collect()]
+    assert texts[1] in kept and texts[1].upper() not in kept and clean in kept and other in kept

@@ -191,15 +191,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple[float, float
     return max(a, 0.05), b
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, row: str | None = None) -> DataFrame:
     """One row per document: key, score (0 to 1), predicted (1 from 0.5), evidence (nearest examples).
 
     labels: (key, label) rows to learn from; rows with a null key or label are left out, and of a key's
     conflicting labels 1 counts. At most `examples` labelled documents are used. Null texts are empty; a
-    text with none of the terms scores as such examples do, and with no labels at all every score is 0.25. Other columns, clashing names too, are ignored.
+    text with none of the terms scores as such examples do, and with no labels at all every score is 0.25. row: a column
+    that numbers the rows, which is passed on. Other columns, clashing names too, are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("__id"), whole_text(text).alias("__text"))
+    own = [F.col(row).alias("__row")] if row else []
+    rows = docs.select(F.col(key).alias("__id"), *own, whole_text(text).alias("__text"))
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = bounded_sample(marked, "__id", examples)
     train = cut(rows.join(F.broadcast(chosen), "__id").limit(2 * examples))
@@ -227,7 +229,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
                     known[name] = index.value.score(at, n) if index.value else (0.25, "")
                 out.append(known[name])
             score = np.array([s for s, _ in out], float)
-            yield pd.DataFrame({key: frame["__id"], "score": score, "predicted": (score >= 0.5).astype(np.int32), "evidence": [e for _, e in out]})
+            yield pd.DataFrame({key: frame["__id"], **({row: frame["__row"]} if row else {}), "score": score, "predicted": (score >= 0.5).astype(np.int32), "evidence": [e for _, e in out]})
 
     kind = rows.schema["__id"].dataType.simpleString()
-    return counts.mapInPandas(scored, f"`{key}` {kind}, score double, predicted int, evidence string")
+    number = f"`{row}` {rows.schema['__row'].dataType.simpleString()}, " if row else ""
+    return counts.mapInPandas(scored, f"`{key}` {kind}, {number}score double, predicted int, evidence string")
