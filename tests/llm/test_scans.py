@@ -5,6 +5,7 @@ import re
 from tests.llm.helpers import AWKWARD, docs, words
 from tidemark.llm import fingerprints, pii, secrets
 from tidemark.llm.html_text import Page, TreeModel, built_pages, main_text
+from tidemark.llm.queries import QUERIES
 from tidemark.llm.segmentations import Lattices, Vocabulary, decoded, sample, sampled_segmentations, split_words
 
 
@@ -152,3 +153,11 @@ def test_inclusion_is_unbiased():
     mass = sum(float(lattices.log_z[k]) for k in kinds[0])
     assert abs(np.mean([sum(np.exp(s["log_p"] - mass) / s["inclusion"] for s in f) for f in found]) - 1) < 0.02
     assert re.match(r"\S", split_words("x")[0])
+
+
+def test_segmentation_query_decodes_every_document(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in docs.collect()}
+    got = QUERIES["op8_sampled_segmentations"](spark, sf_dir).select("doc_id", "decoded_sha256").collect()
+    assert {r.doc_id for r in got} == set(want)
+    assert all(r.decoded_sha256 == want[r.doc_id] for r in got)

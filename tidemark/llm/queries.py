@@ -15,7 +15,7 @@ from .pii import personal_data
 from .quality import quality
 from .secrets import KINDS as SECRET_KINDS
 from .secrets import secret_spans
-from .segmentations import sampled_segmentations
+from .segmentations import decoded, sampled_segmentations
 from .toxicity import toxicity
 
 
@@ -63,7 +63,8 @@ def op7_secret_scan(spark, sf_dir):
 
 
 def op8_sampled_segmentations(spark, sf_dir):
-    return sampled_segmentations(table(spark, sf_dir, "conversations"), ("conv_id", "turn"))
+    found = decoded(sampled_segmentations(table(spark, sf_dir, "documents"), ("doc_id",)), text="decoded")
+    return found.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 def op9_main_text(spark, sf_dir):
