@@ -3,7 +3,7 @@ import numpy as np
 from tests.llm.helpers import AWKWARD, LABELS, docs, words
 from tidemark.llm import packing
 from tidemark.llm.quality import Machine, quality
-from tidemark.llm.toxicity import Neighbours, toxicity
+from tidemark.llm.toxicity import Index, merge, parts_of, toxicity
 
 
 def labelled(spark, rows):
@@ -20,23 +20,81 @@ def test_toxicity_learns_and_takes_awkward_rows(spark):
     assert toxicity(docs(spark, []), labels).count() == 0
 
 
+def plain_neighbours(texts, labels, every):
+    """Cosines of every text with the labelled ones over all words, by dictionaries."""
+    import math
+    import re
+    from collections import Counter
+
+    bags = {i: Counter(re.findall(r"[^\W_]+", (t or "").lower())) for i, t in every.items()}
+    df = Counter(w for b in bags.values() for w in b)
+    seen = Counter(w for i in labels for w in bags[i])
+    good = Counter(w for i, y in labels.items() if y for w in bags[i])
+    share = sum(labels.values()) / len(labels)
+    weight = {w: math.log(1 + len(bags) / df[w]) * (1 + max((good[w] - n * share) / math.sqrt(n * share * (1 - share) + 4), 0)) for w, n in seen.items()}
+    vector = lambda b: {w: (1 + math.log(n)) * weight.get(w, math.log(1 + len(labels))) for w, n in b.items()}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    vectors = {i: vector(b) for i, b in bags.items()}
+    out = {}
+    for i, v in vectors.items():
+        sims = [(round(sum(x * vectors[j].get(w, 0) for w, x in v.items()) / (length(v) * length(vectors[j])), 4), j) for j in labels if v and vectors[j]]
+        out[i] = sorted((s for s, _ in sims if s > 0), reverse=True)[:3]
+    return out
+
+
+def test_toxicity_neighbours_over_whole_texts(spark):
+    texts = [words(40 + i % 90, i % 70) + " " + words(20, 1000 + i % 9) + (" you idiot moron" if i % 4 == 0 else "") for i in range(160)]
+    df, rows = docs(spark, [*texts, "", None, "unheard of"]), [(i, 1, int(i % 4 == 0)) for i in range(90)]
+    labels = labelled(spark, rows)
+    want = plain_neighbours(texts, {i: y for i, _, y in rows}, dict(enumerate([*texts, "", None, "unheard of"])))
+    one = {r.doc_id: r for r in toxicity(df, labels).collect()}
+    for i, sims in want.items():
+        have = [float(e.rpartition(":")[2]) for e in one[i].evidence.split(",") if e]
+        # equal vectors are one entry, so a text's neighbours are those of its different cosines or more
+        assert len(have) == len(sims) == 0 or abs(have[0] - sims[0]) < 2e-4 and set(np.round(have, 3)) <= {x for s in plain_all(texts, rows, i) for x in (round(s - 0.001, 3), round(s, 3), round(s + 0.001, 3))}
+    assert one[160].evidence == one[161].evidence == one[162].evidence == "" and one[160].score == one[162].score
+    # indexes of few postings each find the same
+    many = {r.doc_id: r for r in toxicity(df, labels, postings=900).collect()}
+    sims = lambda r: [float(e.rpartition(":")[2]) for e in r.evidence.split(",") if e]
+    assert all(np.allclose(sims(many[i]), sims(one[i]), atol=2e-4) for i in one)
+    assert max(abs(many[i].score - one[i].score) for i in one) < 1e-3
+
+
+def plain_all(texts, rows, i, held={}):  # noqa: B006
+    if not held:
+        import math
+        import re
+        from collections import Counter
+
+        labels = {k: y for k, _, y in rows}
+        bags = [Counter(re.findall(r"[^\W_]+", t.lower())) for t in texts]
+        df = Counter(w for b in bags for w in b)
+        seen, good = Counter(w for k in labels for w in bags[k]), Counter(w for k, y in labels.items() if y for w in bags[k])
+        share = sum(labels.values()) / len(labels)
+        weight = {w: math.log(1 + (len(bags) + 3) / df[w]) * (1 + max((good[w] - n * share) / math.sqrt(n * share * (1 - share) + 4), 0)) for w, n in seen.items()}
+        vectors = [{w: (1 + math.log(n)) * weight.get(w, math.log(1 + len(labels))) for w, n in b.items()} for b in bags]
+        lengths = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
+        held["sims"] = [{sum(x * vectors[j].get(w, 0) for w, x in v.items()) / (a * lengths[j]) for j in labels} for v, a in zip(vectors, lengths, strict=True)]
+    return held["sims"][i] if i < len(texts) else ()
+
+
 def test_neighbours_are_exact():
     rng = np.random.default_rng(2)
-    vectors = []
-    for _ in range(900):
-        at = np.sort(rng.choice(60, rng.integers(1, 8), replace=False)).astype(np.int32)
-        vectors.append((at, rng.integers(1, 5, len(at)).astype(np.int32)))
-    idf = rng.random(60) + 0.5
-    index = Neighbours(vectors, rng.integers(0, 2, 900), list(range(900)), idf)
-    dense = np.zeros((len(index.n), 60))
-    for (at, w), k in ((tuple(np.frombuffer(b, t) for b, t in zip(name, (np.int32, float), strict=True)), k) for name, k in index.own.items()):
-        dense[k, at] = w
-    for at, n in vectors[:100]:
-        q = np.zeros(60)
-        q[at] = index.vector(at, n)[1]
-        want = np.sort((dense @ q).round(9))[::-1][:32]
-        got = index.nearest(*index.vector(at, n))[1]
-        assert np.allclose(got, want[want > 0][: len(got)], atol=1e-8) and len(got) == min(32, int((dense @ q > 0).sum()))
+    vectors, dense = [], np.zeros((900, 60), np.float32)
+    for k in range(900):
+        at = np.sort(rng.choice(60, rng.integers(1, 8), replace=False) if k % 3 else rng.choice(4, 2, replace=False))
+        vectors.append((at, rng.random(len(at)).astype(np.float32)))
+        dense[k, at] = vectors[-1][1]
+    for index in (Index(vectors, 60), Index(vectors[:500], 60)):
+        for at, w in vectors[::7]:
+            sims = np.round(dense[: index.n, at] @ w, 6)
+            want = np.lexsort((np.arange(index.n), -sims))[:32]
+            ids, found = index.nearest(at, w)
+            assert np.allclose(found, sims[want][sims[want] > 0], atol=2e-6) and len(set(ids.tolist())) == len(ids)
+    parts = [Index(vectors[a:b], 60, a) for a, b in parts_of(vectors, 700)]
+    assert len(parts) > 3
+    for at, w in vectors[::50]:
+        assert np.allclose(merge([p.nearest(at, w) for p in parts])[1], Index(vectors, 60).nearest(at, w)[1], atol=2e-6)
 
 
 def test_quality_learns_and_takes_awkward_rows(spark):

@@ -1,179 +1,218 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
-
-Terms are lower-cased words and word beginnings of four to eight bytes. Of these, those that set the
-labelled classes apart (`SELECT_Z` standard deviations, `TERMS` at most) span the space; their document
-frequencies are counted over all documents. The examples are a bounded sample of labelled rows
-(`EXAMPLES`); equal vectors are one entry with its counts of either label. Entries lie in blocks, and
-each term keeps its largest weight in every block: a text visits blocks by falling bound and stops when
-no bound reaches its k-th similarity, which leaves the result exact. Neighbours vote by nearness; votes
-are calibrated by a logistic curve fitted on leave-one-out votes of the examples.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine under block-max inverted indexes.
+
+A text's vector has all its lower-cased words. A word weighs (1 + ln tf) * ln(1 + N / df) * relevance, with
+document frequencies over all documents; relevance is 1 plus the deviations (shrunk, at least 0) by which
+the word's examples are more often positive than the mean, so no word is dropped and labels only stretch
+the axes. The examples are a bounded sample of labelled rows (`EXAMPLES`); equal vectors are one entry with
+its counts of either label. A word that no example has is in no dot product; it lengthens its text by the
+weight of a word in one text of so many as there are examples.
+
+Entries lie in blocks. Words of few entries have posting lists, which are summed whole; a word of many
+entries has its largest weight in every block and is read only in blocks whose bound (the exact part plus
+these maxima) reaches the k-th similarity, best bounds first, which leaves the result exact. Neighbours
+vote by nearness; votes are calibrated by a logistic curve fitted on leave-one-out votes of the examples.
+An index holds at most `POSTINGS` of them; more examples, or longer ones, make more indexes, which the
+documents pass one after another, keeping their best.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, cut, whole_text
-from .tokens import LOOSE, mix, span_hashes, texts_of, word_spans
+from .tokens import LOOSE, span_hashes, texts_of, word_spans
 
-EXAMPLES, TERMS, SELECT_Z, LEAST_DF, NEIGHBOURS, BLOCK_SIZE = 8192, 512, 6.0, 5, 32, 64
-HEADS = (4, 5, 6, 7, 8)
+EXAMPLES, NEIGHBOURS, BLOCK_SIZE, FREQUENT, SHRINK, POSTINGS = 8192, 32, 64, 16, 4.0, 4_000_000
+ARRAYS = pa.list_(pa.int64())
 
 
-def _terms(batch: pa.RecordBatch, text: str):
-    """Each text's place and its terms with repeats: words, then their beginnings."""
-    for first, data, bounds in texts_of(batch, text):
+def _counts(batch: pa.RecordBatch, text: str):
+    """Each text's distinct words, sorted hashes, and how often it has them."""
+    for _, data, bounds in texts_of(batch, text):
         starts, ends = word_spans(data, bounds, LOOSE)
-        rows = span_hashes(data, starts, ends, HEADS)
-        yield first, rows, np.searchsorted(starts, bounds)
+        hashes = span_hashes(data, starts, ends)
+        at = np.searchsorted(starts, bounds)
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            yield np.unique(hashes[i:j], return_counts=True)
+
 
+def _places(found: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of words, which are in the space, and their places there."""
+    if not len(space):
+        return np.zeros(len(found), bool), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(space, found), len(space) - 1)
+    inside = space[at] == found
+    return inside, at[inside]
 
-def select_terms(examples: DataFrame, text: str = "text", label: str = "label", terms: int = TERMS) -> np.ndarray:
-    """Hashes of the terms whose share of positive examples is furthest from the mean share."""
+
+def example_words(train: DataFrame) -> list[tuple]:
+    """(id, label, words, counts) of the examples, by id."""
+    kind = train.schema["__id"].dataType.simpleString()
 
     def counted(batches):
-        held: list[np.ndarray] = []
-        good: list[np.ndarray] = []
         for batch in batches:
-            labels = batch.column(label).to_numpy(zero_copy_only=False)
-            for first, rows, at in _terms(batch, text):
-                for k in range(len(at) - 1):
-                    found = np.unique(rows[:, at[k] : at[k + 1]])
-                    held.append(found[found != 0])
-                    good.append(np.full(len(held[-1]), labels[first + k], np.int64))
-        if held:
-            found, back = np.unique(np.concatenate(held), return_inverse=True)
-            n, positive = np.bincount(back), np.bincount(back, np.concatenate(good)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n), pa.array(positive)], ["term", "n", "positive"])
-
-    total, share = examples.agg(F.count("*"), F.avg(label)).first()
-    if not total or share in (0, 1):
-        return np.zeros(0, np.uint64)
-    z = (F.col("positive") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    best = (
-        examples.mapInArrow(counted, "term long, n long, positive long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("positive").alias("positive"))
-        .where(F.col("n") >= LEAST_DF).withColumn("z", F.abs(z)).where(F.col("z") >= SELECT_Z).orderBy(F.desc("z"), "term").limit(terms).toPandas()
-    )
-    return np.sort(best["term"].to_numpy(np.int64, copy=True).view(np.uint64))
-
-
-def term_counts(docs: DataFrame, terms: np.ndarray, text: str = "text") -> DataFrame:
-    """The rows without their text, with `__at` and `__n`: which of the terms each text has, how often."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
-    held = [c for c in docs.columns if c != text]
-    schema = docs.select(held).withColumns({"__at": F.array().cast("array<int>"), "__n": F.array().cast("array<int>")}).schema
+            found = list(_counts(batch, "__text"))
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("label"), pa.array([f.view(np.int64) for f, _ in found], ARRAYS), pa.array([n for _, n in found], ARRAYS)], ["__id", "label", "words", "counts"])
+
+    got = train.mapInArrow(counted, f"__id {kind}, label int, words array<long>, counts array<long>").orderBy("__id").toPandas()
+    return [(i, y, np.asarray(w, np.int64).view(np.uint64), np.asarray(n, np.int64)) for i, y, w, n in zip(got["__id"], got["label"], got["words"], got["counts"], strict=True)]
+
+
+def document_frequencies(rows: DataFrame, space: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of all rows, and of those that have each word of the space."""
+    shared = rows.sparkSession.sparkContext.broadcast(space)
 
     def counted(batches):
-        terms = shared.value
-        # a first look at 16 bits settles most words
-        maybe = np.zeros(1 << 16, bool)
-        maybe[(terms >> np.uint64(48)).astype(np.int64)] = True
+        total, df = 0, np.zeros(len(shared.value), np.int64)
         for batch in batches:
-            at_out, n_out = [], []
-            for _, rows, at in _terms(batch, text):
-                texts = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                hit_row, hit = np.nonzero(maybe[(rows >> np.uint64(48)).astype(np.int64)])
-                values = rows[hit_row, hit]
-                if len(terms) and len(values):
-                    where = np.minimum(np.searchsorted(terms, values), len(terms) - 1)
-                    right = terms[where] == values
-                    keys, n = np.unique(texts[hit[right]] * len(terms) + where[right], return_counts=True)
-                else:
-                    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                ends = np.searchsorted(keys, np.arange(len(at)) * max(len(terms), 1))
-                for a, b in zip(ends[:-1], ends[1:], strict=True):
-                    at_out.append((keys[a:b] % max(len(terms), 1)).astype(np.int32))
-                    n_out.append(n[a:b].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in held), pa.array(at_out, pa.list_(pa.int32())), pa.array(n_out, pa.list_(pa.int32()))], [*held, "__at", "__n"])
-
-    return docs.mapInArrow(counted, schema)
-
-
-class Neighbours:
-    """Labelled vectors under a block-max inverted index, and the calibration of their votes."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list, idf: np.ndarray):
-        self.idf, entries = idf, {}
-        for (at, n), y, i in zip(vectors, labels, ids, strict=True):
-            w = self.vector(at, n)[1] if len(at) else n
-            e = entries.setdefault((at.tobytes(), np.round(w, 12).tobytes()), [at, w, 0, 0, i])
-            e[2], e[3] = e[2] + 1, e[3] + int(y)
-        self.empty = entries.pop((b"", b""), [0, 0, 0, 0, None])
-        self.prior = (labels.sum() + 1) / (len(labels) + 2)
-        # entries with the same leading term lie together, so that blocks have tight bounds
-        made = [tuple(e) for e in entries.values()]
-        made.sort(key=lambda e: (int(e[0][e[1].argmax()]), -float(e[1].max()), e[0].tobytes(), e[1].tobytes()))
-        self.n, self.good = np.array([e[2] for e in made], float), np.array([e[3] for e in made], float)
-        self.ids = [e[4] for e in made]
-        blocks = max(1, -(-len(made) // BLOCK_SIZE))
-        self.most = np.zeros((len(idf), blocks), np.float32)
-        self.place = {}
-        lists: list[list] = [[] for _ in idf]
-        for k, (at, w, *_) in enumerate(made):
-            for t, x in zip(at, w, strict=True):
-                lists[t].append((k, x))
-                self.most[t, k // BLOCK_SIZE] = max(self.most[t, k // BLOCK_SIZE], np.nextafter(np.float32(x), np.float32(2)))
-        self.postings = [(np.array([k for k, _ in p], np.int64), np.array([x for _, x in p])) for p in lists]
-        self.starts = [np.searchsorted(k, np.arange(blocks + 1) * BLOCK_SIZE) for k, _ in self.postings]
-        self.own = {(e[0].tobytes(), e[1].tobytes()): k for k, e in enumerate(made)}
-        votes, truth, weight = [], [], []
-        for at, w, n, good, _ in made:
-            near = self.nearest(at, w)
-            k = self.own[at.tobytes(), w.tobytes()]
-            for y, m in ((1, good), (0, n - good)):
-                if m:
-                    votes.append(self.vote(near, less=(k, y))), truth.append(y), weight.append(m)
-        for y, m in ((1, self.empty[3]), (0, self.empty[2] - self.empty[3])):
-            if m:
-                votes.append(self.vote(None, less=(-1, y))), truth.append(y), weight.append(m)
-        self.curve = _logistic(np.array(votes), np.array(truth, float), np.array(weight, float))
+            total += batch.num_rows
+            for found, _ in _counts(batch, "__text"):
+                df[_places(found, shared.value)[1]] += 1
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(df[seen], total))], ["place", "n"])
 
-    def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(n)) * self.idf[at]
-        return at, w / np.sqrt((w * w).sum())
+    got = rows.select("__text").mapInArrow(counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    df, place, n = np.ones(len(space)), got["place"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    df[place[place >= 0]] = n[place >= 0]
+    return max(int(n[place < 0].sum()), 1), df
 
-    def nearest(self, at: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest entries and their cosines, exactly; of equal cosines the first entry."""
-        bound = w @ self.most[at]
+
+class Weights:
+    """The space of the examples' words and the weight of each."""
+
+    def __init__(self, space: np.ndarray, weight: np.ndarray, unseen: float):
+        self.space, self.weight, self.unseen = space, weight, unseen
+
+    def vector(self, found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and weights of a text's words in the space, by the length of the whole text."""
+        inside, at = _places(found, self.space)
+        tf = 1 + np.log(counts)
+        w = tf[inside] * self.weight[at]
+        length = np.sqrt((w * w).sum() + ((tf[~inside] * self.unseen) ** 2).sum())
+        return at, (w / length if length else w).astype(np.float32)
+
+
+def relevance(words: list[np.ndarray], labels: np.ndarray, space: np.ndarray) -> np.ndarray:
+    n, good = np.zeros(len(space)), np.zeros(len(space))
+    for found, y in zip(words, labels, strict=True):
+        at = np.searchsorted(space, found)
+        n[at] += 1
+        good[at] += y
+    share = labels.mean()
+    return 1 + np.maximum((good - n * share) / np.sqrt(n * share * (1 - share) + SHRINK), 0)
+
+
+class Index:
+    """Vectors under a block-max inverted index. first: the number of its first entry."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], width: int, first: int = 0):
+        self.first, self.n = first, len(vectors)
+        self.blocks = max(1, -(-self.n // BLOCK_SIZE))
+        entry = np.repeat(np.arange(self.n), [len(at) for at, _ in vectors])
+        term = np.concatenate([at for at, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0, np.float32)
+        df = np.bincount(term, minlength=width)
+        often = df * FREQUENT > self.n
+        self.row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        self.dense = np.zeros((int(often.sum()), self.blocks * BLOCK_SIZE), np.float32)
+        mine = often[term]
+        self.dense[self.row[term[mine]], entry[mine]] = weight[mine]
+        self.most = np.nextafter(self.dense.reshape(len(self.dense), self.blocks, BLOCK_SIZE).max(2), np.float32(2)) if len(self.dense) else np.zeros((0, self.blocks), np.float32)
+        term, entry, weight = term[~mine], entry[~mine], weight[~mine]
+        order = np.argsort(term, kind="stable")
+        self.entry, self.weight = entry[order].astype(np.int32), weight[order]
+        self.start = np.searchsorted(term[order], np.arange(width + 1)).astype(np.int64)
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest entries and their cosines, exactly; of equal cosines (to a millionth) the first entry."""
+        rows = self.row[at]
+        rare, often = rows < 0, rows >= 0
+        a, size = self.start[at[rare]], np.diff(self.start)[at[rare]]
+        flat = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+        exact = np.bincount(self.entry[flat], self.weight[flat] * np.repeat(w[rare], size), self.blocks * BLOCK_SIZE)
+        rows, w = rows[often], w[often]
+        bound = exact.reshape(self.blocks, BLOCK_SIZE).max(1) + w @ self.most[rows] + 1e-6
         order = np.argsort(-bound, kind="stable")
-        ids, sims, i, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
-        while i < len(order) and bound[order[i]] > 0:
-            if len(sims) >= NEIGHBOURS and bound[order[i]] < sims[-1] - 1e-9:
-                break
-            for block in order[i : i + step]:
-                scores = np.zeros(BLOCK_SIZE)
-                for t, x in zip(at, w, strict=True):
-                    a, b = self.starts[t][block], self.starts[t][block + 1]
-                    if b > a:
-                        scores[self.postings[t][0][a:b] - block * BLOCK_SIZE] += x * self.postings[t][1][a:b]
-                some = np.flatnonzero(scores)
-                ids, sims = np.append(ids, some + block * BLOCK_SIZE), np.append(sims, scores[some])
-            top = np.lexsort((ids, -np.round(sims, 9)))[:NEIGHBOURS]
-            ids, sims, i, step = ids[top], sims[top], i + step, step * 2
-        return ids, sims
-
-    def vote(self, near: tuple[np.ndarray, np.ndarray] | None, less: tuple[int, int] | None = None) -> float:
+        ids, sims, i, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        while i < len(order) and bound[order[i]] > 1e-6:
+            some = order[i : i + step]
+            if len(sims) >= k:
+                some = some[bound[some] >= sims[-1]]
+                if not len(some):
+                    break
+            members = (some[:, None] * BLOCK_SIZE + np.arange(BLOCK_SIZE)).ravel()
+            scores = np.round(exact[members] + w @ self.dense[rows[:, None], members[None, :]], 6) if len(rows) else np.round(exact[members], 6)
+            good = scores > 0
+            if len(sims) >= k:
+                good &= scores >= sims[-1]
+            ids, sims = np.append(ids, members[good]), np.append(sims, scores[good])
+            top = np.lexsort((ids, -sims))[:k]
+            ids, sims, i, step = ids[top], sims[top], i + step, step * 4
+        return ids + self.first, sims
+
+
+class Votes:
+    """How the entries vote, and the calibration of their votes."""
+
+    def __init__(self, n: np.ndarray, good: np.ndarray, ids: list):
+        self.n, self.good, self.ids = n, good, ids
+        self.prior = (good.sum() + 1) / (n.sum() + 2)
+        self.curve = (1.0, 0.0)
+
+    def vote(self, ids: np.ndarray, sims: np.ndarray, less: tuple[int, int] | None = None) -> float:
         """Logit of the share of nearness-weighted votes. less: an entry that loses one vote of a label."""
-        if near is None or not len(near[0]):
-            n, good, w = np.array([float(self.empty[2])]), np.array([float(self.empty[3])]), np.ones(1)
-            mine = np.array([bool(less and less[0] == -1)])
-        else:
-            n, good, w = self.n[near[0]], self.good[near[0]], 1 / (0.05 + 1 - np.minimum(near[1], 1))
-            mine = near[0] == (less[0] if less else -1)
+        n, good, w = self.n[ids], self.good[ids], 1 / (0.05 + 1 - np.minimum(sims, 1))
         if less:
+            mine = ids == less[0]
             n, good = n - mine, good - mine * less[1]
         share = ((w * good).sum() + self.prior) / ((w * n).sum() + 1)
         return float(np.log(share / (1 - share)))
 
-    def score(self, at: np.ndarray, n: np.ndarray) -> tuple[float, str]:
-        near = self.nearest(*self.vector(at, n)) if len(at) else None
+    def calibrate(self, near: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        votes, truth, weight = [], [], []
+        for k, (n, good) in enumerate(zip(self.n, self.good, strict=True)):
+            for y, m in ((1, good), (0, n - good)):
+                if m:
+                    votes.append(self.vote(*near[k], less=(k, y))), truth.append(y), weight.append(m)
+        self.curve = _logistic(np.array(votes), np.array(truth, float), np.array(weight, float))
+
+    def score(self, ids: np.ndarray, sims: np.ndarray) -> tuple[float, str]:
         a, b = self.curve
-        evidence = ",".join(f"{self.ids[k]}:{s:.4f}" for k, s in zip(near[0][:3], near[1][:3], strict=True)) if near else ""
-        return float(1 / (1 + np.exp(-(a * self.vote(near) + b)))), evidence
+        return float(1 / (1 + np.exp(-(a * self.vote(ids, sims) + b)))), ",".join(f"{self.ids[k]}:{s:.4f}" for k, s in zip(ids[:3].tolist(), sims[:3].tolist(), strict=True))
+
+
+def merge(near: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    """The best k of several indexes' nearest."""
+    if len(near) == 1:
+        return near[0]
+    ids, sims = np.concatenate([i for i, _ in near]), np.concatenate([s for _, s in near])
+    top = np.lexsort((ids, -sims))[:k]
+    return ids[top], sims[top]
+
+
+def entries(words: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, ids: list, weights: Weights) -> tuple[list, np.ndarray, np.ndarray, list]:
+    """The different vectors, how many examples have each, how many of these are positive, and the first's id.
+    Vectors with the same leading word lie together, so that blocks have tight bounds."""
+    found: dict = {}
+    for f, c, y, i in zip(words, counts, labels, ids, strict=True):
+        e = found.setdefault((f.tobytes(), c.tobytes()), [*weights.vector(f, c), 0, 0, i])
+        e[2], e[3] = e[2] + 1, e[3] + int(y)
+    made = sorted(found.values(), key=lambda e: (int(e[0][e[1].argmax()]) if len(e[0]) else -1, -float(e[1].max(initial=0)), e[0].tobytes(), e[1].tobytes()))
+    return [(e[0], e[1]) for e in made], np.array([e[2] for e in made], float), np.array([e[3] for e in made], float), [e[4] for e in made]
+
+
+def parts_of(vectors: list[tuple[np.ndarray, np.ndarray]], most: int = POSTINGS) -> list[tuple[int, int]]:
+    """Runs of vectors of at most `most` postings together, one vector at least."""
+    parts, a, held = [], 0, 0
+    for k, (at, _) in enumerate(vectors):
+        if held and held + len(at) > most:
+            parts.append((a, k))
+            a, held = k, 0
+        held += len(at)
+    return [*parts, (a, len(vectors))]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple[float, float]:
@@ -191,46 +230,64 @@ def _logistic(x: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple[float, float
     return max(a, 0.05), b
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, row: str | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, row: str | None = None, postings: int = POSTINGS) -> DataFrame:
     """One row per document: key, score (0 to 1), predicted (1 from 0.5), evidence (nearest examples).
 
     labels: (key, label) rows to learn from; rows with a null key or label are left out, and of a key's
-    conflicting labels 1 counts. At most `examples` labelled documents are used. Null texts are empty; a
-    text with none of the terms scores as such examples do, and with no labels at all every score is 0.25. row: a column
-    that numbers the rows, which is passed on. Other columns, clashing names too, are ignored.
+    conflicting labels 1 counts. At most `examples` labelled keys are used; of a repeated key's texts, the one
+    of the least hash. Every row gets a row of its own, repeated keys and equal texts too. Null texts are
+    empty; a text that shares no word with an example has no evidence and scores by the share of positive
+    examples, and with no labels at all every score is 0.25. row: a column that numbers the rows, which is
+    passed on. Other columns, clashing names too, are ignored.
     """
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
     own = [F.col(row).alias("__row")] if row else []
     rows = docs.select(F.col(key).alias("__id"), *own, whole_text(text).alias("__text"))
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = bounded_sample(marked, "__id", examples)
-    train = cut(rows.join(F.broadcast(chosen), "__id").limit(2 * examples))
-    terms = select_terms(train, "__text")
-    counts = cut(term_counts(rows, terms, "__text"))
-    total = max(counts.count(), 1)
-    df = np.zeros(len(terms))
-    for t, n in counts.select(F.explode("__at").alias("t")).groupBy("t").count().collect():
-        df[t] = n
-    idf = np.log((1 + total) / (1 + df)) + 1
-    own = term_counts(train, terms, "__text").orderBy("__id").toPandas()
-    vectors = [(np.asarray(a, np.int32), np.asarray(n, np.int32)) for a, n in zip(own["__at"], own["__n"], strict=True)]
-    index = spark.sparkContext.broadcast(Neighbours(vectors, own["label"].to_numpy(), own["__id"].tolist(), idf) if len(own) else None)
+    of = rows.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.min(F.struct(F.xxhash64("__text"), "__text")).alias("t"), F.max("label").alias("label"))
+    held = example_words(cut(of.select("__id", "label", F.col("t.__text").alias("__text"))))
+    ids, marks, words, counts = [h[0] for h in held], np.array([h[1] for h in held], float), [h[2] for h in held], [h[3] for h in held]
+    parts, votes, shared = [], None, sc.broadcast(None)
+    if held:
+        space = np.unique(np.concatenate(words))
+        total, df = document_frequencies(rows, space)
+        weights = Weights(space, np.log(1 + total / df) * relevance(words, marks, space), float(np.log(1 + len(held))))
+        vectors, n, good, first = entries(words, counts, marks, ids, weights)
+        votes = Votes(n, good, first)
+        indexes = [Index(vectors[a:b], len(space), a) for a, b in parts_of(vectors, postings)]
+        votes.calibrate([merge([i.nearest(*v) for i in indexes]) for v in vectors])
+        parts, shared = [sc.broadcast(i) for i in indexes], sc.broadcast((weights, votes))
+    kind = rows.schema["__id"].dataType.simpleString()
+    number = f"`{row}` {rows.schema['__row'].dataType.simpleString()}, " if row else ""
+
+    def search(part):
+        """The rows with the best so far: of what earlier indexes found and this one's."""
+
+        def found(batches):
+            weights = shared.value[0]
+            for batch in batches:
+                near = [part.value.nearest(*weights.vector(*c)) for c in _counts(batch, "__text")]
+                if "__ids" in batch.schema.names:
+                    near = [merge([(np.array(i, np.int64), np.array(s)), n]) for i, s, n in zip(batch.column("__ids").to_pylist(), batch.column("__sims").to_pylist(), near, strict=True)]
+                kept = [c for c in batch.schema.names if c not in ("__ids", "__sims")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([i for i, _ in near], ARRAYS), pa.array([s for _, s in near], pa.list_(pa.float64()))], [*kept, "__ids", "__sims"])
+
+        return found
+
+    for part in parts[:-1]:
+        rows = cut(rows.mapInArrow(search(part), rows.select(*(c for c in rows.columns if c not in ("__ids", "__sims"))).withColumns({"__ids": F.array().cast("array<long>"), "__sims": F.array().cast("array<double>")}).schema))
 
     def scored(batches):
-        known: dict = {}
-        for frame in batches:
-            out = []
-            for at, n in zip(frame["__at"], frame["__n"], strict=True):
-                at, n = np.asarray(at, np.int32), np.asarray(n, np.int32)
-                name = (at.tobytes(), n.tobytes())
-                if name not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[name] = index.value.score(at, n) if index.value else (0.25, "")
-                out.append(known[name])
+        for batch in search(parts[-1])(batches) if parts else batches:
+            if parts:
+                out = [shared.value[1].score(np.array(i, np.int64), np.array(s)) for i, s in zip(batch.column("__ids").to_pylist(), batch.column("__sims").to_pylist(), strict=True)]
+            else:
+                out = [(0.25, "")] * batch.num_rows
             score = np.array([s for s, _ in out], float)
-            yield pd.DataFrame({key: frame["__id"], **({row: frame["__row"]} if row else {}), "score": score, "predicted": (score >= 0.5).astype(np.int32), "evidence": [e for _, e in out]})
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("__id"), *([batch.column("__row")] if row else []), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([e for _, e in out], pa.string())],
+                [key, *([row] if row else []), "score", "predicted", "evidence"],
+            )
 
-    kind = rows.schema["__id"].dataType.simpleString()
-    number = f"`{row}` {rows.schema['__row'].dataType.simpleString()}, " if row else ""
-    return counts.mapInPandas(scored, f"`{key}` {kind}, {number}score double, predicted int, evidence string")
+    return rows.mapInArrow(scored, f"`{key}` {kind}, {number}score double, predicted int, evidence string")
