@@ -32,6 +32,56 @@ def test_secrets_awkward_rows_and_redaction(spark):
     assert secrets.secret_spans(docs(spark, [])).count() == 0 and secrets.redact(docs(spark, [])).count() == 0
 
 
+def plain_secrets(text):
+    """The contract's patterns, read off one by one."""
+    found = []
+    for m in re.finditer(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text):
+        if len(m[2]) >= 8:
+            found.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    found += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return [f for _, _, f in sorted(found)]
+
+
+def test_secret_query_against_the_patterns(spark, tmp_path):
+    rng = random.Random(6)
+    piece = lambda: rng.choice(["token", "Secret", " = ", ": ", "'", '"', "AKIA", "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([8, 31, 33]))), "".join(rng.choice("ABCDEFGH0123") for _ in range(14)), "é😀", " the ", "api_key", "apikey", "passwd=", "a.b-c/d+e_f=", "\n"])
+    texts = ["".join(piece() for _ in range(rng.randint(1, 40))) for _ in range(150)]
+    docs(spark, [*texts, None, ""]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op7_secret_scan"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate([*texts, "", ""]):
+        want, r = plain_secrets(t), got[i]
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s and not s.startswith("crf")] == want
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex"))
+        every = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s]
+        assert every == sorted(every, key=lambda s: s[0]) and not any(a < y and x < b for a, b in (tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("crf")) for x, y in every if (a, b) != (x, y))
+
+
+def test_field_finds_secrets_that_no_pattern_names(spark):
+    rng = random.Random(8)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(signs) for _ in range(n))
+    texts = [words(80, 3000 + i) for i in range(150)]
+    made = [f"{words(20, i)} {lead}{k} {words(20, 900 + i)}" for i in range(20) for lead, k in (("credential = ", key(24)), ("the pwd: ", key(22)), ("", "ghp_" + key(36)))]
+    df = docs(spark, [*texts, *made])
+    assert all(not secrets.base_spans(m) for m in made)
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.secret_spans(df).collect()}
+    assert sum("crf" in got[150 + i] for i in range(60)) >= 45
+    assert sum(bool(got[i]) for i in range(150)) <= 1
+
+
+def test_secrets_in_a_long_text_take_linear_time():
+    import time
+
+    import pyarrow as pa
+
+    began = time.time()
+    text = ("token = " + "ab12" * 10 + " ") * 20000
+    (_, spans), = secrets._scan(None, pa.RecordBatch.from_arrays([pa.array([text])], ["text"]), "text")
+    assert len(spans) == 40000 and time.time() - began < 20
+
+
 def test_viterbi_cut_at_sure_tokens_equals_the_whole_chain():
     import numpy as np
 
