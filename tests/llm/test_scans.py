@@ -108,6 +108,65 @@ def test_pii_patterns():
     assert pii.base_spans("call +49 (30) 1234-567 now") == [("phone", 5, 22)]
 
 
+def plain_personal(text):
+    """The contract's patterns as they are written."""
+    found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    found += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 16 <= len(d) <= 19 and sum(d[-1::-2] + [2 * x - 9 * (x > 4) for x in d[-2::-2]]) % 10 == 0:
+            found.append(("card", *m.span()))
+    return found + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
+
+
+def test_pii_query_against_the_patterns(spark, tmp_path):
+    rng = random.Random(12)
+    parts = ["a", "b_", "@", "@x", ".", "..", "-", "1", "255", "0256", "4111 1111-1111 1111", "12345678", " ", "+", "+49 (0)", "é", "%", "x.org", "10.0.0.1", ",", "\n", "0" * 17]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    assert all(pii.base_spans(t) == plain_personal(t) for t in texts)
+    docs(spark, [*texts[:80], None, ""]).write.parquet(str(tmp_path / "documents.parquet"))
+    for r in QUERIES["op1_personal_data"](spark, str(tmp_path)).collect():
+        want = [":".join(map(str, s)) for s in plain_personal([*texts[:80], "", ""][r.doc_id])]
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and [s for s in r.spans.split(",") if s and not s.startswith("id")] == want
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(w.startswith(k) for w in want) for k in pii.KINDS)
+
+
+def test_pii_scanning_is_linear():
+    import time
+
+    began = time.time()
+    for text in ("a" * 1_000_000 + " 1", "1" * 1_000_000 + " .", "a" * 1_000_000 + " @", "1." * 500_000, "a@" * 500_000, "+1 " * 300_000, "a1" * 500_000):
+        pii.instances(text, pii.base_spans(text))
+    assert time.time() - began < 20
+
+
+def test_pattern_scores_against_plain_loops(spark):
+    from math import prod
+
+    rng = random.Random(3)
+    edges = sorted({(f"p{rng.randrange(12)}", f"w{rng.randrange(40)}") for _ in range(150)})
+    seeds = {f"w{i}" for i in range(0, 40, 3)}
+    score = {w: float(w in seeds) for _, w in edges}
+    for r in range(pii.ROUNDS):
+        confidence, many = {}, {}
+        for p in {p for p, _ in edges}:
+            own = [w for q, w in edges if q == p]
+            confidence[p], many[p] = sum(score[w] for w in own) / (len(own) + pii.DOUBT), sum(w in seeds for w in own)
+        if r < pii.ROUNDS - 1:
+            for w in score:
+                if w not in seeds:
+                    score[w] = 1 - prod(1 - min(confidence[p], 0.999) for p, v in edges if v == w and many[p])
+    got = {r.pattern: (r.seeds, r.confidence) for r in pii.score_patterns(spark.createDataFrame([(p, w, w in seeds) for p, w in edges], "pattern string, what string, seed boolean")).collect()}
+    assert set(got) == set(confidence) and all(got[p][0] == many[p] and abs(got[p][1] - confidence[p]) < 1e-9 for p in got)
+
+
+def test_pii_common_words_mark_nothing(spark):
+    texts = [f"the of the and of {words(6, i)} of user{i}@site.org and the of {words(4, i)} the of" for i in range(40)]
+    texts += [f"{words(6, 100 + i)} of number{i}-{i}75 {words(9, 50 + i)}" for i in range(3)]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in pii.personal_data(docs(spark, texts)).collect()}
+    assert all(got[i] == ["email"] for i in range(40)) and all(got[i] == [] for i in range(40, 43))
+
+
 def test_pii_contexts_find_unseen_identifiers(spark):
     texts = [f"{words(6, i)} the customer mail is user{i}@site.org thanks {words(4, i)}" for i in range(40)]
     texts += [f"{words(6, 100 + i)} the customer mail is user{i}#site-{i} thanks" for i in range(3)] + [f"{words(5, 300 + i)} costs {i}{i}75 euro" for i in range(20)]
