@@ -17,6 +17,8 @@ documents pass one after another, keeping their best.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, cut, whole_text
 from .tokens import LOOSE, span_hashes, texts_of, word_spans
 
-EXAMPLES, NEIGHBOURS, BLOCK_SIZE, FREQUENT, SHRINK, POSTINGS = 8192, 32, 64, 16, 4.0, 4_000_000
+EXAMPLES, NEIGHBOURS, BLOCK_SIZE, FREQUENT, SHRINK, POSTINGS = 4096, 32, 64, 16, 4.0, 2_000_000
 ARRAYS = pa.list_(pa.int64())
 
 
@@ -48,17 +50,18 @@ def _places(found: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return inside, at[inside]
 
 
-def example_words(train: DataFrame) -> list[tuple]:
-    """(id, label, words, counts) of the examples, by id."""
+def example_words(train: DataFrame) -> tuple[list, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Ids, labels, words and counts of the examples, by id."""
     kind = train.schema["__id"].dataType.simpleString()
 
     def counted(batches):
         for batch in batches:
             found = list(_counts(batch, "__text"))
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("label"), pa.array([f.view(np.int64) for f, _ in found], ARRAYS), pa.array([n for _, n in found], ARRAYS)], ["__id", "label", "words", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("label"), pa.array([f.tobytes() for f, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())], ["__id", "label", "words", "counts"])
 
-    got = train.mapInArrow(counted, f"__id {kind}, label int, words array<long>, counts array<long>").orderBy("__id").toPandas()
-    return [(i, y, np.asarray(w, np.int64).view(np.uint64), np.asarray(n, np.int64)) for i, y, w, n in zip(got["__id"], got["label"], got["words"], got["counts"], strict=True)]
+    got = train.mapInArrow(counted, f"__id {kind}, label int, words binary, counts binary").orderBy("__id").toArrow()
+    of = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in got.column(name)]
+    return got.column("__id").to_pylist(), np.array(got.column("label").to_pylist(), float), of("words", np.uint64), of("counts", np.int32)
 
 
 def document_frequencies(rows: DataFrame, space: np.ndarray) -> tuple[int, np.ndarray]:
@@ -74,8 +77,8 @@ def document_frequencies(rows: DataFrame, space: np.ndarray) -> tuple[int, np.nd
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(df[seen], total))], ["place", "n"])
 
-    got = rows.select("__text").mapInArrow(counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    df, place, n = np.ones(len(space)), got["place"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    got = rows.select("__text").mapInArrow(counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    df, place, n = np.ones(len(space)), got.column("place").to_numpy(), got.column("n").to_numpy()
     df[place[place >= 0]] = n[place >= 0]
     return max(int(n[place < 0].sum()), 1), df
 
@@ -89,6 +92,7 @@ class Weights:
     def vector(self, found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and weights of a text's words in the space, by the length of the whole text."""
         inside, at = _places(found, self.space)
+        at = at.astype(np.int32)
         tf = 1 + np.log(counts)
         w = tf[inside] * self.weight[at]
         length = np.sqrt((w * w).sum() + ((tf[~inside] * self.unseen) ** 2).sum())
@@ -111,8 +115,8 @@ class Index:
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], width: int, first: int = 0):
         self.first, self.n = first, len(vectors)
         self.blocks = max(1, -(-self.n // BLOCK_SIZE))
-        entry = np.repeat(np.arange(self.n), [len(at) for at, _ in vectors])
-        term = np.concatenate([at for at, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        entry = np.repeat(np.arange(self.n, dtype=np.int32), [len(at) for at, _ in vectors])
+        term = np.concatenate([at for at, _ in vectors]) if vectors else np.zeros(0, np.int32)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0, np.float32)
         df = np.bincount(term, minlength=width)
         often = df * FREQUENT > self.n
@@ -123,7 +127,7 @@ class Index:
         self.most = np.nextafter(self.dense.reshape(len(self.dense), self.blocks, BLOCK_SIZE).max(2), np.float32(2)) if len(self.dense) else np.zeros((0, self.blocks), np.float32)
         term, entry, weight = term[~mine], entry[~mine], weight[~mine]
         order = np.argsort(term, kind="stable")
-        self.entry, self.weight = entry[order].astype(np.int32), weight[order]
+        self.entry, self.weight = entry[order], weight[order]
         self.start = np.searchsorted(term[order], np.arange(width + 1)).astype(np.int64)
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +202,7 @@ def entries(words: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarra
     Vectors with the same leading word lie together, so that blocks have tight bounds."""
     found: dict = {}
     for f, c, y, i in zip(words, counts, labels, ids, strict=True):
-        e = found.setdefault((f.tobytes(), c.tobytes()), [*weights.vector(f, c), 0, 0, i])
+        e = found.setdefault(hashlib.blake2b(f.tobytes() + c.tobytes(), digest_size=16).digest(), [*weights.vector(f, c), 0, 0, i])
         e[2], e[3] = e[2] + 1, e[3] + int(y)
     made = sorted(found.values(), key=lambda e: (int(e[0][e[1].argmax()]) if len(e[0]) else -1, -float(e[1].max(initial=0)), e[0].tobytes(), e[1].tobytes()))
     return [(e[0], e[1]) for e in made], np.array([e[2] for e in made], float), np.array([e[3] for e in made], float), [e[4] for e in made]
@@ -246,15 +250,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = bounded_sample(marked, "__id", examples)
     of = rows.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.min(F.struct(F.xxhash64("__text"), "__text")).alias("t"), F.max("label").alias("label"))
-    held = example_words(cut(of.select("__id", "label", F.col("t.__text").alias("__text"))))
-    ids, marks, words, counts = [h[0] for h in held], np.array([h[1] for h in held], float), [h[2] for h in held], [h[3] for h in held]
+    ids, marks, words, counts = example_words(cut(of.select("__id", "label", F.col("t.__text").alias("__text"))))
     parts, votes, shared = [], None, sc.broadcast(None)
-    if held:
+    if ids:
         space = np.unique(np.concatenate(words))
         total, df = document_frequencies(rows, space)
-        weights = Weights(space, np.log(1 + total / df) * relevance(words, marks, space), float(np.log(1 + len(held))))
+        weights = Weights(space, np.log(1 + total / df) * relevance(words, marks, space), float(np.log(1 + len(ids))))
         vectors, n, good, first = entries(words, counts, marks, ids, weights)
         votes = Votes(n, good, first)
+        del words, counts
         indexes = [Index(vectors[a:b], len(space), a) for a, b in parts_of(vectors, postings)]
         votes.calibrate([merge([i.nearest(*v) for i in indexes]) for v in vectors])
         parts, shared = [sc.broadcast(i) for i in indexes], sc.broadcast((weights, votes))
