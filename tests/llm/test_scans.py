@@ -219,6 +219,41 @@ def test_main_text(spark):
     assert main_text(df.limit(0)).count() == 0
 
 
+def test_pages_as_browsers_read_them():
+    texts = lambda h: [x for x in Page(h).texts if x]
+    assert texts('<p>a</p><script src="a.js"/>var a=1;</script><style/>p{}</style><p>b</p>') == ["a", "b"]
+    assert texts("<p>area is <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and more</p>") == ["area is x=2 and more"]
+    assert texts('<p>a<svg class="x"/>b<svg><text>no</text></svg>c</p>') == ["abc"]
+    assert texts("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>e") == ["a", "b", "c", "d", "e"]
+    page = Page("<table><tr><td>a<td>b<tr><td><p>c</table><p>d<div>e")
+    assert [(page.tags[page.parents[i]], t) for i, t in enumerate(page.texts) if t] == [("td", "a"), ("td", "b"), ("p", "c"), ("p", "d"), ("div", "e")]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    began, n = time.time(), 30000
+    for html in ("<div>" * n + "</p>" * n, "<p><button>" + "<label>" * n + "<h2>x" * n, "<div>" * n + "x" + "</div>" * n, "<li>" * n, "</div>" * n + "<p>" * n):
+        Page(html)
+    assert time.time() - began < 20
+
+
+def test_article_pages_that_were_not_learnt_from(spark, sf_dir):
+    from tidemark.llm.html_text import article_labels, train
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    model = train(pages.where("page_id % 2 = 0"))
+    good = bad = 0
+    for r in pages.where("page_id % 2 = 1").collect():
+        page = Page(r.html or "")
+        if labels := article_labels(page):
+            p, _ = model.beliefs(page)
+            for t, y, q in zip(page.texts, labels, p, strict=True):
+                if t is not None:
+                    good, bad = good + ((q >= 0.5) == bool(y)), bad + ((q >= 0.5) != bool(y))
+    assert good and good / (good + bad) >= 0.97, (good, bad)
+
+
 def test_messages_equal_enumeration():
     from itertools import product
     from math import exp

@@ -5,7 +5,10 @@ potential from its features (tag, parent's tag, words of class, id and role, len
 runs) and a potential with its parent by kind of node. Sum-product messages pass upward from the leaves
 and downward from the root, which is exact on a tree, and a run belongs to the text where its marginal
 reaches one half. The potentials are trained by conditional likelihood on labelled pages: pages built by
-rule around fixed cue words, and a bounded sample (`SAMPLE`) of the corpus whose pages mark their article.
+rule around fixed cue words, and a bounded sample (`SAMPLE`, pages of at most `LONGEST` signs) of the corpus
+whose pages mark their article. Every page is read whole, in time linear in its length, however deep its
+elements lie. What browsers don't show is no text: scripts, styles, templates, frames, drawings and what
+`object`, `audio`, `video`, `canvas` and `noscript` hold for those that can't show them. Formulas are text.
 """
 
 from __future__ import annotations
@@ -20,13 +23,13 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, whole_text
 
-SAMPLE, ROUNDS = 128, 20
+SAMPLE, LONGEST, ROUNDS = 128, 100_000, 20
 
 # Element names of HTML by role, and words by which pages name what isn't their article.
 BLOCKS = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
-RAW = set("script style noscript template iframe svg math object textarea audio video canvas noframes noembed xmp".split())
+RAW = set("script style noscript template iframe svg object textarea audio video canvas noframes noembed xmp".split())
 CLOSES_P = BLOCKS - set("button caption label legend optgroup option td th tr tbody thead tfoot title html head body".split())
 SELF_CLOSING = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "optgroup": ("select",), "tbody": ("table",), "thead": ("table",), "tfoot": ("table",)}
 SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "tbody": ("tbody", "thead", "tfoot"), "thead": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead", "tfoot")}
@@ -62,6 +65,8 @@ class Page:
     def __init__(self, html: str):
         self.tags, self.parents, self.features, self.texts = ["#root"], [-1], [["root"]], [None]
         self._stack, self._parts, self._linked, self._in_link = [0], [], 0, 0
+        # where on the stack the open elements of each tag are
+        self._open_at: dict[str, list[int]] = {"#root": [0]}
         at, end = 0, len(html)
         while at < end:
             m = _TOKEN.search(html, at)
@@ -77,7 +82,8 @@ class Page:
             if m[1]:
                 self._close(tag)
             elif tag in RAW:
-                if not m[3].endswith("/"):
+                # only drawings can close themselves; `<script/>` opens a script
+                if not (tag == "svg" and m[3].endswith("/")):
                     close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
                     at = close.start() if close else end
             else:
@@ -122,16 +128,21 @@ class Page:
                 else:
                     words += [f"word:{w.lower()}" for w in _WORD.findall(value)]
             self._add(tag, words, None)
+            self._open_at.setdefault(tag, []).append(len(self._stack))
             self._stack.append(len(self.tags) - 1)
 
+    def _last(self, tags: tuple) -> int:
+        return max((self._open_at[t][-1] for t in tags if self._open_at.get(t)), default=0)
+
+    def _cut(self, k: int) -> None:
+        while len(self._stack) > k:
+            self._open_at[self.tags[self._stack.pop()]].pop()
+
     def _pop(self, tags: tuple, until: tuple) -> None:
-        for k in range(len(self._stack) - 1, 0, -1):
-            tag = self.tags[self._stack[k]]
-            if tag in tags:
-                del self._stack[k:]
-                return
-            if tag in until:
-                return
+        """Close the last open element of the tags, unless one of `until` was opened after it."""
+        k = self._last(tags)
+        if k and k > self._last(until):
+            self._cut(k)
 
     def _close(self, tag: str) -> None:
         if tag == "a":
@@ -139,10 +150,8 @@ class Page:
         elif tag in BLOCKS:
             self._flush()
             self._in_link = 0
-            for k in range(len(self._stack) - 1, 0, -1):
-                if self.tags[self._stack[k]] == tag:
-                    del self._stack[k:]
-                    return
+            if k := self._last((tag,)):
+                self._cut(k)
 
 
 class TreeModel:
@@ -268,22 +277,25 @@ def built_pages() -> list[tuple[Page, list[int]]]:
     return pages
 
 
-def train(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int = SAMPLE) -> TreeModel:
-    """A model from the built pages and at most `sample` pages of the corpus that mark their article."""
-    rows = pages.select(F.col(key).alias("__id"), F.col(html).alias("__html")).where("__html ilike '%<article%' AND length(__html) < 100000")
+def train(pages: DataFrame, key: str = "page_id", html: str = "html", sample: int = SAMPLE, longest: int = LONGEST) -> TreeModel:
+    """A model from the built pages and at most `sample` pages of the corpus that mark their article; longer
+    pages than `longest` are not learnt from, so that what the driver gathers is bounded."""
+    rows = pages.select(F.col(key).alias("__id"), F.col(html).alias("__html")).where(F.expr("__html ilike '%<article%'") & (F.length("__html") <= longest))
     chosen = bounded_sample(rows.select("__id").where("__id IS NOT NULL").distinct(), "__id", sample)
     found = rows.join(F.broadcast(chosen), "__id").orderBy("__id", F.xxhash64("__html")).limit(sample).select("__html").collect()
     own = [(p, y) for p in (Page(r[0]) for r in found) if (y := article_labels(p))]
     return TreeModel().fit([*built_pages(), *own])
 
 
-def main_text(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ("url",), sample: int = SAMPLE) -> DataFrame:
+def main_text(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ("url",), sample: int = SAMPLE, longest: int = LONGEST) -> DataFrame:
     """One row per page: key, the columns to keep, text, n_chars (code points).
 
     White space inside a block is one space; blocks are joined by one line break. Null and empty pages,
-    and pages without content, have an empty text. Other columns are ignored.
+    and pages without content, have an empty text. Pages of any length and depth are read whole. Rows that
+    repeat a key, or have none, each get their own row. Other columns are ignored.
+    sample, longest: how many pages the model learns from at most, and their greatest length.
     """
-    model = pages.sparkSession.sparkContext.broadcast(train(pages, key, html, sample))
+    model = pages.sparkSession.sparkContext.broadcast(train(pages, key, html, sample, longest))
     rows = pages.select(key, *keep, whole_text(html).alias("__html"))
     schema = rows.drop("__html").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
 
