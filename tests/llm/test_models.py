@@ -150,3 +150,49 @@ def test_best_fit_against_a_plain_scan():
         rooms[b] -= sizes[i]
         want[i] = b
     assert len(set(where)) == len(rooms) and (capacity == 512).all()
+
+
+def total_cost(where, capacity):
+    return sum(packing.bin_cost(int(capacity[list(where).index(b)])) for b in set(where.tolist()))
+
+
+def test_lengths_are_chosen_jointly():
+    rng = np.random.default_rng(9)
+    used = set()
+    for sizes in (rng.integers(1, 4097, 300), rng.integers(1, 400, 500), np.minimum(rng.lognormal(6, 1.2, 600).astype(int) + 1, 4096), np.full(64, 1025), np.array([4096, 1, 1, 600, 600])):
+        where, offset, capacity = packing.pack(sizes)
+        used |= set(capacity.tolist())
+        joint = total_cost(where, capacity)
+        for c in packing.LENGTHS:
+            w, _, final = packing._pack(sizes, packing.LENGTHS, packing.OVERHEAD, packing.ATTENTION, c)
+            assert joint <= total_cost(w, final) + 1e-6
+    assert len(used) >= 3
+
+
+def test_small_packings_near_the_best_there_is():
+    from functools import cache
+
+    rng = np.random.default_rng(10)
+    ratio = []
+    for _ in range(25):
+        sizes = rng.integers(1, 13, 7)
+
+        @cache
+        def best(left):
+            """The least cost of packing the pieces of a bit set, over all groupings and bin sizes."""
+            if not left:
+                return 0.0
+            first = left & -left
+            out, sub = float("inf"), left
+            while sub:
+                if sub & first:
+                    held = sum(int(sizes[i]) for i in range(7) if sub >> i & 1)  # noqa: B023
+                    if held <= 12:
+                        out = min(out, packing.bin_cost(min(c for c in (4, 6, 8, 12) if c >= held), 2.0, 0.05) + best(left & ~sub))  # noqa: B023
+                sub = (sub - 1) & left
+            return out
+
+        where, _, capacity = packing.pack(sizes, (4, 6, 8, 12), 2.0, 0.05)
+        have = sum(packing.bin_cost(int(capacity[list(where).index(b)]), 2.0, 0.05) for b in set(where.tolist()))
+        ratio.append(have / best(127))
+    assert min(ratio) >= 1 - 1e-9 and np.mean(ratio) < 1.05 and max(ratio) < 1.2

@@ -5,8 +5,13 @@ are dealt over shards by a hash of their document, about `SHARD` to a shard howe
 keys and lengths move. In a shard, longest first, each piece goes to the open bin it leaves the least
 room in. If none has room, a bin is opened of the permitted length that costs least per token it can
 still expect to hold: a bin of capacity c costs `overhead + c + c * c * attention`, and can expect its
-first piece and, of what is left to place, the pieces that fit beside it. At the end each bin is
-downsized to the smallest permitted length that holds its contents.
+first piece and, of what is left to place, the pieces that fit beside it. With the defaults a step costs as
+much as 256 tokens, and attention as much as the tokens themselves at 4096, so that about 1024 is cheapest to
+fill. At the end each bin is downsized to the smallest permitted length that holds its contents.
+
+The lengths are chosen jointly: a shard is packed with all lengths open to choice and with a preference for
+each single one (larger ones then only for what needs them), and the packing of the least total cost stays.
+So a shard never costs more than with the best single length.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, whole_text
 
-LENGTHS, SHARD, OVERHEAD, ATTENTION = (512, 1024, 2048, 4096), 20_000, 32.0, 0.0
+LENGTHS, SHARD, OVERHEAD, ATTENTION = (512, 1024, 2048, 4096), 20_000, 256.0, 1 / 4096
 #: A token of the default measure: a run of letters and digits, or one other sign that isn't white space.
 TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]"
 
@@ -29,11 +34,28 @@ def token_count(text: str = "text") -> Column:
     return F.regexp_count(whole_text(text), F.lit(TOKEN)).cast("long")
 
 
+def bin_cost(capacity: int, overhead: float = OVERHEAD, attention: float = ATTENTION) -> float:
+    return overhead + capacity + capacity * capacity * attention
+
+
 def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, overhead: float = OVERHEAD, attention: float = ATTENTION) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin, offset and the bin's final capacity for each piece. Sizes are at most the largest length."""
+    """Bin, offset and the bin's final capacity for each piece: the cheapest of the joint packing and those that
+    prefer one length. Sizes are at most the largest length."""
+    best, least = None, None
+    for prefer in (None, *sorted(lengths)) if len(lengths) > 1 else (None,):
+        found = _pack(sizes, lengths, overhead, attention, prefer)
+        where, _, final = found
+        total = sum(bin_cost(int(c), overhead, attention) for c in final[np.unique(where, return_index=True)[1]])
+        if least is None or total < least - 1e-6:
+            best, least = found, total
+    return best
+
+
+def _pack(sizes: np.ndarray, lengths: tuple[int, ...], overhead: float, attention: float, prefer: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One best-fit pass. prefer: the length to open, or the next one that holds the piece."""
     lengths = sorted(lengths)
     top = lengths[-1]
-    cost = {c: overhead + c + c * c * attention for c in lengths}
+    cost = {c: bin_cost(c, overhead, attention) for c in lengths}
     order = np.argsort(-sizes, kind="stable")
     # tokens not yet placed in pieces of at most so many tokens: sizes fall, so a prefix sum by size does
     tokens_to = np.concatenate([[0], np.cumsum(np.bincount(sizes, minlength=top + 1) * np.arange(top + 1))])
@@ -58,7 +80,7 @@ def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, overhead: float
                 small = tokens_to[min(space, n) + 1] - (placed_at[n] + n if space >= n else 0)
                 return n + min(space, max(small, 0))
 
-            c = min((c for c in lengths if c >= n), key=lambda c: (cost[c] / max(expect(c), 1), c))
+            c = min((c for c in lengths if c >= n), key=lambda c: (cost[c] / max(expect(c), 1), c)) if prefer is None else lengths[bisect_left(lengths, max(n, prefer))]
             b, room = len(capacity), c
             capacity.append(c), used.append(0)
         where[i], offset[i] = b, used[b]
@@ -73,7 +95,7 @@ def pack(sizes: np.ndarray, lengths: tuple[int, ...] = LENGTHS, overhead: float
     return where, offset, final[where] if len(final) else where
 
 
-def best_fit(docs: DataFrame, key: str = "doc_id", text: str = "text", size: Column | None = None, lengths: tuple[int, ...] = LENGTHS, shard: int = SHARD) -> DataFrame:
+def best_fit(docs: DataFrame, key: str = "doc_id", text: str = "text", size: Column | None = None, lengths: tuple[int, ...] = LENGTHS, shard: int = SHARD, overhead: float = OVERHEAD, attention: float = ATTENTION) -> DataFrame:
     """One row per piece: key, piece, first (its first token in the document), n_tokens, bin_id, position
     (its first token in the bin), bin_tokens (capacity after downsizing).
 
@@ -93,7 +115,7 @@ def best_fit(docs: DataFrame, key: str = "doc_id", text: str = "text", size: Col
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["n", "__id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        where, offset, capacity = pack(group["n"].to_numpy(np.int64), lengths)
+        where, offset, capacity = pack(group["n"].to_numpy(np.int64), lengths, overhead, attention)
         return pd.DataFrame(
             {key: group["__id"], "piece": group["piece"], "first": group["piece"] * top, "n_tokens": group["n"], "bin_id": [f"{s}-{b}" for s, b in zip(group["shard"], where, strict=True)], "position": offset, "bin_tokens": capacity}
         )
