@@ -192,6 +192,32 @@ def test_fingerprints_against_plain_form(spark):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
 
 
+def plain_chunks(data):
+    """Chunks by the rolling hash, one byte at a time."""
+    gear, h, at, out = fingerprints._GEAR.tolist(), 0, 0, []
+    for i, b in enumerate(data):
+        h = ((h << 1) + gear[b]) & 0xFFFFFFFF
+        size = i + 1 - at
+        mask = fingerprints.STRICT if size < fingerprints.NORMAL else fingerprints.LOOSE
+        if size >= fingerprints.LEAST and h >> (32 - mask) == 0 and len(data) - at > fingerprints.LEAST or size == fingerprints.MOST:
+            out.append(bytes(data[at : i + 1]))
+            at = i + 1
+    return [*out, bytes(data[at:])] if at < len(data) else out
+
+
+def test_likeness_against_plain_chunks(spark):
+    texts = [words(random.Random(i).randint(1, 300), i) for i in range(20)] + ["", "é" * 300] + [words(120, 7) + words(20, 5000)]
+    got = {r.doc_id: r for r in fingerprints.fingerprints_with_next(docs(spark, texts)).collect()}
+
+    def contained(a, b):
+        a, b = set(plain_chunks(a.encode())), set(plain_chunks(b.encode()))
+        return sum(map(len, a & b)) / sum(map(len, a)) if a else float(not b)
+
+    for i, t in enumerate(texts):
+        after, q = texts[(i + 1) % len(texts)], len(t) // 4
+        assert abs(got[i].near_edited - contained(t, t[: len(t) - q] + after[:q])) < 1e-9 and abs(got[i].near_next - contained(t, after)) < 1e-9
+
+
 def test_fingerprints_awkward_rows(spark):
     assert fingerprints.fingerprints_with_next(docs(spark, AWKWARD)).count() == len(AWKWARD)
     assert fingerprints.fingerprints_with_next(docs(spark, [])).count() == 0

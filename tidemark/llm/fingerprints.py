@@ -21,6 +21,8 @@ from .common import whole_text
 from .tokens import mix, span_hashes
 
 LEAST, NORMAL, MOST, STRICT, LOOSE = 16, 48, 192, 6, 4
+#: Bytes of text for a task, and buckets of consecutive keys in it, so that chance evens out what tasks get.
+TASK, SPREAD = 64_000_000, 8
 NAMES = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 _GEAR = (mix(np.arange(1000, 1256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -88,11 +90,14 @@ def fingerprints_with_next(docs: DataFrame, key: str = "doc_id", text: str = "te
     null key comes first, rows of one key by their text. Keys are numbers. Other columns are ignored.
 
     Rows are dealt to buckets of consecutive keys and sorted there; each bucket also gets a copy of the
-    first row of the bucket after it. So a text is shuffled once, whatever its neighbours are.
+    first row of the bucket after it. So a text is shuffled once, whatever its neighbours are. There are tasks
+    as Spark is set to shuffle, or more where these would get over `TASK` bytes each, and `SPREAD` buckets a task.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("__id"), whole_text(text).alias("__text")).withColumn("__at", F.coalesce(F.col("__id").cast("double"), F.lit(float("-inf"))))
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // TASK))
+    parts = SPREAD * tasks
     bounds = rows.agg(F.percentile_approx("__at", [k / parts for k in range(1, parts)], 10 * parts).alias("q")).first().q or []
     splits = [float("-inf"), *sorted({b for b in bounds if b > float("-inf")}), float("inf")]
     rows = Bucketizer(splits=splits, inputCol="__at", outputCol="__bucket").transform(rows).drop("__at") if len(splits) > 2 else rows.withColumn("__bucket", F.lit(0.0)).drop("__at")
@@ -101,7 +106,7 @@ def fingerprints_with_next(docs: DataFrame, key: str = "doc_id", text: str = "te
     held = sorted(r[0] for r in rows.select("__bucket").distinct().collect())
     before = spark.createDataFrame(list(zip(held, [held[-1], *held[:-1]], strict=True)) if held else [], "__bucket double, before double")
     ahead = firsts.join(F.broadcast(before), "__bucket").select(F.lit(None).cast(rows.schema["__id"].dataType).alias("__id"), "__text", F.col("before").alias("__bucket"), F.lit(True).alias("__ahead"))
-    dealt = rows.withColumn("__ahead", F.lit(False)).unionByName(ahead).repartition("__bucket").sortWithinPartitions("__bucket", "__ahead", F.col("__id").asc_nulls_first(), "__text")
+    dealt = rows.withColumn("__ahead", F.lit(False)).unionByName(ahead).repartition(tasks, "__bucket").sortWithinPartitions("__bucket", "__ahead", F.col("__id").asc_nulls_first(), "__text")
     kind = docs.schema[key].dataType.simpleString()
 
     def compare(batches):
