@@ -9,12 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set, as in tests."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is unset, a folder of our own:
+    in the warehouse, which a cluster shares, or a temporary one if all of Spark is this one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        sc = spark.sparkContext
+        if sc.applicationId not in _own:
+            alone = sc.master == "local" or sc.master.startswith("local[")
+            _own[sc.applicationId] = tempfile.mkdtemp(prefix="tidemark-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/tidemark-scratch"
+        root = _own[sc.applicationId]
     return root.rstrip("/")
 
 

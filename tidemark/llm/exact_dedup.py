@@ -3,8 +3,10 @@
 Every input partition makes one run: a row per digest with its count and the row that stays. Runs
 then meet in rounds. In round r the nodes that differ only in digit r of their number (base `radix`)
 exchange their runs so that a node ends with the digests whose own digit r equals the node's, and a
-sort-merging aggregate folds the runs that arrive. After the last round each digest lives on one node
-and nothing ever passes through a single task. A digest held by a third of all rows costs each node
+sort-merging aggregate folds the runs that arrive. The sort aggregate is the merge: its map side sorts each
+task's rows by node and digest and folds equal ones, which makes the run that is sent, and its reduce side
+merges the runs in that order. After the last round each digest lives on one node and nothing ever passes
+through a single task. A digest held by a third of all rows costs each node
 at most `radix` rows a round. Digests are verified at every level: rows merge only if a second,
 independent hash and the length of the normalised text agree too.
 """
