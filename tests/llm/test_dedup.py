@@ -85,16 +85,16 @@ def test_near_against_all_pairs(spark, seed):
             x = parent[x]
         return x
 
-    # no shingle here is in a twentieth of the documents' reach of the idf except those of large groups, so
-    # pairs are counted with the operator's weights
+    # pairs are counted with the weights that the operator states: frequencies over different texts, full
+    # weight up to half of them
     import math
 
-    df = {}
-    for s in sets:
+    df, n = {}, len(texts)
+    different = {tuple(t.lower().split()): s for t, s in zip(texts, sets, strict=True)}
+    for s in different.values():
         for x in s:
             df[x] = df.get(x, 0) + 1
-    n = len(texts)
-    w = {x: 1 + math.log(n / max(c, n / 20)) for x, c in df.items()}
+    w = {x: 1 + math.log(len(different) / max(c, len(different) / 2)) for x, c in df.items()}
     sure, maybe = list(parent), []
     for i in range(n):
         for j in range(i):
