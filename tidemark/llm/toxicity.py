@@ -121,21 +121,23 @@ class Index:
         df = np.bincount(term, minlength=width)
         often = df * FREQUENT > self.n
         self.row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
-        self.dense = np.zeros((int(often.sum()), self.blocks * BLOCK_SIZE), np.float32)
+        self.dense = np.zeros((int(often.sum()), self.blocks, BLOCK_SIZE), np.float32)
         mine = often[term]
-        self.dense[self.row[term[mine]], entry[mine]] = weight[mine]
-        self.most = np.nextafter(self.dense.reshape(len(self.dense), self.blocks, BLOCK_SIZE).max(2), np.float32(2)) if len(self.dense) else np.zeros((0, self.blocks), np.float32)
+        self.dense[self.row[term[mine]], entry[mine] // BLOCK_SIZE, entry[mine] % BLOCK_SIZE] = weight[mine]
+        self.most = np.nextafter(self.dense.max(2), np.float32(2)) if len(self.dense) else np.zeros((0, self.blocks), np.float32)
         term, entry, weight = term[~mine], entry[~mine], weight[~mine]
         order = np.argsort(term, kind="stable")
         self.entry, self.weight = entry[order], weight[order]
-        self.start = np.searchsorted(term[order], np.arange(width + 1)).astype(np.int64)
+        start = np.searchsorted(term[order], np.arange(width + 1))
+        self.start, self.size = start[:-1].astype(np.int32), np.diff(start).astype(np.int32)
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest entries and their cosines, exactly; of equal cosines (to a millionth) the first entry."""
         rows = self.row[at]
         rare, often = rows < 0, rows >= 0
-        a, size = self.start[at[rare]], np.diff(self.start)[at[rare]]
-        flat = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+        size = self.size[at[rare]]
+        ends = np.cumsum(size)
+        flat = np.repeat(self.start[at[rare]] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
         exact = np.bincount(self.entry[flat], self.weight[flat] * np.repeat(w[rare], size), self.blocks * BLOCK_SIZE)
         rows, w = rows[often], w[often]
         bound = exact.reshape(self.blocks, BLOCK_SIZE).max(1) + w @ self.most[rows] + 1e-6
@@ -148,10 +150,17 @@ class Index:
                 if not len(some):
                     break
             members = (some[:, None] * BLOCK_SIZE + np.arange(BLOCK_SIZE)).ravel()
-            scores = np.round(exact[members] + w @ self.dense[rows[:, None], members[None, :]], 6) if len(rows) else np.round(exact[members], 6)
-            good = scores > 0
+            scores = exact[members]
+            if len(rows):
+                scores = scores + w @ self.dense[rows[:, None], some[None, :]].reshape(len(rows), -1)
             if len(sims) >= k:
-                good &= scores >= sims[-1]
+                good = scores >= sims[-1] - 1e-6
+            elif len(scores) > 4 * k:
+                good = scores >= max(np.partition(scores, -k)[-k] - 2e-6, 1e-9)
+            else:
+                good = scores > 1e-9
+            scores = np.round(scores, 6)
+            good &= scores > 0
             ids, sims = np.append(ids, members[good]), np.append(sims, scores[good])
             top = np.lexsort((ids, -sims))[:k]
             ids, sims, i, step = ids[top], sims[top], i + step, step * 4
