@@ -79,11 +79,17 @@ def brier_parts(df: DataFrame, keys: list[str], score: str, label: str, bins: in
 
 
 def _by_score(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
-    """Positives and negatives per distinct score, with those of all higher scores."""
-    w = Window.partitionBy(*keys)
-    down = w.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    each = df.groupBy(*keys, score).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg"))
-    return each.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "p_all": F.sum("pos").over(w), "n_all": F.sum("neg").over(w)})
+    """Positives and negatives per distinct score, with those of this and all higher scores. Scores are counted
+    in steps of a 1024th first; a step's offset comes from the counts of the steps, so that a window only ever
+    runs over the scores of one step, or over the steps."""
+    count = lambda v: F.sum((F.col(label) == v).cast("long"))
+    each = df.groupBy(*keys, score).agg(count(1).alias("pos"), count(0).alias("neg")).withColumn("__step", F.floor(F.col(score) * 1024))
+    w, above = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.desc("__step")).rowsBetween(Window.unboundedPreceding, -1)
+    steps = each.groupBy(*keys, "__step").agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    steps = steps.select(*keys, "__step", none(F.sum("__p").over(above)).alias("__tp"), none(F.sum("__n").over(above)).alias("__fp"), F.sum("__p").over(w).alias("p_all"), F.sum("__n").over(w).alias("n_all"))
+    down = Window.partitionBy(*keys, "__step").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    return each.join(steps, [*keys, "__step"]).withColumns({"tp": F.col("__tp") + F.sum("pos").over(down), "fp": F.col("__fp") + F.sum("neg").over(down)}).drop("__tp", "__fp", "__step")
 
 
 def average_precision(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:

@@ -73,8 +73,10 @@ def fuse(df: DataFrame, keys: list[str], value: str, variance: str, prior: float
 
 
 def softmax_weights(df: DataFrame, keys: list[str], score: str, into: str = "weight") -> DataFrame:
+    """Softmax within each group, shifted by the group's greatest score so that no score overflows."""
     w = Window.partitionBy(*keys)
-    return df.withColumn(into, F.exp(F.col(score) - F.max(score).over(w)) / F.sum(F.exp(F.col(score))).over(w) * F.exp(F.max(score).over(w)))
+    lifted = df.withColumn("__e", F.exp(F.col(score) - F.max(score).over(w)))
+    return lifted.withColumn(into, F.col("__e") / F.sum("__e").over(w)).drop("__e")
 
 
 def phase(level: Column, growth: Column) -> Column:

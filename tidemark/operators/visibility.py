@@ -57,31 +57,42 @@ def asof_lags(df: DataFrame, keys: list[str], cutoff: Column, day: str, value: s
     return df.where(F.col(day) <= cutoff).groupBy(*keys).agg(*held)
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, order: list[str] = ()) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, order: list[str] = (), days: int = 7) -> DataFrame:
     """Each left row with the right value last seen at or before its time.
 
-    Both sides are laid on one time line per key and the last value is carried forward by a window, so no
-    pairs are made; a right row counts before a left row of the same time.
+    Both sides are laid on one time line per key, cut into stretches of so many days, and the last value is
+    carried forward in each stretch by a window; what an earlier stretch left is carried over by one row per
+    stretch. So no pairs are made and no task holds more than a key's stretch. A right row counts before a left
+    row of the same time, and of right rows of one time the greatest value counts; null values are skipped.
     """
-    none = F.lit(None)
-    line = left.withColumn("__value", none.cast(right.schema[value].dataType)).withColumn("__left", F.lit(1))
-    seen = right.select(*keys, at, F.col(value).alias("__value")).withColumn("__left", F.lit(0))
-    w = Window.partitionBy(*keys).orderBy(F.col(at), F.col("__left"), *order).rowsBetween(Window.unboundedPreceding, 0)
-    return line.unionByName(seen, allowMissingColumns=True).withColumn("asof_value", F.last("__value", ignorenulls=True).over(w)).where("__left = 1").drop("__value", "__left")
+    stretch = F.floor(F.unix_timestamp(F.col(at).cast("timestamp")) / (86400 * days))
+    kind = right.schema[value].dataType
+    seen = right.select(*keys, at, F.col(value).alias("__value")).withColumn("__left", F.lit(0)).withColumn("__s", stretch)
+    line = left.withColumn("__value", F.lit(None).cast(kind)).withColumn("__left", F.lit(1)).withColumn("__s", stretch)
+    ends = seen.where("__value IS NOT NULL").groupBy(*keys, "__s").agg(F.max_by("__value", F.struct(at, "__value")).alias("__end"))
+    w = Window.partitionBy(*keys, "__s").orderBy(F.col(at), "__left", F.col("__value").asc_nulls_first(), *order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = line.unionByName(seen, allowMissingColumns=True).withColumn("__own", F.last("__value", ignorenulls=True).over(w)).where("__left = 1")
+    # a row for each stretch of a key that either side has: few, as time has few stretches
+    all_ = line.select(*keys, "__s").distinct().join(ends, [*keys, "__s"], "full")
+    before = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    carried = all_.withColumn("__carried", F.last("__end", ignorenulls=True).over(before)).where("__carried IS NOT NULL").drop("__end")
+    return inside.join(carried, [*keys, "__s"], "left").withColumn("asof_value", F.coalesce("__own", "__carried")).select(*left.columns, "asof_value")
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], day: str, value: str, tolerance: int) -> DataFrame:
-    """Each left row with the right value nearest in days, within the tolerance; of two as near, the earlier.
+    """Each left row with the right value nearest in days, within the tolerance; of two as near, the earlier,
+    and of one day's values the least. Left rows without one are left out.
 
-    Days fall into buckets as wide as the tolerance, so a left row meets three buckets by equality.
+    Either side is reduced to its days first, so pairs are made of days and not of rows: a day of a key meets
+    the days of three buckets as wide as the tolerance by equality.
     """
     bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / tolerance)
-    near = right.select(*keys, F.col(day).alias("__day"), F.col(value).alias("nearest_value"), bucket(F.col(day)).alias("__b"))
-    many = left.withColumn("__row", F.monotonically_increasing_id()).withColumn("__b", F.explode(F.array(*[bucket(F.col(day)) + d for d in (-1, 0, 1)])))
+    near = right.groupBy(*keys, F.col(day).alias("__day")).agg(F.min(value).alias("nearest_value")).withColumn("__b", bucket(F.col("__day")))
+    asked = left.select(*keys, day).distinct().withColumn("__b", F.explode(F.array(*[bucket(F.col(day)) + d for d in (-1, 0, 1)])))
     apart = F.abs(F.datediff(day, "__day"))
-    pairs = many.join(near, [*keys, "__b"]).where(apart <= tolerance)
-    best = F.min_by(F.struct(*left.columns, F.col("__day").alias("nearest_day"), "nearest_value"), F.struct(apart, "__day")).alias("__r")
-    return pairs.groupBy("__row").agg(best).select("__r.*")
+    best = F.min_by(F.struct(F.col("__day").alias("nearest_day"), "nearest_value"), F.struct(apart, "__day")).alias("__r")
+    found = asked.join(near, [*keys, "__b"]).where(apart <= tolerance).groupBy(*keys, day).agg(best).select(*keys, day, "__r.*")
+    return left.join(found, [*keys, day])
 
 
 def without_superseded(df: DataFrame, keys: list[str], fallback: Column) -> DataFrame:

@@ -33,12 +33,12 @@ def week_labels(spark, sf_dir):
     return g.select("label", week_from_label(F.col("label")).cast("string").alias("monday"), "n")
 
 
-@query("q_locale_numbers", "SELECT o_orderkey, round(o_totalprice, 2) AS value FROM orders WHERE o_orderkey % 50 = 0")
+@query("q_locale_numbers", "SELECT o_orderkey, round(o_totalprice, 2) AS value FROM orders")
 def locale_numbers(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+    o = table(spark, sf_dir, "orders")
     english = F.format_number("o_totalprice", 2)
     german = F.translate(english, ",.", ".,")
-    text = F.when(F.col("o_orderkey") % 100 == 0, german).otherwise(english)
+    text = F.when(F.col("o_orderkey") % 2 == 0, german).otherwise(english)
     return o.select("o_orderkey", r(number_from_text(text), 2).alias("value"))
 
 
@@ -74,8 +74,8 @@ def repeats(spark, sf_dir):
     return sources.flag_repeats(e, ["user_id", "event_type", "day"], ["ts", "event_id"]).groupBy("repeated").agg(F.count("*").alias("n"))
 
 
-@query("q_missing_targets", "SELECT CAST(d AS VARCHAR) AS day FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1995-12-31', INTERVAL 1 DAY)) AS DATE) AS d) EXCEPT SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) FROM orders WHERE o_orderkey % 29 = 0")
+@query("q_missing_targets", "WITH o AS (SELECT o_orderstatus AS status, CAST(o_orderdate AS DATE) AS day FROM orders), c AS (SELECT status, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM o GROUP BY status) SELECT status, CAST(day AS VARCHAR) AS day FROM (SELECT status, day FROM c EXCEPT SELECT status, day FROM o)")
 def missing_targets(spark, sf_dir):
-    days = spark.range(1).select(F.explode(F.sequence(F.lit("1995-01-01").cast("date"), F.lit("1995-12-31").cast("date"))).alias("day")).select(F.col("day").cast("string").alias("day"))
-    have = table(spark, sf_dir, "orders").where("o_orderkey % 29 = 0").select(F.to_date("o_orderdate").cast("string").alias("day"))
-    return days.join(have, "day", "left_anti")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.to_date("o_orderdate").alias("day"))
+    calendar = o.groupBy("status").agg(F.min("day").alias("a"), F.max("day").alias("b")).select("status", F.explode(F.sequence("a", "b")).alias("day"))
+    return calendar.join(o, ["status", "day"], "left_anti").select("status", F.col("day").cast("string").alias("day"))

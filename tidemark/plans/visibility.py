@@ -78,27 +78,27 @@ def asof_backward(spark, sf_dir):
 
 @query(
     "q_asof_nearest",
-    """WITH a AS (SELECT DISTINCT l_returnflag AS flag, CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' AND l_orderkey % 3 = 0),
-            b AS (SELECT 'A' AS flag, CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS v FROM orders WHERE o_orderkey % 41 = 0 GROUP BY ALL UNION ALL SELECT 'R', CAST(o_orderdate AS DATE), sum(o_totalprice) FROM orders WHERE o_orderkey % 59 = 0 GROUP BY ALL),
-            p AS (SELECT a.flag, a.day, b.day AS near, b.v, row_number() OVER (PARTITION BY a.flag, a.day ORDER BY abs(date_diff('day', b.day, a.day)), b.day) AS k FROM a JOIN b ON a.flag = b.flag AND abs(date_diff('day', b.day, a.day)) <= 10)
-       SELECT flag, CAST(day AS VARCHAR) AS day, CAST(near AS VARCHAR) AS nearest_day, round(v, 4) AS nearest_value FROM p WHERE k = 1""",
+    """WITH a AS (SELECT l_linestatus AS status, CAST(l_shipdate AS DATE) AS day, count(*) AS lines FROM lineitem GROUP BY ALL),
+            b AS (SELECT o_orderstatus AS status, CAST(o_orderdate AS DATE) AS day, min(o_totalprice) AS v FROM orders GROUP BY ALL),
+            p AS (SELECT a.status, a.day, a.lines, b.day AS near, b.v, row_number() OVER (PARTITION BY a.status, a.day ORDER BY abs(date_diff('day', b.day, a.day)), b.day) AS k FROM a JOIN b ON a.status = b.status AND b.day BETWEEN a.day - 10 AND a.day + 10)
+       SELECT status, CAST(day AS VARCHAR) AS day, lines, CAST(near AS VARCHAR) AS nearest_day, round(v, 4) AS nearest_value FROM p WHERE k = 1""",
 )
 def asof_nearest(spark, sf_dir):
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    a = li.where("l_shipdate < timestamp'1996-01-01' AND l_orderkey % 3 = 0").select(F.col("l_returnflag").alias("flag"), F.to_date("l_shipdate").alias("day")).distinct()
-    of = lambda flag, n: o.where(F.col("o_orderkey") % n == 0).groupBy(F.lit(flag).alias("flag"), F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("v"))
-    out = op.asof_nearest(a, of("A", 41).unionByName(of("R", 59)), ["flag"], "day", "v", 10)
-    return out.select("flag", F.col("day").cast("string").alias("day"), F.col("nearest_day").cast("string").alias("nearest_day"), r(F.col("nearest_value"), 4).alias("nearest_value"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("status"), F.to_date("l_shipdate").alias("day"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.to_date("o_orderdate").alias("day"), "o_totalprice")
+    out = op.asof_nearest(lines, orders, ["status"], "day", "o_totalprice", 10).groupBy("status", "day", "nearest_day", "nearest_value").agg(F.count("*").alias("lines"))
+    return out.select("status", F.col("day").cast("string").alias("day"), "lines", F.col("nearest_day").cast("string").alias("nearest_day"), r(F.col("nearest_value"), 4).alias("nearest_value"))
 
 
 @query(
     "q_national_fallback",
-    f"""WITH {DAILY}, x AS (SELECT *, region = 0 AS national FROM daily WHERE region <= 3 OR region = 0)
-        SELECT source, CAST(day AS VARCHAR) AS day, region, round(v, 6) AS v FROM x WHERE NOT national OR NOT EXISTS (SELECT 1 FROM x y WHERE NOT y.national AND y.source = x.source AND y.day = x.day)""",
+    f"""WITH {OBS}, hourly AS (SELECT region, source, date_trunc('hour', ts) AS hour, avg(value) AS v FROM obs GROUP BY ALL)
+        SELECT source, strftime(hour, '%Y-%m-%d %H') AS hour, region, round(v, 6) AS v FROM hourly x WHERE region <> 0 OR NOT EXISTS (SELECT 1 FROM hourly y WHERE y.region <> 0 AND y.source = x.source AND y.hour = x.hour)""",
 )
 def fallback(spark, sf_dir):
-    out = op.without_superseded(daily(spark, sf_dir).where("region <= 3"), ["source", "day"], F.col("region") == 0)
-    return out.select("source", F.col("day").cast("string").alias("day"), "region", r(F.col("v")).alias("v"))
+    hourly = obs(spark, sf_dir).groupBy("region", "source", F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("v"))
+    out = op.without_superseded(hourly, ["source", "hour"], F.col("region") == 0)
+    return out.select("source", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "region", r(F.col("v")).alias("v"))
 
 
 _SPANS = [("1995-12-20", "1996-01-06"), ("1997-07-01", "1997-08-15"), ("1997-08-10", "1997-08-20")]
