@@ -122,3 +122,19 @@ def scale_fit(df: DataFrame, keys: list[str], y: str, p: str, low: float = 0.5,
     after = F.col("vy") - 2 * F.col("slope") * F.col("c") + F.col("slope") ** 2 * F.col("v")
     better = F.coalesce(after < F.col("before"), F.lit(False))
     return m.select(*keys, F.when(better, F.col("slope")).otherwise(1.0).alias("slope"), F.when(better, F.col("intercept")).otherwise(0.0).alias("intercept"), better.alias("improves"))
+
+
+def dirichlet_counts(df: DataFrame, keys: list[str], count: str, share: str, kappa: float) -> DataFrame:
+    """Log-probability of each key's counts under a Dirichlet-multinomial of the shares and a concentration."""
+    a, n = kappa * F.col(share), F.col(count)
+    total = F.sum(n)
+    parts = F.sum(log_gamma(n + a) - log_gamma(a)) - F.sum(log_gamma(n + 1))
+    m = df.groupBy(*keys).agg(total.alias("__n"), parts.alias("__p"))
+    return m.select(*keys, (log_gamma(F.col("__n") + 1) + F.lit(math.lgamma(kappa)) - log_gamma(F.col("__n") + kappa) + F.col("__p")).alias("log_p"))
+
+
+def persistence_quantiles(df: DataFrame, keys: list[str], order: str, value: str, levels: tuple[float, ...]) -> DataFrame:
+    """Per key the last value moved by the quantiles of all steps seen, not below zero."""
+    step = F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(order))
+    m = df.withColumn("__s", step).groupBy(*keys).agg(F.max_by(value, order).alias("__v"), F.percentile("__s", F.array(*[F.lit(p) for p in levels])).alias("__q"))
+    return m.select(*keys, F.transform("__q", lambda q: F.greatest(F.col("__v") + q, F.lit(0.0))).alias("quantiles"))

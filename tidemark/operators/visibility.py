@@ -119,3 +119,12 @@ def latest_run(df: DataFrame, cutoff: Column, run: str, available: str, target:
     known = df.where((F.col(available) <= cutoff) & (F.col(run) <= cutoff))
     last = known.agg(F.max(run).alias(run))
     return known.join(F.broadcast(last), run).where(F.col(target) > cutoff)
+
+
+def latest_runs(df: DataFrame, run: str, most: int, full: int) -> DataFrame:
+    """Rows of the latest runs. Runs of fewer points than `full` are left out, unless there are no others."""
+    sizes = df.groupBy(run).agg(F.count("*").alias("__n"))
+    best = sizes.groupBy().agg(F.max("__n").alias("__most"))
+    # runs are dates: the few latest are told by one top-k
+    kept = sizes.join(F.broadcast(best)).where((F.col("__n") >= full) | (F.col("__most") < full)).orderBy(F.desc(run)).limit(most).select(run)
+    return df.join(F.broadcast(kept), run, "left_semi")

@@ -92,3 +92,32 @@ def nested_horizons(df: DataFrame, body: str, levels: tuple[str, str], into: str
     """A two-level JSON map as long rows."""
     outer = df.select("*", F.explode(F.from_json(body, "map<string, map<string, string>>")).alias(levels[0], "__inner"))
     return outer.select("*", F.explode("__inner").alias(levels[1], into)).drop("__inner", body)
+
+
+def wide_records(df: DataFrame, keys: list[str], name: str, value: str, order: list[str], names: list[str]) -> DataFrame:
+    """Named observations as one record per key: a column for each name with its last value by the order."""
+    last = [F.max_by(F.when(F.col(name) == n, F.col(value)), F.when(F.col(name) == n, F.struct(*order))).alias(n) for n in names]
+    return df.groupBy(*keys).agg(*last)
+
+
+def not_held(new: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """New rows whose keys a store doesn't have yet, null-safe."""
+    mine = held.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct()
+    match = F.lit(True)
+    for k in keys:
+        match &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return new.join(mine, match, "left_anti")
+
+
+def pick_columns(df: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
+    """The columns of a table of unknown layout: for each name wanted, the first of its candidates that is there,
+    in any case; null where none is."""
+    there = {c.lower(): c for c in df.columns}
+    found = {name: next((there[c.lower()] for c in candidates if c.lower() in there), None) for name, candidates in wanted.items()}
+    return df.select(*(F.col(f"`{c}`").alias(name) if c else F.lit(None).alias(name) for name, c in found.items()))
+
+
+def separator_of(spark: SparkSession, path: str, candidates: tuple[str, ...] = (";", ",", "\t", "|"), encoding: str = "UTF-8") -> str:
+    """The separator that a file's header has most often; of equals the first candidate."""
+    head = spark.read.option("encoding", encoding).text(path).first()
+    return max(candidates, key=lambda s: head[0].count(s) if head else 0)
