@@ -9,228 +9,314 @@ bounds and the best open node always comes next. Only the k best open nodes can
 kept. An inclusion score is the probability that a segmentation exceeds the (k+1)-th value.
 
 A piece holds no word start after its first sign, so the lattice is a chain of word lattices; each kind
-of word is built once in a task, and all words of a batch walk their lattices together, step by step. Noise
-is a hash of the row's key, the sample and the place, so a rerun gives the same rows. Weights follow the
-vocabulary's ranks (Zipf and Mandelbrot); text outside the vocabulary goes by byte pieces.
+of word is built once in a task, all new ones of a batch together over their bytes, and all words of a batch
+walk their lattices together, step by step. Noise is a hash of the row's key, the sample and the place, so a
+rerun gives the same rows. Weights follow the vocabulary's ranks (Zipf and Mandelbrot); text outside the
+vocabulary goes by byte pieces.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_text
-from .tokens import mix
+from .tokens import buffers, mix, span_hashes
+
+MODEL, SAMPLES, EXPONENT, SHIFT, HELD = "/opt/tokenizers/piece_bpe_32k.model", 2, 1.0, 50.0, 200_000
+MARK, SLOTS = "▁", 22
+_BASE, _TURN = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+_PARTS = [np.uint64(k) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+
+
+def _grown(h: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """Hashes of byte strings with one more byte."""
+    return h * _BASE + byte + np.uint64(1)
 
-MODEL, SAMPLES, EXPONENT, SHIFT, HELD = "/opt/tokenizers/piece_bpe_32k.model", 2, 1.0, 50.0, 100_000
-MARK = "▁"
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return ((h * _TURN) >> np.uint64(64 - SLOTS)).astype(np.int64)
 
 
 class Vocabulary:
-    """Pieces and their log-probabilities, read from a SentencePiece model file (on the driver)."""
+    """Pieces and their log-probabilities, read from a SentencePiece model file (on the driver). As bytes, the
+    mark is the blank it stands for."""
 
     def __init__(self, model: str = MODEL):
         import sentencepiece
 
         p = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.pieces, self.bytes, self.names = {}, {}, [""] * p.get_piece_size()
+        self.pieces, self.bytes, self.raw = {}, np.zeros(256, np.int32), [b""] * p.get_piece_size()
         for i in range(p.get_piece_size()):
             if p.is_byte(i):
-                self.bytes[int(p.id_to_piece(i)[3:5], 16)] = i
+                b = int(p.id_to_piece(i)[3:5], 16)
+                self.bytes[b], self.raw[i] = i, bytes([b])
             elif not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i)):
                 # a mark inside a piece (runs of blanks) would join words
                 if MARK not in p.id_to_piece(i)[1:]:
                     self.pieces[p.id_to_piece(i)] = i
-                self.names[i] = p.id_to_piece(i)
+                self.raw[i] = p.id_to_piece(i).replace(MARK, " ").encode()
         order = {i: r for r, i in enumerate(sorted(self.pieces.values(), key=lambda i: (-p.get_score(i), i)))}
         weight = lambda r: -EXPONENT * np.log(r + SHIFT)
         total = np.log(np.exp(weight(np.arange(len(order) + 256.0))).sum())
         self.log_p = {i: float(weight(r) - total) for i, r in order.items()}
         self.byte_p = float(weight(len(order) + 255.0) - total)
-        self.longest = max(map(len, self.pieces))
-        self.prefixes = {p[:n] for p in self.pieces for n in range(1, len(p) + 1)}
-        self.values = {i: b for b, i in self.bytes.items()}
+        # pieces by hash, and a first look at a few bits for pieces and for beginnings of pieces
+        forms = [self.raw[i] for i in self.pieces.values()]
+        self.longest = max(map(len, forms))
+        self.is_piece, self.is_start = np.zeros(1 << SLOTS, bool), np.zeros(1 << SLOTS, bool)
+        h, whole = np.zeros(len(forms), np.uint64), np.zeros(len(forms), np.uint64)
+        sizes = np.array([len(f) for f in forms])
+        for n in range(self.longest):
+            on = sizes > n
+            h[on] = _grown(h[on], np.array([f[n] for f in forms if len(f) > n], np.uint64))
+            self.is_start[_slot(h[on])] = True
+            whole[sizes == n + 1] = h[sizes == n + 1]
+        self.is_piece[_slot(whole)] = True
+        by = np.argsort(whole)
+        self.hashes, self.ids = whole[by], np.array(list(self.pieces.values()), np.int32)[by]
+        self.weights = np.array([self.log_p[int(i)] for i in self.ids])
 
     def decode(self, ids: list[int]) -> str:
-        """The text of a segmentation; the inverse of encoding, but for the mark that encoding puts first."""
-        raw = b"".join(bytes([self.values[i]]) if i in self.values else self.names[i].encode() for i in ids)
-        text = raw.decode("utf-8", "replace")
-        return text[1:].replace(MARK, " ") if text.startswith(MARK) else text.replace(MARK, " ")
+        """The text of a segmentation; the inverse of encoding, but for the blank that encoding puts first."""
+        return b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, each with a blank before it, the bounds of their words, which begin at blanks, and
+    how many each text has."""
+    data, offsets = buffers(texts)
+    n = len(offsets) - 1
+    out = np.full(len(data) + n, 32, np.uint8)
+    at = np.arange(len(data)) + np.repeat(np.arange(1, n + 1), np.diff(offsets))
+    out[at] = data
+    starts = np.flatnonzero(out == 32)
+    bounds = offsets + np.arange(n + 1)
+    return out, starts, np.append(starts[1:], len(out)), np.diff(np.searchsorted(starts, bounds))
+
 
+class _Row:
+    """An array that grows at its end."""
 
-def split_words(text: str) -> list[str]:
-    """The text with its leading mark, cut before every mark."""
-    parts = (" " + text).replace(" ", MARK).split(MARK)
-    return [MARK + w for w in parts[1:]]
+    def __init__(self, kind):
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    def add(self, part: np.ndarray) -> None:
+        if self.n + len(part) > len(self.held):
+            more = np.zeros(max(2 * len(self.held), self.n + len(part)), self.held.dtype)
+            more[: self.n] = self.held[: self.n]
+            self.held = more
+        self.held[self.n : self.n + len(part)] = part
+        self.n += len(part)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
 
 
 class Lattices:
-    """Word lattices of a task as flat arrays: states, their edges, and backward log-masses."""
+    """Word lattices of a task as flat arrays. A state is a byte of a word; its edges lie together. gain: the
+    log-probability of an edge given its state; gains sum to the path's. low: the gains before it in its state,
+    summed. Words are told apart by 64-bit hashes."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.known, self.states = vocabulary, {}, 0
-        self._first, self._piece, self._next, self._gain = [], [], [], []
-        self._edges, self.log_z, self.root = 0, [], []
-        self._words, self._built = [], 0
-
-    def add(self, word: str) -> int:
-        """The number of a kind of word, whose lattice is built at its first sight."""
-        k = self.known.get(word)
-        if k is not None:
-            return k
-        v, n = self.v, len(word)
-        pieces, log_p, prefixes = v.pieces, v.log_p, v.prefixes
-        out: list[list[tuple[int, int, float]]] = []
-        for a in range(n):
-            edges = []
-            for b in range(a + 1, min(n, a + v.longest) + 1):
-                part = word[a:b]
-                i = pieces.get(part)
-                if i is not None:
-                    edges.append((i, b, log_p[i]))
-                elif part not in prefixes:
-                    break
-            if not edges or edges[0][1] != a + 1:
-                raw = word[a].encode("utf-8", "replace")
-                edges.append((-1 - len(raw), a + 1, v.byte_p * len(raw)))
-            out.append(edges)
-        mass = [0.0] * (n + 1)
-        for a in range(n - 1, -1, -1):
-            x = [p + mass[b] for _, b, p in out[a]]
-            top = max(x)
-            mass[a] = top + math.log(sum([math.exp(y - top) for y in x]))
-        for a in range(n):
-            self._first.append(self._edges)
-            for i, b, p in out[a]:
-                self._piece.append(i if i >= 0 else i - 8 * (self.states + a)), self._next.append(self.states + b if b < n else -1), self._gain.append(p + mass[b] - mass[a])
-            self._edges += len(out[a])
-        k = self.known[word] = len(self.root)
-        self.root.append(self.states)
-        self.log_z.append(mass[0])
-        self._words.append(word)
-        self.states += n
-        return k
-
-    def freeze(self) -> None:
-        """Arrays of all that was added; what came since the last call is put behind them. gain: log-probability
-        of an edge given its state; gains sum to the path's. low: the gains before it in its state, summed."""
-        if self._built == self.states:
-            return
-        first = np.array(self._first, np.int64)
-        gain = np.array(self._gain)
-        before = np.concatenate([[0.0], np.cumsum(np.exp(gain))])
-        at = first - (len(self.piece) if self._built else 0)
-        low = before[:-1] - np.repeat(before[at], np.diff([*at, len(gain)]))
-        new = {"piece": np.array(self._piece, np.int64), "next": np.array(self._next, np.int64), "gain": gain, "low": low}
-        for name, part in new.items():
-            setattr(self, name, np.concatenate([getattr(self, name), part]) if self._built else part)
-        self.first = np.concatenate([*([self.first[:-1]] if self._built else []), first, [self._edges]])
-        self.roots, self.masses = np.array(self.root, np.int64), np.array(self.log_z)
-        self._first, self._piece, self._next, self._gain = [], [], [], []
-        self._built = self.states
-
-    def pieces(self, edges: np.ndarray) -> list[int]:
-        """Piece numbers of edges; a sign outside the vocabulary is its bytes."""
+        self.v = vocabulary
+        self.known, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._piece, self._next, self._gain, self._low, self._first = _Row(np.int32), _Row(np.int64), _Row(float), _Row(float), _Row(np.int64)
+        self._roots, self._masses = _Row(np.int64), _Row(float)
+        self.signs: dict[int, int] = {}
+        self.spelled: list[np.ndarray] = []
+        self._view()
+
+    def _view(self) -> None:
+        self.piece, self.next, self.gain, self.low = self._piece.all, self._next.all, self._gain.all, self._low.all
+        self.first = np.append(self._first.all, self._piece.n)
+        self.roots, self.masses = self._roots.all, self._masses.all
+
+    def kinds(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The numbers of the words' kinds; lattices of new kinds are built."""
+        found, one, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.known, found), max(len(self.known) - 1, 0))
+        old = self.known[at] == found if len(self.known) else np.zeros(len(found), bool)
+        numbers = np.empty(len(found), np.int64)
+        numbers[old] = self.numbers[at[old]]
+        if not old.all():
+            new = one[~old]
+            numbers[~old] = np.arange(len(new)) + self._roots.n
+            self._build(data, starts[new], ends[new])
+            place = np.searchsorted(self.known, found[~old])
+            self.known, self.numbers = np.insert(self.known, place, found[~old]), np.insert(self.numbers, place, numbers[~old])
+            self._view()
+        return numbers[back]
+
+    def _build(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        v, sizes = self.v, ends - starts
+        stops = np.cumsum(sizes)
+        buf = data[np.arange(stops[-1]) + np.repeat(starts - stops + sizes, sizes)].astype(np.uint64)
+        end = np.repeat(stops, sizes)
+        lead = np.flatnonzero((buf & np.uint64(0xC0)) != 0x80)
+        sign = np.append(lead[1:], len(buf)) - lead
+        # grow all beginnings at once; what is no beginning of a piece drops out
+        at, h, n = lead, np.zeros(len(lead), np.uint64), 0
+        src, size, which = [], [], []
+        while len(at) and n < v.longest:
+            inside = at + n < end[at]
+            at, h = at[inside], h[inside]
+            h = _grown(h, buf[at + n])
+            n += 1
+            slot = _slot(h)
+            hit = np.flatnonzero(v.is_piece[slot])
+            if len(hit):
+                p = np.minimum(np.searchsorted(v.hashes, h[hit]), len(v.hashes) - 1)
+                right = v.hashes[p] == h[hit]
+                src.append(at[hit][right]), which.append(p[right]), size.append(np.full(len(src[-1]), n))
+            on = v.is_start[slot]
+            at, h = at[on], h[on]
+        src, size, which = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, size, which))
+        # a sign that is no piece is spelled in bytes
+        length = np.zeros(len(buf), np.int64)
+        length[lead] = sign
+        alone = np.zeros(len(buf), bool)
+        alone[src[size == length[src]]] = True
+        bare = lead[~alone[lead]]
+        piece = np.concatenate([v.ids[which], self._spell(buf, bare, length[bare])])
+        log_p = np.concatenate([v.weights[which], v.byte_p * length[bare]])
+        src, size = np.concatenate([src, bare]), np.concatenate([size, length[bare]])
+        # masses from the ends of the words backward, all words together
+        left = end[src] - src
+        order = np.argsort((left << 40) + src * 256 + size)
+        src, size, piece, log_p, left = src[order], size[order], piece[order], log_p[order], left[order]
+        goal = src + size
+        last = goal == end[src]
+        mass = np.zeros(len(buf) + 1)
+        cuts = np.append(np.flatnonzero(np.append(True, left[1:] != left[:-1])), len(left)) if len(left) else np.zeros(1, np.int64)
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            s = src[i:j]
+            x = log_p[i:j] + np.where(last[i:j], 0.0, mass[goal[i:j]])
+            heads = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+            top = np.maximum.reduceat(x, heads)
+            mass[s[heads]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(heads, j - i)))), heads))
+        order = np.argsort(src * 256 + size)
+        src, goal, piece, log_p, last = src[order], goal[order], piece[order], log_p[order], last[order]
+        gain = log_p + np.where(last, 0.0, mass[goal]) - mass[src]
+        first = np.searchsorted(src, np.arange(len(buf)))
+        run = np.cumsum(np.exp(gain))
+        before = np.append(0.0, run)[:-1]
+        low = before - before[first[src]]
+        states, edges = self._first.n, self._piece.n
+        self._roots.add(stops - sizes + states), self._masses.add(mass[stops - sizes])
+        self._first.add(first + edges), self._piece.add(piece), self._next.add(np.where(last, -1, goal + states)), self._gain.add(gain), self._low.add(low)
+
+    def _spell(self, buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Marks, below zero, of signs outside the vocabulary."""
+        code = np.zeros(len(at), np.int64)
+        for n in range(int(size.max()) if len(size) else 0):
+            on = size > n
+            code[on] = code[on] * 256 + buf[at[on] + n].astype(np.int64)
+        found, back = np.unique(code, return_inverse=True)
+        for c in found.tolist():
+            if c not in self.signs:
+                self.signs[c] = -1 - len(self.spelled)
+                self.spelled.append(self.v.bytes[list(c.to_bytes(max(1, (c.bit_length() + 7) // 8), "big"))])
+        return np.array([self.signs[c] for c in found.tolist()], np.int32)[back] if len(at) else np.zeros(0, np.int32)
+
+    def pieces(self, edges: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece numbers of runs of edges, and where each run ends; a sign outside the vocabulary is its bytes."""
         out = self.piece[edges]
-        if (out >= 0).all():
-            return out.tolist()
-        ids = []
-        for i in out.tolist():
-            if i >= 0:
-                ids.append(i)
-            else:
-                state = (-1 - i) // 8
-                k = int(np.searchsorted(self.roots, state, "right")) - 1
-                ids += [self.v.bytes[b] for b in self._words[k][state - int(self.roots[k])].encode("utf-8", "replace")]
-        return ids
+        odd = np.flatnonzero(out < 0)
+        if not len(odd):
+            return out, ends
+        many = np.ones(len(out), np.int64)
+        many[odd] = [len(self.spelled[-1 - m]) for m in out[odd].tolist()]
+        stops = np.cumsum(many)
+        whole = np.repeat(out, many)
+        for k, m in zip(odd.tolist(), out[odd].tolist(), strict=True):
+            whole[stops[k] - many[k] : stops[k]] = self.spelled[-1 - m]
+        return whole, np.append(0, stops)[ends]
 
 
 def uniform(seed: np.ndarray, *parts) -> np.ndarray:
-    """Numbers in (0, 1) from hashes of a seed and places."""
-    h = mix(seed)
-    for p in parts:
-        h = mix(h ^ (np.asarray(p).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
-    return ((h >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
-
-
-def sample(lattices: Lattices, texts: list[list[int]], seeds: np.ndarray, k: int = SAMPLES) -> list[list[dict]]:
-    """Of each text (kinds of its words, in order), up to k segmentations: edges, log_p, value, inclusion."""
-    counts = np.array([len(t) for t in texts], np.int64)
-    kinds = np.concatenate([np.array(t, np.int64) for t in texts]) if len(texts) else np.zeros(0, np.int64)
-    lattices.freeze()
-    starts = np.concatenate([[0], np.cumsum(counts)])
-    log_z = np.array([lattices.masses[kinds[a:b]].sum() for a, b in zip(starts[:-1], starts[1:], strict=True)])
+    """Numbers in (0, 1) from a hash of a seed and up to four places."""
+    h = seed * _TURN
+    for k, p in zip(_PARTS, parts, strict=False):
+        h = h + (np.atleast_1d(p).astype(np.uint64) + np.uint64(1)) * k
+    return ((mix(h) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each range, one after another."""
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def sample(lattices: Lattices, kinds: np.ndarray, counts: np.ndarray, seeds: np.ndarray, k: int = SAMPLES) -> list[list[dict]]:
+    """Of each text (so many kinds of words, in order), up to k segmentations: edges, log_p, value, inclusion."""
+    many = len(counts)
+    starts = np.append(0, np.cumsum(counts))
+    run = np.append(0.0, np.cumsum(lattices.masses[kinds]))
+    log_z = run[starts[1:]] - run[starts[:-1]]
     value = log_z - np.log(-np.log(uniform(seeds, 0, 0)))
     # an open node: value, the edges up to it, the word it stands in, the state after it, its relative log-probability
-    opened: list[list[tuple]] = [[(value[d], np.zeros(0, np.int64), 0, None, 0.0)] for d in range(len(texts))]
-    done: list[list[dict]] = [[] for _ in texts]
-    for turn in range(k + 1):
-        live = [d for d in range(len(texts)) if opened[d] and counts[d]]
+    opened: list[list[tuple]] = [[(value[d], np.zeros(0, np.int64), 0, None, 0.0)] for d in range(many)]
+    done: list[list[dict]] = [[] for _ in range(many)]
+    for turn in range(k):
+        live = [d for d in range(many) if opened[d] and counts[d]]
         if not live:
             break
-        tops = [max(range(len(opened[d])), key=lambda i, d=d: (opened[d][i][0], -i)) for d in live]
-        if turn == k:
-            break
-        nodes = [opened[d].pop(i) for d, i in zip(live, tops, strict=True)]
+        nodes = [opened[d].pop(max(range(len(opened[d])), key=lambda i, d=d: (opened[d][i][0], -i))) for d in live]
         # every word from the node's on walks its lattice; the node's own word goes on from its state
-        docs = np.repeat(np.arange(len(live)), [counts[d] - n[2] for d, n in zip(live, nodes, strict=True)])
-        places = np.concatenate([np.arange(n[2], counts[d]) for d, n in zip(live, nodes, strict=True)])
-        state = lattices.roots[kinds[starts[np.array(live)][docs] + places]] if len(docs) else np.zeros(0, np.int64)
-        heads = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
-        for h in heads.tolist():
-            after = nodes[docs[h]][3]
-            if after is not None:
-                state[h] = after
-        seed = seeds[np.array(live)][docs] if len(docs) else seeds[:0]
-        walked, step, at = [], 0, np.flatnonzero(state >= 0)
+        ids, words = np.array(live), np.array([n[2] for n in nodes])
+        rest = counts[ids] - words
+        docs, places = np.repeat(np.arange(len(live)), rest), _ranges(words, rest)
+        state = lattices.roots[kinds[starts[ids][docs] + places]]
+        heads = np.cumsum(rest) - rest
+        for x, n in enumerate(nodes):
+            if n[3] is not None and rest[x]:
+                state[heads[x]] = n[3]
+        seed, walked, step, at = seeds[ids][docs], [], 0, np.arange(len(docs))
+        where = state
         while len(at):
-            a, b = lattices.first[state[at]], lattices.first[state[at] + 1]
+            a = lattices.first[where]
+            size = lattices.first[where + 1] - a
             u = uniform(seed[at], turn + 1, places[at], step)
             # the last edge whose lower end is at most u
-            span = b - a
-            flat = np.repeat(a, span) + (np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span))
-            under = lattices.low[flat] <= np.repeat(u, span)
-            taken = a + np.maximum(np.add.reduceat(under.astype(np.int64), np.cumsum(span) - span), 1) - 1
-            walked.append((at, np.full(len(at), step), taken, state[at]))
-            state[at] = lattices.next[taken]
-            at, step = at[state[at] >= 0], step + 1
+            under = lattices.low[_ranges(a, size)] <= np.repeat(u, size)
+            taken = a + np.maximum(np.add.reduceat(under.astype(np.int64), np.cumsum(size) - size), 1) - 1
+            walked.append((at, np.full(len(at), step), taken, where))
+            where = lattices.next[taken]
+            on = where >= 0
+            at, where, step = at[on], where[on], step + 1
         item, order, edge, origin = (np.concatenate(x) for x in zip(*walked, strict=True)) if walked else (np.zeros(0, np.int64),) * 4
-        sort = np.lexsort((order, item))
+        sort = np.argsort(item * (step + 1) + order)
         item, order, edge, origin = item[sort], order[sort], edge[sort], origin[sort]
-        doc = docs[item]
-        gain = lattices.gain[edge]
-        base = np.array([n[4] for n in nodes])
+        doc, gain = docs[item], lattices.gain[edge]
         ends = np.searchsorted(doc, np.arange(len(live) + 1))
-        run = np.cumsum(gain)
-        before = run - gain - (np.concatenate([[0.0], run])[ends[:-1]])[doc] + base[doc]
+        run = np.append(0.0, np.cumsum(gain))
+        before = run[:-1] - run[ends[:-1]][doc] + np.array([n[4] for n in nodes])[doc]
         # the children not taken: their values fall below the node's
-        span = lattices.first[origin + 1] - lattices.first[origin]
-        flat = np.repeat(lattices.first[origin], span) + (np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span))
-        owner = np.repeat(np.arange(len(edge)), span)
+        a = lattices.first[origin]
+        size = lattices.first[origin + 1] - a
+        flat, owner = _ranges(a, size), np.repeat(np.arange(len(edge)), size)
         other = flat != edge[owner]
         flat, owner = flat[other], owner[other]
-        top = np.array([n[0] for n in nodes])[doc[owner]] if len(owner) else np.zeros(0)
-        phi = log_z[np.array(live)][doc[owner]] + before[owner] + lattices.gain[flat]
-        noise = -np.log(uniform(seed[item[owner]], turn + 1, places[item[owner]] * 4096 + order[owner], flat - lattices.first[origin[owner]] + 7)) if len(owner) else phi
-        child = phi - np.logaddexp(phi - top, np.log(noise))
-        owns = np.searchsorted(doc[owner], np.arange(len(live) + 1))
+        of = doc[owner]
+        phi = log_z[ids][of] + before[owner] + lattices.gain[flat]
+        noise = -np.log(uniform(seed[item[owner]], turn + 1 + k, places[item[owner]], order[owner], flat - a[owner]))
+        child = phi - np.logaddexp(phi - np.array([n[0] for n in nodes])[of], np.log(noise))
+        owns = np.searchsorted(of, np.arange(len(live) + 1))
         for x, (d, node) in enumerate(zip(live, nodes, strict=True)):
             a, b = ends[x], ends[x + 1]
-            path = np.concatenate([node[1], edge[a:b]])
-            done[d].append({"edges": path, "log_p": float(log_z[d] + node[4] + gain[a:b].sum()), "value": float(node[0])})
+            done[d].append({"edges": np.concatenate([node[1], edge[a:b]]), "log_p": float(log_z[d] + node[4] + run[b] - run[a]), "value": float(node[0])})
             i, j = owns[x], owns[x + 1]
-            keep = i + np.argsort(-child[i:j], kind="stable")[: k + 1 - len(done[d])]
-            for c in keep.tolist():
-                o = owner[c]
-                after = int(lattices.next[flat[c]])
+            wanted = k + 1 - len(done[d])
+            best = i + (np.argpartition(-child[i:j], wanted)[: wanted + 1] if j - i > wanted + 1 else np.arange(j - i))
+            for c in best[np.lexsort((best, -child[best]))][:wanted].tolist():
+                o, after = owner[c], int(lattices.next[flat[c]])
                 word = int(places[item[o]])
-                prefix = np.concatenate([node[1], edge[a:o], flat[c : c + 1]])
-                opened[d].append((float(child[c]), prefix, word if after >= 0 else word + 1, after if after >= 0 else None, float(before[o] + lattices.gain[flat[c]])))
-            opened[d] = sorted(opened[d], key=lambda n: -n[0])[: k + 1 - len(done[d])]
+                opened[d].append((float(child[c]), np.concatenate([node[1], edge[a:o], flat[c : c + 1]]), word if after >= 0 else word + 1, after if after >= 0 else None, float(before[o] + lattices.gain[flat[c]])))
+            opened[d] = sorted(opened[d], key=lambda n: -n[0])[:wanted]
     for d, found in enumerate(done):
         bar = max((n[0] for n in opened[d]), default=-np.inf)
         for f in found:
@@ -243,7 +329,7 @@ def sampled_segmentations(docs: DataFrame, keys: tuple[str, ...], text: str = "t
 
     Each text has `samples` rows, or as many as it has segmentations. Null texts are empty; the empty
     text has one segmentation, the lone mark's. Rows with equal keys and texts get equal samples. Runs of
-    blanks are single marks one after another. Other columns are ignored.
+    blanks are single marks one after another. Other columns, clashing names too, are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
     rows = docs.select(*keys, F.xxhash64(*keys).alias("__seed"), whole_text(text).alias("__text"))
@@ -256,15 +342,16 @@ def sampled_segmentations(docs: DataFrame, keys: tuple[str, ...], text: str = "t
                 batch = whole.slice(low, 256)
                 if len(lattices.known) > HELD:
                     lattices = Lattices(shared.value)
-                kinds = [[lattices.add(w) for w in split_words(t)] for t in batch.column("__text").to_pylist()]
-                found = sample(lattices, kinds, batch.column("__seed").to_numpy().view(np.uint64), samples)
+                data, starts, ends, counts = split_words(batch.column("__text"))
+                found = sample(lattices, lattices.kinds(data, starts, ends), counts, batch.column("__seed").to_numpy().view(np.uint64), samples)
                 at = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 flat = [s for f in found for s in f]
+                ids, stops = lattices.pieces(np.concatenate([s["edges"] for s in flat]), np.cumsum([len(s["edges"]) for s in flat]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c).take(pa.array(at)) for c in keys),
                         pa.array([n + 1 for f in found for n in range(len(f))], pa.int32()),
-                        pa.array([lattices.pieces(s["edges"]) for s in flat], pa.list_(pa.int32())),
+                        pa.ListArray.from_arrays(pa.array(np.append(0, stops).astype(np.int32)), pa.array(ids.astype(np.int32))),
                         *(pa.array([s[c] for s in flat], pa.float64()) for c in ("log_p", "value", "inclusion")),
                     ],
                     [*keys, "sample", "pieces", "log_prob", "value", "inclusion"],
