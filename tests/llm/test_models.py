@@ -107,6 +107,38 @@ def test_quality_learns_and_takes_awkward_rows(spark):
     assert quality(docs(spark, []), labels).count() == 0
 
 
+def test_quality_query_holds_out_a_third(spark, tmp_path):
+    import zlib
+
+    from tidemark.llm.queries import QUERIES
+
+    texts = [words(50, i) if i % 3 else " | ".join(words(50, i).split()) for i in range(120)]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3
+    # labels of the held-out third are turned round: they must not matter
+    labelled(spark, [(i, int(i % 3 > 0), 0) for i in range(120)]).write.parquet(str(tmp_path / "labels.parquet"))
+    one = {r.doc_id: r for r in QUERIES["op5_quality"](spark, str(tmp_path)).collect()}
+    labelled(spark, [(i, int((i % 3 > 0) != (fold(i) == 1)), 0) for i in range(120)]).write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+    two = {r.doc_id: r for r in QUERIES["op5_quality"](spark, str(tmp_path)).collect()}
+    assert all(one[i].held_out == (fold(i) == 1) and one[i].score == two[i].score and one[i].predicted == int(one[i].score >= 0.5) for i in range(120))
+
+
+def test_toxicity_query_holds_out_a_fifth(spark, tmp_path):
+    import zlib
+
+    from tidemark.llm.queries import QUERIES
+
+    texts = [words(30, i) + (" you idiot moron" if i % 4 == 0 else "") for i in range(100)]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    labelled(spark, [(i, 1, int(i % 4 == 0)) for i in range(100)]).write.parquet(str(tmp_path / "labels.parquet"))
+    one = {r.doc_id: r for r in QUERIES["op10_toxicity"](spark, str(tmp_path)).collect()}
+    labelled(spark, [(i, 1, int((i % 4 == 0) != (fold(i) == 0))) for i in range(100)]).write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+    two = {r.doc_id: r for r in QUERIES["op10_toxicity"](spark, str(tmp_path)).collect()}
+    assert all(one[i].held_out == (fold(i) == 0) and one[i].score == two[i].score and one[i].predicted == int(one[i].score >= 0.5) for i in range(100))
+    assert all(str(fold(int(e.split(":")[0]))) != "0" for r in one.values() for e in r.evidence.split(",") if e)
+
+
 def test_linear_time_form_equals_pairs():
     rng = np.random.default_rng(1)
     machine = Machine()

@@ -120,8 +120,10 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     """One row per document: key, score (0 to 1), predicted (1 from 0.5).
 
     labels: (key, label) rows to learn from; rows with a null key or label are left out, and of a key's
-    conflicting labels 1 counts. Null texts are empty and get the score of their structure. Without
-    labels every score is one half. Columns other than the key, the text and `metadata` are ignored.
+    conflicting labels 1 counts. At most `sample` labelled keys are learnt from; of a repeated key's texts, the
+    one of the least hash. Every row gets a row of its own, repeated keys and equal texts too. Null texts are
+    empty and get the score of their structure. Without labels every score is one half. Columns other than the
+    key, the text and `metadata` are ignored.
     """
     spark = docs.sparkSession
     names = [f"__m{k}" for k in range(len(metadata))]
@@ -135,7 +137,8 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("label"), pa.array([r[0] for r in found], pa.list_(pa.int32())), pa.array([r[1] for r in found], pa.list_(pa.float32()))], ["__id", "label", "at", "x"])
 
     kind = rows.schema["__id"].dataType.simpleString()
-    train = rows.join(F.broadcast(chosen), "__id").limit(2 * sample).select("__id", "__text", *names, "label")
+    one = F.min(F.struct(F.xxhash64("__text", *names), "__text", *names)).alias("t")
+    train = rows.join(F.broadcast(chosen), "__id").groupBy("__id").agg(one, F.max("label").alias("label")).select("__id", "t.__text", *(f"t.{n}" for n in names), "label")
     own = cut(train.mapInArrow(featured, f"__id {kind}, label int, at array<int>, x array<float>")).orderBy("__id").toPandas()
     machine = Machine()
     if len(own):
