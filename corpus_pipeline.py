@@ -46,12 +46,14 @@ def drop_near(spark, docs, sf_dir):
 
 
 def mask_secrets(spark, docs, sf_dir):
-    """Every document, its secrets replaced."""
+    """Every document, its secrets replaced. Null texts stay null, texts without a secret stay as they are, and
+    rows that repeat a key each stay."""
     return redact(docs)
 
 
 def pack_documents(spark, docs, sf_dir):
-    """The bins of the training sequences: a row per piece of a document."""
+    """The bins of the training sequences: a row per piece of a document. Null and empty texts have one piece
+    without tokens, and rows that repeat a key are packed each for itself."""
     return best_fit(docs)
 
 
