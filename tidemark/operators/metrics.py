@@ -132,18 +132,26 @@ def best_threshold(grid: DataFrame, keys: list[str], recall: float) -> DataFrame
 
 
 def reliability_bins(df: DataFrame, score: str, label: str, ties: list[str], bins: int = 10) -> DataFrame:
-    """Bins of equal count by score. Ranks come from counts of distinct scores and ties, ranged by score, so
-    that no single task sorts all rows: score buckets are counted first and give each its offset."""
-    cut = df.withColumn("__b", F.floor(F.col(score) * 1024))
-    sizes = cut.groupBy("__b").agg(F.count("*").alias("__n"))
-    total = F.sum("__n").over(Window.partitionBy(F.lit(0)))
-    start = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__b")) - F.col("__n")
-    offsets = sizes.select("__b", start.alias("__start"), total.alias("__all"))  # 1024 rows at most
-    rank = F.col("__start") + F.row_number().over(Window.partitionBy("__b").orderBy(score, *ties))
+    """Bins of equal count by score. Ranks are offsets of score steps (a 1024th each), offsets within a step of
+    its scores and stretches of the first tie column, and places in such a stretch, so that no task sorts all
+    rows, nor all rows of one score where the first tie column is a number."""
+    numeric = df.schema[ties[0]].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")
+    low, high = df.agg(F.min(ties[0]), F.max(ties[0])).first() if numeric else (None, None)
+    width = max((high - low) / 1024, 1e-9) if low is not None else 1.0
+    stretch = F.floor((F.col(ties[0]) - low) / width) if low is not None else F.lit(0).cast("long")
+    rows = df.withColumn("__b", F.floor(F.col(score) * 1024)).withColumn("__t", stretch)
+    cell = ["__b", score, "__t"]
+    cells = rows.groupBy(*cell).agg(F.count("*").alias("__n"))
+    steps = cells.groupBy("__b").agg(F.sum("__n").alias("__m"))
+    all_ = Window.partitionBy(F.lit(0))
+    starts = steps.select("__b", (F.sum("__m").over(all_.orderBy("__b")) - F.col("__m")).alias("__start"), F.sum("__m").over(all_).alias("__all"))  # a row for each step
+    inside = F.sum("__n").over(Window.partitionBy("__b").orderBy(score, "__t")) - F.col("__n")
+    placed = cells.select(*cell, inside.alias("__in")).join(starts, "__b")
+    rank = F.col("__start") + F.col("__in") + F.row_number().over(Window.partitionBy(*cell).orderBy(*ties))
     base, more = F.floor(F.col("__all") / bins), F.col("__all") % bins
     edge = more * (base + 1)
     number = F.when(F.col("__rank") <= edge, F.ceil(F.col("__rank") / (base + 1))).otherwise(more + F.ceil(F.try_divide(F.col("__rank") - edge, base)))
-    return cut.join(F.broadcast(offsets), "__b").withColumn("__rank", rank).withColumn("bin", number.cast("long")).groupBy("bin").agg(F.count("*").alias("n"), F.avg(score).alias("p"), F.avg(label).alias("y"))
+    return rows.join(placed, cell).withColumn("__rank", rank).withColumn("bin", number.cast("long")).groupBy("bin").agg(F.count("*").alias("n"), F.avg(score).alias("p"), F.avg(label).alias("y"))
 
 
 def macro_f1(df: DataFrame, truth: str, guess: str) -> DataFrame:
