@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import sources
-from tidemark.operators import forecasting, learning, metrics, readiness, regional, visibility
+from tidemark.operators import forecasting, learning, metrics, phase, readiness, regional, visibility
 
 
 def test_quantile_fit_against_plain_reweighting(spark):
@@ -216,3 +216,54 @@ def test_truth_score_and_reliability_by_hand(spark):
     assert score(0.8, 2.0, 0.1, 0.05, True) == round(28 + 12.5 + 12 + 5 + 10, 1) and score(None, None, None, None, False) == 4.0
     rel = one.select(readiness.reliability_score(lit(0.125), lit(0.1), lit(None), lit(0.8), lit(None), lit(20), lit(2), lit(18)).alias("s")).first().s
     assert rel == round((0.5 + 0.5 + 1) / 3 * 0.5, 4)
+
+
+def test_phase_fit_against_a_grid(spark):
+    kernels = [[1.0], [0.2, 0.5, 0.3], [0.0, 0.1, 0.3, 0.4, 0.2]]
+    logs = lambda q, c: np.array([math.log(sum(k * math.exp(-a * q + a * (a - 1) / 2 * c) for a, k in enumerate(ks))) for ks in kernels])
+    rng, rows = np.random.default_rng(11), []
+    for i in range(8):
+        z = (5 + logs(rng.uniform(-0.4, 0.4), rng.uniform(-0.1, 0.1)) + rng.normal(0, 0.02, 3)).tolist()
+        rows.append((i, z, [0.01, 0.02, 0.04]))
+    rows += [(8, [4.0, None, 4.2], [0.01, None, 0.01]), (9, [4.0, None, None], [0.01] * 3), (10, [50.0, 4.0, 3.0], [0.01] * 3)]
+    got = {r.k: r for r in phase.phase_fit(spark.createDataFrame(rows, "k int, z array<double>, v array<double>"), ["k"], "z", "v", kernels).collect()}
+
+    def loss(z, v, q, c):
+        w = np.array([0.0 if a is None else 1 / (b or 1.0) for a, b in zip(z, v, strict=True)])
+        r = np.array([0.0 if a is None else a for a in z]) - logs(q, c)
+        return (w * r * r).sum() - (w * r).sum() ** 2 / w.sum() + 1e-4 * q * q + 1e-3 * c * c
+
+    for k, z, v in rows:
+        grid = min(loss(z, v, q, c) for q in np.linspace(-1, 1, 81) for c in np.linspace(-0.5, 0.5, 41))
+        assert abs(got[k].q) <= 1 and abs(got[k].c) <= 0.5 and loss(z, v, got[k].q, got[k].c) <= grid + 1e-6
+    assert "few_sources" in got[9].warnings and got[0].warnings == []
+
+
+def test_renewal_without_noise_against_a_plain_loop(spark):
+    n = {("a", i): v for i, v in enumerate([10.0, 12.0, 15.0, 18.0])} | {("b", i): v for i, v in enumerate([40.0, 30.0, 24.0, 20.0])}
+    edges = [("a", "b", 0.5), ("b", "a", 0.25)]
+    out = phase.renewal_forecast(spark.createDataFrame([(r, i, v) for (r, i), v in n.items()], "r string, i int, v double"), spark.createDataFrame(edges, "src string, dst string, weight double"), "r", "i", "v", [0.6, 0.4], 3, samples=3, imported=0.1, size=0.0, noise=0.0)
+    got = {(x.r, x.ahead): x for x in out.collect()}
+    past = {r: [n[r, i] for i in range(4)] for r in "ab"}
+    for h in range(1, 4):
+        new = {}
+        for r in "ab":
+            x = [math.log(v + 1) for v in past[r][-3:]]
+            q, c = x[2] - x[1], x[2] - 2 * x[1] + x[0]
+            rate = min(max(1 / (0.6 * math.exp(-q) + 0.4 * math.exp(-2 * q + c)), 0.2), 5.0)
+            come = lambda lag: sum(w * past[s][-lag] for s, d, w in edges if d == r)  # noqa: B023, E731
+            new[r] = rate * sum(g * (0.9 * past[r][-lag] + 0.1 * come(lag)) for lag, g in ((1, 0.6), (2, 0.4)))
+        for r in "ab":
+            assert abs(got[r, h].q50 - new[r]) < 1e-9 and got[r, h].p_up == float(new[r] > n[r, 3])
+            past[r].append(new[r])
+
+
+def test_ridge_shares_against_normal_equations(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(200, 2)) * [1, 50] + [3, -7]
+    y = x @ [2.0, 0.1] + rng.normal(size=200)
+    got = {r.feature: r for r in learning.ridge_shares(spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y, strict=True)], "a double, b double, y double"), ["a", "b"], "y").collect()}
+    z = (x - x.mean(0)) / x.std(0)
+    beta = np.linalg.solve(z.T @ z + np.eye(2), z.T @ (y - y.mean()))
+    off = y - y.mean() - z @ beta
+    assert np.allclose([got["a"].coefficient, got["b"].coefficient], beta) and abs(got["a"].r2 - (1 - (off**2).mean() / y.var())) < 1e-9 and abs(got["a"].share + got["b"].share - 1) < 1e-12

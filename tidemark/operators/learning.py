@@ -34,6 +34,26 @@ def ridge(train: DataFrame, features: list[str], label: str, strength: float = 1
     return Pipeline(stages=stages).fit(train.fillna(0.0, features))
 
 
+def ridge_shares(df: DataFrame, features: list[str], y: str, strength: float = 1.0) -> DataFrame:
+    """Ridge regression on standardised features: per feature its coefficient and its share of all coefficients'
+    sizes, with the R2 and mean absolute error of the fit. One aggregate gathers the moments; rows with a null
+    are left out."""
+    names = [*features, y]
+    rows = df.dropna(subset=names)
+    k = len(features)
+    sums = rows.agg(F.count("*").alias("n"), F.array(*[F.avg(c).cast("double") for c in names]).alias("m"), F.array(*[F.covar_pop(a, b) for a in names for b in names]).alias("c")).first()
+    n, c = sums.n, np.array([0.0 if x is None else x for x in sums.c]).reshape(k + 1, k + 1)
+    scale = np.sqrt(np.where(np.diag(c) > 0, np.diag(c), 1.0))[:k]
+    inner, outer = c[:k, :k] / np.outer(scale, scale), c[:k, k] / scale
+    beta = np.linalg.solve(n * inner + strength * np.eye(k), n * outer) if n else np.zeros(k)
+    mean = [0.0 if x is None else x for x in sums.m]
+    guess = sum(((F.col(f) - m) / float(s) * float(b) for f, m, s, b in zip(features, mean, scale, beta, strict=False)), F.lit(mean[k]))
+    fit = rows.agg(F.avg(F.abs(F.col(y) - guess)).alias("mae"), F.avg((F.col(y) - guess) ** 2).alias("mse")).first()
+    r2 = float(1 - fit.mse / c[k, k]) if n and c[k, k] > 0 else None
+    total = np.abs(beta).sum()
+    return df.sparkSession.createDataFrame([(f, float(b), float(abs(b) / total) if total else None, r2, fit.mae) for f, b in zip(features, beta, strict=True)], "feature string, coefficient double, share double, r2 double, mae double")
+
+
 def isotonic(train: DataFrame, score: str, label: str, digits: int | None = None):
     """Monotone calibration of a score. Equal scores are one row weighted by their count. digits: scores are
     rounded first, so that the pooling step sees few rows whatever the input is."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import r
 from ..operators import forecasting as op
-from ..operators import metrics
+from ..operators import learning, metrics, phase
 from ..registry import query
 from .inputs import DEMAND, demand, scores, table
 
@@ -51,3 +51,32 @@ def cluster_spread(spark, sf_dir):
     m = demand(spark, sf_dir).groupBy("nation").agg(F.avg("v").alias("m"))
     x = m.join(table(spark, sf_dir, "nation"), F.col("nation") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("region"), "m")
     return op.cluster_spread(x, "region", "m").select("region", "n", r(F.col("within"), 1).alias("within"), r(F.col("share"), 5).alias("share"))
+
+
+@query("q_phase_fit")
+def phase_fit(spark, sf_dir):
+    """Growth and acceleration per nation from the last week's log demand at three delays."""
+    kernels = [[1.0], [0.2, 0.5, 0.3], [0.0, 0.1, 0.3, 0.4, 0.2]]
+    w = Window.partitionBy("nation").orderBy("week")
+    delayed = [sum((k * F.lag("v", a).over(w) for a, k in enumerate(kernel) if k), F.lit(0.0)) for kernel in kernels]
+    x = demand(spark, sf_dir).withColumn("z", F.array(*[F.log(F.greatest(d, F.lit(1.0))) for d in delayed])).groupBy("nation").agg(F.max_by("z", "week").alias("z"))
+    out = phase.phase_fit(x.withColumn("variance", F.array(*[F.lit(0.01)] * 3)), ["nation"], "z", "variance", kernels)
+    return out.select("nation", *(r(F.col(c), 5).alias(c) for c in ("q", "c", "level")), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("q_renewal_forecast")
+def renewal_forecast(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"))
+    edges = n.select("src", ((F.col("src") + 1) % 25).alias("dst"), F.lit(0.6).alias("weight")).unionByName(n.select("src", ((F.col("src") + 24) % 25).alias("dst"), F.lit(0.4).alias("weight")))
+    weeks = demand(spark, sf_dir).select("nation", "week", F.col("n").cast("double").alias("n"))
+    out = phase.renewal_forecast(weeks, edges, "nation", "week", "n", [0.5, 0.3, 0.2], 4, samples=200)
+    return out.select("nation", "ahead", "q10", "q50", "q90", r(F.col("p_up"), 4).alias("p_up"))
+
+
+@query("q_ridge_shares")
+def ridge_shares(spark, sf_dir):
+    """What moves next week's demand: coefficients on standardised lags, by an ordinary ridge."""
+    w = Window.partitionBy("nation").orderBy("week")
+    x = demand(spark, sf_dir).withColumns({"before": F.lag("v").over(w), "mean": F.avg("v").over(w.rowsBetween(-8, -1)), "next": F.lead("v").over(w)})
+    out = learning.ridge_shares(x, ["v", "before", "mean"], "next")
+    return out.select("feature", r(F.col("share"), 4).alias("share"), r(F.col("r2"), 4).alias("r2"))
