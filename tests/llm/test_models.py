@@ -18,6 +18,11 @@ def test_toxicity_learns_and_takes_awkward_rows(spark):
     assert toxicity(docs(spark, AWKWARD), labels).count() == len(AWKWARD)
     assert {r.score for r in toxicity(docs(spark, AWKWARD), labels.limit(0)).collect()} == {0.25}
     assert toxicity(docs(spark, []), labels).count() == 0
+    # all of a row can be passed on
+    from pyspark.sql import functions as F
+
+    whole = docs(spark, AWKWARD).withColumn("a b", F.lit(1)).select("doc_id", "text", F.struct("*").alias("all"))
+    assert sorted(str(tuple(r.all)) for r in toxicity(whole, labels, row="all").collect()) == sorted(str(tuple(r.all)) for r in whole.collect())
 
 
 def plain_neighbours(texts, labels, every):

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_sample, cut, whole_text
 from .tokens import LOOSE, span_hashes, texts_of, word_spans
@@ -250,8 +251,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     conflicting labels 1 counts. At most `examples` labelled keys are used; of a repeated key's texts, the one
     of the least hash. Every row gets a row of its own, repeated keys and equal texts too. Null texts are
     empty; a text that shares no word with an example has no evidence and scores by the share of positive
-    examples, and with no labels at all every score is 0.25. row: a column that numbers the rows, which is
-    passed on. Other columns, clashing names too, are ignored.
+    examples, and with no labels at all every score is 0.25. row: a column of any kind that is passed on, the
+    rows' number or all of a row as a struct. Other columns, clashing names too, are ignored.
     """
     sc = docs.sparkSession.sparkContext
     own = [F.col(row).alias("__row")] if row else []
@@ -271,8 +272,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         indexes = [Index(vectors[a:b], len(space), a) for a, b in parts_of(vectors, postings)]
         votes.calibrate([merge([i.nearest(*v) for i in indexes]) for v in vectors])
         parts, shared = [sc.broadcast(i) for i in indexes], sc.broadcast((weights, votes))
-    kind = rows.schema["__id"].dataType.simpleString()
-    number = f"`{row}` {rows.schema['__row'].dataType.simpleString()}, " if row else ""
+    kind = rows.schema["__id"].dataType
+    passed = [T.StructField(row, rows.schema["__row"].dataType)] if row else []
+    schema = T.StructType([T.StructField(key, kind), *passed, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.StringType())])
 
     def search(part):
         """The rows with the best so far: of what earlier indexes found and this one's."""
@@ -303,4 +305,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
                 [key, *([row] if row else []), "score", "predicted", "evidence"],
             )
 
-    return rows.mapInArrow(scored, f"`{key}` {kind}, {number}score double, predicted int, evidence string")
+    return rows.mapInArrow(scored, schema)
