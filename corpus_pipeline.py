@@ -26,11 +26,11 @@ def numbered(docs):
 
 
 def drop_toxic(spark, docs, sf_dir):
-    """Rows that score below one half."""
+    """Rows that score below one half. A row goes through the scoring whole, so each is kept or dropped by itself,
+    null and repeated keys too, and nothing is joined or shuffled."""
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
-    rows = numbered(docs)
-    bad = toxicity(rows, labels, row=ROW).where("predicted = 1").select(ROW)
-    return rows.join(bad, ROW, "left_anti").select(docs.columns)
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias(ROW))
+    return toxicity(whole, labels, row=ROW).where("predicted = 0").select(f"{ROW}.*")
 
 
 def drop_exact(spark, docs, sf_dir):
