@@ -387,3 +387,33 @@ def test_segmentation_query_decodes_every_document(spark, sf_dir):
     got = QUERIES["op8_sampled_segmentations"](spark, sf_dir).select("doc_id", "decoded_sha256").collect()
     assert {r.doc_id for r in got} == set(want)
     assert all(r.decoded_sha256 == want[r.doc_id] for r in got)
+
+
+def test_main_text_takes_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<article><p>Words of it and some more of them.</p></article>", 5, "no", "no")], "page_id long, url string, html string, n_chars int, text string, __html string")
+    row = main_text(df).first()
+    assert row.asDict() == {"page_id": 1, "url": "u", "text": "Words of it and some more of them.", "n_chars": 34}
+
+
+def test_texts_of_a_million_signs(spark):
+    """Whole texts of over a megabyte, one of words and one without a break, go through every operator."""
+    from tests.llm.helpers import LABELS
+    from tidemark.llm.near_dedup import near_duplicates
+    from tidemark.llm.packing import best_fit
+    from tidemark.llm.quality import quality
+    from tidemark.llm.toxicity import toxicity
+
+    long = words(220_000, 77)
+    texts = [long, "x1" * 600_000, long + " token = " + "ab12" * 10 + " a.b@c.org", *(words(40, i) for i in range(40))]
+    df, labels = docs(spark, texts), spark.createDataFrame([(i, 1, i % 2) for i in range(40)], LABELS)
+    assert len(long) > 1_000_000
+    spans = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in pii.personal_data(df).collect()}
+    assert ("email", "a.b@c.org") in spans[2]
+    spans = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in secrets.secret_spans(df).collect()}
+    assert ("hex", "ab12" * 10) in spans[2]
+    assert {r.doc_id: r.class_id for r in near_duplicates(df).collect() if r.doc_id < 3} == {0: 0, 1: 1, 2: 0}
+    assert {r.doc_id: r.n_chars for r in fingerprints.fingerprints_with_next(df).collect()} == {i: len(t) for i, t in enumerate(texts)}
+    assert sum(r.n_tokens for r in best_fit(df).collect() if r.doc_id == 0) == 220_000
+    assert quality(df, labels).count() == toxicity(df, labels).count() == len(texts)
+    back = decoded(sampled_segmentations(df.where("doc_id < 2"), ("doc_id",), samples=1), text="back").collect()
+    assert all(r.back == texts[r.doc_id] for r in back) and len(back) == 2

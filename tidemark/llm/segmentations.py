@@ -17,6 +17,8 @@ vocabulary goes by byte pieces.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +28,7 @@ from .common import whole_text
 from .tokens import buffers, mix, span_hashes
 
 MODEL, SAMPLES, EXPONENT, SHIFT, HELD = "/opt/tokenizers/piece_bpe_32k.model", 2, 1.0, 50.0, 200_000
-MARK, SLOTS = "▁", 22
+MARK, SLOTS, FEW = "▁", 22, 24
 _BASE, _TURN = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _PARTS = [np.uint64(k) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -192,12 +194,17 @@ class Lattices:
         last = goal == end[src]
         mass = np.zeros(len(buf) + 1)
         cuts = np.append(np.flatnonzero(np.append(True, left[1:] != left[:-1])), len(left)) if len(left) else np.zeros(1, np.int64)
-        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        # far from the ends only a few very long words are left: there, sign by sign is quicker
+        many = np.flatnonzero(np.diff(cuts) >= FEW)
+        tail = int(many[-1]) + 1 if len(many) else 0
+        for i, j in zip(cuts[:tail].tolist(), cuts[1 : tail + 1].tolist(), strict=True):
             s = src[i:j]
             x = log_p[i:j] + np.where(last[i:j], 0.0, mass[goal[i:j]])
             heads = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
             top = np.maximum.reduceat(x, heads)
             mass[s[heads]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(heads, j - i)))), heads))
+        if cuts[tail] < len(src):
+            self._far(mass, *(x[cuts[tail] :].tolist() for x in (src, goal, log_p, last)))
         order = np.argsort(src * 256 + size)
         src, goal, piece, log_p, last = src[order], goal[order], piece[order], log_p[order], last[order]
         gain = log_p + np.where(last, 0.0, mass[goal]) - mass[src]
@@ -209,6 +216,17 @@ class Lattices:
         self._roots.add(stops - sizes + states), self._masses.add(mass[stops - sizes])
         self._first.add(first + edges), self._piece.add(piece), self._next.add(np.where(last, -1, goal + states)), self._gain.add(gain), self._low.add(low)
 
+    @staticmethod
+    def _far(mass: np.ndarray, src: list, goal: list, log_p: list, last: list) -> None:
+        """Masses of states in order, one by one."""
+        held: list[float] = []
+        for k, (s, g, p, end) in enumerate(zip(src, goal, log_p, last, strict=True)):
+            held.append(p if end else p + float(mass[g]))
+            if k + 1 == len(src) or src[k + 1] != s:
+                top = max(held)
+                mass[s] = top + math.log(sum([math.exp(x - top) for x in held]))
+                held = []
+
     def _spell(self, buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Marks, below zero, of signs outside the vocabulary."""
         code = np.zeros(len(at), np.int64)
