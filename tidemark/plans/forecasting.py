@@ -46,11 +46,11 @@ def reconcile_levels(spark, sf_dir):
     return out.select("year", "node", *(r(F.col(f"q{k}_reconciled"), 2).alias(f"q{k}") for k in (25, 50, 75)))
 
 
-@query("q_cluster_spread", f"WITH {DEMAND}, m AS (SELECT nation, avg(v) AS m FROM demand GROUP BY 1), x AS (SELECT n_regionkey AS region, m FROM m JOIN nation ON nation = n_nationkey) SELECT region, count(*) AS n, round(var_pop(m), 1) AS within, round(var_pop(m) / (SELECT var_pop(m) FROM x), 5) AS share FROM x GROUP BY region")
+@query("q_cluster_spread", f"WITH {DEMAND}, m AS (SELECT nation, avg(v) AS m FROM demand GROUP BY 1), x AS (SELECT n_regionkey AS region, m FROM m JOIN nation ON nation = n_nationkey) SELECT region, count(*) AS n, round(var_pop(m) / 1e6, 3) AS within, round(var_pop(m) / (SELECT var_pop(m) FROM x), 5) AS share FROM x GROUP BY region")
 def cluster_spread(spark, sf_dir):
     m = demand(spark, sf_dir).groupBy("nation").agg(F.avg("v").alias("m"))
     x = m.join(table(spark, sf_dir, "nation"), F.col("nation") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("region"), "m")
-    return op.cluster_spread(x, "region", "m").select("region", "n", r(F.col("within"), 1).alias("within"), r(F.col("share"), 5).alias("share"))
+    return op.cluster_spread(x, "region", "m").select("region", "n", r(F.col("within") / 1e6, 3).alias("within"), r(F.col("share"), 5).alias("share"))
 
 
 @query("q_phase_fit")

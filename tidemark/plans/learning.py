@@ -9,7 +9,7 @@ from ..functions import r
 from ..operators import learning as op
 from ..operators import metrics
 from ..registry import query
-from .inputs import demand, scores, weekly
+from .inputs import WEEKLY, demand, scores, weekly
 
 LAGS = ["lag_1", "lag_2", "lag_4", "lag_52"]
 
@@ -42,7 +42,12 @@ def isotonic(spark, sf_dir):
     return metrics.calibration_error(out, ["source"], "p", "label").select("source", r(F.col("ece"), 4).alias("ece"))
 
 
-@query("q_trend_forecast")
+@query(
+    "q_trend_forecast",
+    f"""WITH {WEEKLY}, d AS (SELECT flag, v, v - lag(v) OVER (PARTITION BY flag ORDER BY week) AS s, row_number() OVER (PARTITION BY flag ORDER BY week DESC) AS k FROM weekly), m AS (SELECT flag, max(v) FILTER (k = 1) AS last, avg(s) FILTER (k <= 4) AS step, greatest(stddev_pop(s), 1) AS width FROM d GROUP BY flag),
+        f AS (SELECT flag, CAST(h AS INTEGER) AS step, greatest(last + m.step * h, 0) AS mid, 1.2816 * width * sqrt(h) AS half FROM m, (SELECT unnest([1, 2, 3, 4]) AS h))
+        SELECT flag, step, round(mid, 4) AS forecast, round(greatest(mid - half, 0), 4) AS low, round(mid + half, 4) AS high FROM f""",
+)
 def trend_forecast(spark, sf_dir):
     out = op.trend_forecast(weekly(spark, sf_dir).select("flag", F.col("week").cast("string").alias("week"), "v"), ["flag"], "week", "v", 4)
     return out.select("flag", "step", *(r(F.col(c), 4).alias(c) for c in ("forecast", "low", "high")))
