@@ -1,9 +1,10 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import AWKWARD, LABELS, docs, words
 from tidemark.llm import packing
 from tidemark.llm.quality import Machine, quality
-from tidemark.llm.toxicity import Index, merge, parts_of, toxicity
+from tidemark.llm.toxicity import Index, example_words, merge, parts_of, toxicity
 
 
 def labelled(spark, rows):
@@ -19,8 +20,6 @@ def test_toxicity_learns_and_takes_awkward_rows(spark):
     assert {r.score for r in toxicity(docs(spark, AWKWARD), labels.limit(0)).collect()} == {0.25}
     assert toxicity(docs(spark, []), labels).count() == 0
     # all of a row can be passed on
-    from pyspark.sql import functions as F
-
     whole = docs(spark, AWKWARD).withColumn("a b", F.lit(1)).select("doc_id", "text", F.struct("*").alias("all"))
     assert sorted(str(tuple(r.all)) for r in toxicity(whole, labels, row="all").collect()) == sorted(str(tuple(r.all)) for r in whole.collect())
 
@@ -65,6 +64,15 @@ def test_toxicity_neighbours_over_whole_texts(spark):
     assert max(abs(many[i].score - one[i].score) for i in one) < 1e-3
 
 
+def test_toxicity_examples_are_bounded_by_their_words(spark):
+    texts = [words(50, i) + (" you idiot moron" if i % 2 else "") for i in range(60)] + [words(3000, 500)]
+    df = docs(spark, texts).select("doc_id", "text", F.lit(1).alias("label")).withColumnsRenamed({"doc_id": "__id", "text": "__text"})
+    every, some, none = (example_words(df, n) for n in (10**6, 900, 1))
+    assert len(every[0]) == 61 and sum(map(len, some[2])) <= 900 and 5 < len(some[0]) < 61 and set(some[0]) <= set(every[0]) and none[0] == []
+    labels = labelled(spark, [(i, 1, i % 2) for i in range(60)])
+    assert toxicity(docs(spark, texts), labels, most_words=900).count() == 61 and {r.score for r in toxicity(docs(spark, texts), labels, most_words=1).collect()} == {0.25}
+
+
 def plain_all(texts, rows, i, held={}):  # noqa: B006
     if not held:
         import math

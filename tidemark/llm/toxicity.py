@@ -3,8 +3,8 @@
 A text's vector has all its lower-cased words. A word weighs (1 + ln tf) * ln(1 + N / df) * relevance, with
 document frequencies over all documents; relevance is 1 plus the deviations (shrunk, at least 0) by which
 the word's examples are more often positive than the mean, so no word is dropped and labels only stretch
-the axes. The examples are a bounded sample of labelled rows (`EXAMPLES`); equal vectors are one entry with
-its counts of either label. A word that no example has is in no dot product; it lengthens its text by the
+the axes. The examples are a bounded sample of labelled rows (`EXAMPLES` of them, with `WORDS` words at most);
+equal vectors are one entry with its counts of either label. A word that no example has is in no dot product; it lengthens its text by the
 weight of a word in one text of so many as there are examples.
 
 Entries lie in blocks. Words of few entries have posting lists, which are summed whole; a word of many
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import bounded_sample, cut, whole_text
 from .tokens import LOOSE, span_hashes, texts_of, word_spans
 
-EXAMPLES, NEIGHBOURS, BLOCK_SIZE, FREQUENT, SHRINK, POSTINGS = 4096, 32, 64, 16, 4.0, 2_000_000
+EXAMPLES, WORDS, NEIGHBOURS, BLOCK_SIZE, FREQUENT, SHRINK, POSTINGS = 4096, 8_000_000, 32, 64, 16, 4.0, 2_000_000
 ARRAYS = pa.list_(pa.int64())
 
 
@@ -51,8 +51,9 @@ def _places(found: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return inside, at[inside]
 
 
-def example_words(train: DataFrame) -> tuple[list, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Ids, labels, words and counts of the examples, by id."""
+def example_words(train: DataFrame, most: int = WORDS) -> tuple[list, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Ids, labels, words and counts of the examples, by id: as many of them, by a hash of their ids, as have at
+    most `most` different words, each counted for itself."""
     kind = train.schema["__id"].dataType.simpleString()
 
     def counted(batches):
@@ -60,7 +61,15 @@ def example_words(train: DataFrame) -> tuple[list, np.ndarray, list[np.ndarray],
             found = list(_counts(batch, "__text"))
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("label"), pa.array([f.tobytes() for f, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())], ["__id", "label", "words", "counts"])
 
-    got = train.mapInArrow(counted, f"__id {kind}, label int, words binary, counts binary").orderBy("__id").toArrow()
+    every = cut(train.mapInArrow(counted, f"__id {kind}, label int, words binary, counts binary"))
+    # a row for each example: the turn it has and how many words it brings
+    sizes = sorted(tuple(r) for r in every.select(F.xxhash64(F.lit(7), "__id"), "__id", F.octet_length("words") / 8).collect())
+    total, last = 0, None
+    for turn, _, n in sizes:
+        if total + n > most:
+            break
+        total, last = total + n, turn
+    got = every.where(F.xxhash64(F.lit(7), "__id") <= F.lit(last)).orderBy("__id").toArrow()
     of = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in got.column(name)]
     return got.column("__id").to_pylist(), np.array(got.column("label").to_pylist(), float), of("words", np.uint64), of("counts", np.int32)
 
@@ -244,12 +253,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple[float, float
     return max(a, 0.05), b
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, row: str | None = None, postings: int = POSTINGS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, row: str | None = None, postings: int = POSTINGS, most_words: int = WORDS) -> DataFrame:
     """One row per document: key, score (0 to 1), predicted (1 from 0.5), evidence (nearest examples).
 
     labels: (key, label) rows to learn from; rows with a null key or label are left out, and of a key's
-    conflicting labels 1 counts. At most `examples` labelled keys are used; of a repeated key's texts, the one
-    of the least hash. Every row gets a row of its own, repeated keys and equal texts too. Null texts are
+    conflicting labels 1 counts. At most `examples` labelled keys are used, and of these as many as have
+    `most_words` different words, each counted for itself; of a repeated key's texts, the one of the least hash. Every row gets a row of its own, repeated keys and equal texts too. Null texts are
     empty; a text that shares no word with an example has no evidence and scores by the share of positive
     examples, and with no labels at all every score is 0.25. row: a column of any kind that is passed on, the
     rows' number or all of a row as a struct. Other columns, clashing names too, are ignored.
@@ -260,7 +269,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     chosen = bounded_sample(marked, "__id", examples)
     of = rows.join(F.broadcast(chosen), "__id").groupBy("__id").agg(F.min(F.struct(F.xxhash64("__text"), "__text")).alias("t"), F.max("label").alias("label"))
-    ids, marks, words, counts = example_words(cut(of.select("__id", "label", F.col("t.__text").alias("__text"))))
+    ids, marks, words, counts = example_words(of.select("__id", "label", F.col("t.__text").alias("__text")), most_words)
     parts, votes, shared = [], None, sc.broadcast(None)
     if ids:
         space = np.unique(np.concatenate(words))
