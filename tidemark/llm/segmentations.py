@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_text
-from .tokens import buffers, mix, span_hashes
+from .tokens import blocks, buffers, mix, span_hashes
 
 MODEL, SAMPLES, EXPONENT, SHIFT, HELD = "/opt/tokenizers/piece_bpe_32k.model", 2, 1.0, 50.0, 200_000
-MARK, SLOTS, FEW = "▁", 22, 24
+#: Bytes of text that are walked together, one text at least.
+MARK, SLOTS, FEW, PART = "▁", 22, 24, 1 << 20
 _BASE, _TURN = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _PARTS = [np.uint64(k) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -356,8 +357,8 @@ def sampled_segmentations(docs: DataFrame, keys: tuple[str, ...], text: str = "t
     def encode(batches):
         lattices = Lattices(shared.value)
         for whole in batches:
-            for low in range(0, whole.num_rows, 256):
-                batch = whole.slice(low, 256)
+            for i, j in blocks(buffers(whole.column("__text"))[1], PART):
+                batch = whole.slice(i, j - i)
                 if len(lattices.known) > HELD:
                     lattices = Lattices(shared.value)
                 data, starts, ends, counts = split_words(batch.column("__text"))
