@@ -365,6 +365,21 @@ def test_samples_against_every_segmentation():
             assert abs(sum(lattices.masses[kinds[: counts[0]]]) - total) < 1e-9
 
 
+def test_joined_pieces_equal_those_decoded_one_by_one():
+    import pyarrow as pa
+
+    from tidemark.llm.segmentations import joined
+
+    v, rng = Vocabulary(), random.Random(4)
+    ids = [i for i, r in enumerate(v.raw) if r]
+    lists = [[rng.choice(ids) for _ in range(rng.randrange(12))] for _ in range(200)]
+    good = [x for x in lists if v.decode(x).encode() == b"".join(v.raw[i] for i in x).removeprefix(b" ")]
+    for rows in (lists, [*good, None, [], *good[:5]], [], [None]):
+        want = [None if x is None else v.decode(x) for x in rows]
+        assert joined(v, pa.array(rows, pa.list_(pa.int32()))).to_pylist() == want
+        assert joined(v, pa.array(rows, pa.list_(pa.int32())).slice(1)).to_pylist() == want[1:]
+
+
 def test_inclusion_is_unbiased():
     import numpy as np
 

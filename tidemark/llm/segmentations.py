@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_text
-from .tokens import blocks, buffers, mix, span_hashes
+from .tokens import blocks, buffers, span_hashes
 
-MODEL, SAMPLES, EXPONENT, SHIFT, HELD = "/opt/tokenizers/piece_bpe_32k.model", 2, 1.0, 50.0, 200_000
+MODEL, SAMPLES, EXPONENT, SHIFT, HELD = "/opt/tokenizers/piece_bpe_32k.model", 2, 1.0, 50.0, 50_000
 #: Bytes of text that are walked together, one text at least.
-MARK, SLOTS, FEW, PART = "▁", 22, 24, 1 << 20
+MARK, SLOTS, FEW, PART = "▁", 20, 24, 1 << 18
 _BASE, _TURN = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _PARTS = [np.uint64(k) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -66,27 +66,57 @@ class Vocabulary:
         total = np.log(np.exp(weight(np.arange(len(order) + 256.0))).sum())
         self.log_p = {i: float(weight(r) - total) for i, r in order.items()}
         self.byte_p = float(weight(len(order) + 255.0) - total)
-        # pieces by hash, and a first look at a few bits for pieces and for beginnings of pieces
+        # pieces by hash: a first look at a few bits tells pieces (1) and beginnings of pieces (2), a second one
+        # which piece it is, mostly
         forms = [self.raw[i] for i in self.pieces.values()]
         self.longest = max(map(len, forms))
-        self.is_piece, self.is_start = np.zeros(1 << SLOTS, bool), np.zeros(1 << SLOTS, bool)
+        self.signs, self.guess = np.zeros(1 << SLOTS, np.uint8), np.zeros(1 << SLOTS, np.int32)
         h, whole = np.zeros(len(forms), np.uint64), np.zeros(len(forms), np.uint64)
         sizes = np.array([len(f) for f in forms])
         for n in range(self.longest):
             on = sizes > n
             h[on] = _grown(h[on], np.array([f[n] for f in forms if len(f) > n], np.uint64))
-            self.is_start[_slot(h[on])] = True
+            self.signs[_slot(h[on])] |= 2
             whole[sizes == n + 1] = h[sizes == n + 1]
-        self.is_piece[_slot(whole)] = True
+        self.signs[_slot(whole)] |= 1
         by = np.argsort(whole)
+        self.guess[_slot(whole[by])] = np.arange(len(by))
         self.hashes, self.ids = whole[by], np.array(list(self.pieces.values()), np.int32)[by]
         self.weights = np.array([self.log_p[int(i)] for i in self.ids])
+        self.blob = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.sizes = np.array([len(r) for r in self.raw], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation; the inverse of encoding, but for the blank that encoding puts first."""
         return b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
 
+def joined(v: Vocabulary, lists: pa.ListArray) -> pa.Array:
+    """The texts of lists of pieces, all together; null for null."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    ids = lists.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]]
+    size = v.sizes[ids]
+    data = v.blob[_ranges(v.starts[ids], size)]
+    ends = np.append(0, np.cumsum(size))[bounds - bounds[0]]
+    # the blank that encoding puts first goes
+    full = np.flatnonzero(ends[1:] > ends[:-1])
+    first = ends[full][data[ends[full]] == 32]
+    gone = np.zeros(len(data) + 1, np.int64)
+    gone[first + 1] = 1
+    ends = ends - np.cumsum(gone)[ends]
+    data = np.delete(data, first)
+    valid = pa.array(lists.is_valid().to_numpy(zero_copy_only=False)).buffers()[1] if lists.null_count else None
+    texts = pa.Array.from_buffers(pa.large_string(), len(lists), [valid, pa.py_buffer(ends), pa.py_buffer(data.tobytes())])
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:  # byte pieces in an order that spells no text
+        return pa.array([None if p is None else v.decode(p) for p in lists.to_pylist()], pa.string())
+    return texts.cast(pa.string())
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of all texts, each with a blank before it, the bounds of their words, which begin at blanks, and
     how many each text has."""
@@ -129,7 +159,7 @@ class Lattices:
         self.known, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self._piece, self._next, self._gain, self._low, self._first = _Row(np.int32), _Row(np.int64), _Row(float), _Row(float), _Row(np.int64)
         self._roots, self._masses = _Row(np.int64), _Row(float)
-        self.signs: dict[int, int] = {}
+        self.codes: dict[int, int] = {}
         self.spelled: list[np.ndarray] = []
         self._view()
 
@@ -165,54 +195,66 @@ class Lattices:
         at, h, n = lead, np.zeros(len(lead), np.uint64), 0
         src, size, which = [], [], []
         while len(at) and n < v.longest:
-            inside = at + n < end[at]
-            at, h = at[inside], h[inside]
+            if n:
+                inside = at + n < end[at]
+                at, h = at[inside], h[inside]
             h = _grown(h, buf[at + n])
             n += 1
             slot = _slot(h)
-            hit = np.flatnonzero(v.is_piece[slot])
+            kind = v.signs[slot]
+            hit = np.flatnonzero(kind & 1)
             if len(hit):
-                p = np.minimum(np.searchsorted(v.hashes, h[hit]), len(v.hashes) - 1)
-                right = v.hashes[p] == h[hit]
-                src.append(at[hit][right]), which.append(p[right]), size.append(np.full(len(src[-1]), n))
-            on = v.is_start[slot]
+                p, own = v.guess[slot[hit]], h[hit]
+                right = v.hashes[p] == own
+                odd = np.flatnonzero(~right)
+                if len(odd):
+                    p[odd] = np.minimum(np.searchsorted(v.hashes, own[odd]), len(v.hashes) - 1)
+                    right[odd] = v.hashes[p[odd]] == own[odd]
+                src.append(at[hit][right]), which.append(p[right]), size.append(n)
+            on = kind > 1
             at, h = at[on], h[on]
-        src, size, which = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, size, which))
         # a sign that is no piece is spelled in bytes
-        length = np.zeros(len(buf), np.int64)
+        length, alone = np.zeros(len(buf), np.int64), np.zeros(len(buf), bool)
         length[lead] = sign
-        alone = np.zeros(len(buf), bool)
-        alone[src[size == length[src]]] = True
+        for s, n in zip(src, size, strict=True):
+            alone[s[length[s] == n]] = True
         bare = lead[~alone[lead]]
-        piece = np.concatenate([v.ids[which], self._spell(buf, bare, length[bare])])
-        log_p = np.concatenate([v.weights[which], v.byte_p * length[bare]])
-        src, size = np.concatenate([src, bare]), np.concatenate([size, length[bare]])
-        # masses from the ends of the words backward, all words together
-        left = end[src] - src
-        order = np.argsort((left << 40) + src * 256 + size)
-        src, size, piece, log_p, left = src[order], size[order], piece[order], log_p[order], left[order]
-        goal = src + size
+        # edges are put where their state's are, one of each length after another
+        rounds = [*((s, n, v.ids[w], v.weights[w]) for s, n, w in zip(src, size, which, strict=True)), (bare, length[bare], self._spell(buf, bare, length[bare]), v.byte_p * length[bare])]
+        many = np.bincount(np.concatenate([r[0] for r in rounds]), minlength=len(buf))
+        first = np.cumsum(many) - many
+        total, free = int(many.sum()), first.copy()
+        src, goal, piece, log_p = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total, np.int32), np.empty(total)
+        for s, n, i, w in rounds:
+            place = free[s]
+            free[s] += 1
+            src[place], goal[place], piece[place], log_p[place] = s, s + n, i, w
         last = goal == end[src]
+        # masses from the ends of the words backward, all words together; far from the ends only a few very long
+        # words are left: there, state by state is quicker
         mass = np.zeros(len(buf) + 1)
-        cuts = np.append(np.flatnonzero(np.append(True, left[1:] != left[:-1])), len(left)) if len(left) else np.zeros(1, np.int64)
-        # far from the ends only a few very long words are left: there, sign by sign is quicker
-        many = np.flatnonzero(np.diff(cuts) >= FEW)
-        tail = int(many[-1]) + 1 if len(many) else 0
-        for i, j in zip(cuts[:tail].tolist(), cuts[1 : tail + 1].tolist(), strict=True):
-            s = src[i:j]
-            x = log_p[i:j] + np.where(last[i:j], 0.0, mass[goal[i:j]])
-            heads = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        by_size = np.sort(sizes)
+        reach = int(by_size[-FEW]) if len(by_size) >= FEW else 0
+        stop = stops[np.argsort(-sizes, kind="stable")]
+        counts = len(sizes) - np.searchsorted(by_size, np.arange(1, reach + 1))
+        for d, n in enumerate(counts.tolist(), 1):
+            s = stop[:n] - d
+            s = s[many[s] > 0]
+            if not len(s):
+                continue
+            size = many[s]
+            e = _ranges(first[s], size)
+            x = log_p[e] + np.where(last[e], 0.0, mass[goal[e]])
+            heads = np.cumsum(size) - size
             top = np.maximum.reduceat(x, heads)
-            mass[s[heads]] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.append(heads, j - i)))), heads))
-        if cuts[tail] < len(src):
-            self._far(mass, *(x[cuts[tail] :].tolist() for x in (src, goal, log_p, last)))
-        order = np.argsort(src * 256 + size)
-        src, goal, piece, log_p, last = src[order], goal[order], piece[order], log_p[order], last[order]
+            mass[s] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, size)), heads))
+        if reach < by_size[-1]:
+            far = np.flatnonzero(end[src] - src > reach)
+            far = far[np.argsort((end[src[far]] - src[far]) * (len(buf) + 1) + src[far], kind="stable")]
+            self._far(mass, *(x[far].tolist() for x in (src, goal, log_p, last)))
         gain = log_p + np.where(last, 0.0, mass[goal]) - mass[src]
-        first = np.searchsorted(src, np.arange(len(buf)))
-        run = np.cumsum(np.exp(gain))
-        before = np.append(0.0, run)[:-1]
-        low = before - before[first[src]]
+        run = np.append(0.0, np.cumsum(np.exp(gain)))
+        low = run[:-1] - run[first[src]]
         states, edges = self._first.n, self._piece.n
         self._roots.add(stops - sizes + states), self._masses.add(mass[stops - sizes])
         self._first.add(first + edges), self._piece.add(piece), self._next.add(np.where(last, -1, goal + states)), self._gain.add(gain), self._low.add(low)
@@ -236,10 +278,10 @@ class Lattices:
             code[on] = code[on] * 256 + buf[at[on] + n].astype(np.int64)
         found, back = np.unique(code, return_inverse=True)
         for c in found.tolist():
-            if c not in self.signs:
-                self.signs[c] = -1 - len(self.spelled)
+            if c not in self.codes:
+                self.codes[c] = -1 - len(self.spelled)
                 self.spelled.append(self.v.bytes[list(c.to_bytes(max(1, (c.bit_length() + 7) // 8), "big"))])
-        return np.array([self.signs[c] for c in found.tolist()], np.int32)[back] if len(at) else np.zeros(0, np.int32)
+        return np.array([self.codes[c] for c in found.tolist()], np.int32)[back] if len(at) else np.zeros(0, np.int32)
 
     def pieces(self, edges: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers of runs of edges, and where each run ends; a sign outside the vocabulary is its bytes."""
@@ -256,12 +298,27 @@ class Lattices:
         return whole, np.append(0, stops)[ends]
 
 
-def uniform(seed: np.ndarray, *parts) -> np.ndarray:
-    """Numbers in (0, 1) from a hash of a seed and up to four places."""
-    h = seed * _TURN
+def address(seed: np.ndarray, *parts) -> np.ndarray:
+    """A number for a seed and up to four places, before it is scrambled."""
+    h, fixed = seed * _TURN, 0
     for k, p in zip(_PARTS, parts, strict=False):
-        h = h + (np.atleast_1d(p).astype(np.uint64) + np.uint64(1)) * k
-    return ((mix(h) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+        if isinstance(p, int):
+            fixed += (p + 1) * int(k)
+        else:
+            h += p.astype(np.uint64) * k
+    h += np.uint64(fixed % (1 << 64))
+    return h
+
+
+def uniform(h: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from addresses, which are used up."""
+    h ^= h >> np.uint64(30)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    h >>= np.uint64(11)
+    return (h + 0.5) * 2.0**-53
 
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -276,7 +333,7 @@ def sample(lattices: Lattices, kinds: np.ndarray, counts: np.ndarray, seeds: np.
     starts = np.append(0, np.cumsum(counts))
     run = np.append(0.0, np.cumsum(lattices.masses[kinds]))
     log_z = run[starts[1:]] - run[starts[:-1]]
-    value = log_z - np.log(-np.log(uniform(seeds, 0, 0)))
+    value = log_z - np.log(-np.log(uniform(address(seeds, 0))))
     # an open node: value, the edges up to it, the word it stands in, the state after it, its relative log-probability
     opened: list[list[tuple]] = [[(value[d], np.zeros(0, np.int64), 0, None, 0.0)] for d in range(many)]
     done: list[list[dict]] = [[] for _ in range(many)]
@@ -294,36 +351,36 @@ def sample(lattices: Lattices, kinds: np.ndarray, counts: np.ndarray, seeds: np.
         for x, n in enumerate(nodes):
             if n[3] is not None and rest[x]:
                 state[heads[x]] = n[3]
-        seed, walked, step, at = seeds[ids][docs], [], 0, np.arange(len(docs))
+        drawn = address(seeds[ids][docs], turn + 1, places)
+        walked, step, at = [], 0, np.arange(len(docs))
         where = state
         while len(at):
             a = lattices.first[where]
             size = lattices.first[where + 1] - a
-            u = uniform(seed[at], turn + 1, places[at], step)
+            u = uniform(drawn[at] + np.uint64((step + 1) * int(_PARTS[2]) % (1 << 64)))
             # the last edge whose lower end is at most u
             under = lattices.low[_ranges(a, size)] <= np.repeat(u, size)
-            taken = a + np.maximum(np.add.reduceat(under.astype(np.int64), np.cumsum(size) - size), 1) - 1
-            walked.append((at, np.full(len(at), step), taken, where))
+            taken = a + np.maximum(np.add.reduceat(under, np.cumsum(size) - size, dtype=np.int64), 1) - 1
+            walked.append((at, np.full(len(at), step), taken, a, size))
             where = lattices.next[taken]
             on = where >= 0
             at, where, step = at[on], where[on], step + 1
-        item, order, edge, origin = (np.concatenate(x) for x in zip(*walked, strict=True)) if walked else (np.zeros(0, np.int64),) * 4
+        item, order, edge, a, size = (np.concatenate(x) for x in zip(*walked, strict=True)) if walked else (np.zeros(0, np.int64),) * 5
         sort = np.argsort(item * (step + 1) + order)
-        item, order, edge, origin = item[sort], order[sort], edge[sort], origin[sort]
+        item, order, edge, a, size = item[sort], order[sort], edge[sort], a[sort], size[sort]
         doc, gain = docs[item], lattices.gain[edge]
         ends = np.searchsorted(doc, np.arange(len(live) + 1))
         run = np.append(0.0, np.cumsum(gain))
-        before = run[:-1] - run[ends[:-1]][doc] + np.array([n[4] for n in nodes])[doc]
+        before = run[:-1] + (np.array([n[4] for n in nodes]) - run[ends[:-1]])[doc]
         # the children not taken: their values fall below the node's
-        a = lattices.first[origin]
-        size = lattices.first[origin + 1] - a
         flat, owner = _ranges(a, size), np.repeat(np.arange(len(edge)), size)
         other = flat != edge[owner]
         flat, owner = flat[other], owner[other]
         of = doc[owner]
-        phi = log_z[ids][of] + before[owner] + lattices.gain[flat]
-        noise = -np.log(uniform(seed[item[owner]], turn + 1 + k, places[item[owner]], order[owner], flat - a[owner]))
-        child = phi - np.logaddexp(phi - np.array([n[0] for n in nodes])[of], np.log(noise))
+        phi = (before + log_z[ids][doc])[owner] + lattices.gain[flat]
+        h = (drawn[item] + order.astype(np.uint64) * _PARTS[2] + np.uint64(int(_PARTS[3]) * 7 % (1 << 64)))[owner]
+        h += (flat - a[owner]).astype(np.uint64) * _PARTS[3]
+        child = phi - np.logaddexp(phi - np.array([n[0] for n in nodes])[of], np.log(-np.log(uniform(h))))
         owns = np.searchsorted(of, np.arange(len(live) + 1))
         for x, (d, node) in enumerate(zip(live, nodes, strict=True)):
             a, b = ends[x], ends[x + 1]
@@ -387,7 +444,6 @@ def decoded(encoded: DataFrame, pieces: str = "pieces", text: str = "text", mode
 
     def decode(batches):
         for batch in batches:
-            texts = [None if p is None else shared.value.decode(p) for p in batch.column(pieces).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, text])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), joined(shared.value, batch.column(pieces))], [*kept, text])
 
     return encoded.mapInArrow(decode, schema)
