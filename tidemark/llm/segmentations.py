@@ -443,7 +443,10 @@ def decoded(encoded: DataFrame, pieces: str = "pieces", text: str = "text", mode
     kept = [c for c in encoded.columns if c != text]
 
     def decode(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), joined(shared.value, batch.column(pieces))], [*kept, text])
+        for whole in batches:
+            bounds = whole.column(pieces).offsets.to_numpy().astype(np.int64)
+            for i, j in blocks(bounds - bounds[0], PART // 4):
+                batch = whole.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), joined(shared.value, batch.column(pieces))], [*kept, text])
 
     return encoded.mapInArrow(decode, schema)
