@@ -98,8 +98,8 @@ def joined(v: Vocabulary, lists: pa.ListArray) -> pa.Array:
         lists = lists.combine_chunks()
     bounds = lists.offsets.to_numpy().astype(np.int64)
     ids = lists.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]]
-    size = v.sizes[ids]
-    data = v.blob[_ranges(v.starts[ids], size)]
+    size = _at(v.sizes, ids)
+    data = _at(v.blob, _ranges(_at(v.starts, ids), size))
     ends = np.append(0, np.cumsum(size))[bounds - bounds[0]]
     # the blank that encoding puts first goes
     full = np.flatnonzero(ends[1:] > ends[:-1])
@@ -187,7 +187,7 @@ class Lattices:
     def _build(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         v, sizes = self.v, ends - starts
         stops = np.cumsum(sizes)
-        buf = data[np.arange(stops[-1]) + np.repeat(starts - stops + sizes, sizes)].astype(np.uint64)
+        buf = _at(data, _ranges(starts, sizes)).astype(np.uint64)
         end = np.repeat(stops, sizes)
         lead = np.flatnonzero((buf & np.uint64(0xC0)) != 0x80)
         sign = np.append(lead[1:], len(buf)) - lead
@@ -196,40 +196,40 @@ class Lattices:
         src, size, which = [], [], []
         while len(at) and n < v.longest:
             if n:
-                inside = at + n < end[at]
-                at, h = at[inside], h[inside]
-            h = _grown(h, buf[at + n])
+                inside = at + n < _at(end, at)
+                at, h = np.compress(inside, at), np.compress(inside, h)
+            h = _grown(h, _at(buf, at + n))
             n += 1
             slot = _slot(h)
-            kind = v.signs[slot]
+            kind = _at(v.signs, slot)
             hit = np.flatnonzero(kind & 1)
             if len(hit):
-                p, own = v.guess[slot[hit]], h[hit]
-                right = v.hashes[p] == own
+                p, own = _at(v.guess, _at(slot, hit)), _at(h, hit)
+                right = _at(v.hashes, p) == own
                 odd = np.flatnonzero(~right)
                 if len(odd):
                     p[odd] = np.minimum(np.searchsorted(v.hashes, own[odd]), len(v.hashes) - 1)
                     right[odd] = v.hashes[p[odd]] == own[odd]
-                src.append(at[hit][right]), which.append(p[right]), size.append(n)
+                src.append(np.compress(right, _at(at, hit))), which.append(np.compress(right, p)), size.append(n)
             on = kind > 1
-            at, h = at[on], h[on]
+            at, h = np.compress(on, at), np.compress(on, h)
         # a sign that is no piece is spelled in bytes
         length, alone = np.zeros(len(buf), np.int64), np.zeros(len(buf), bool)
         length[lead] = sign
         for s, n in zip(src, size, strict=True):
-            alone[s[length[s] == n]] = True
-        bare = lead[~alone[lead]]
+            alone[np.compress(_at(length, s) == n, s)] = True
+        bare = np.compress(~_at(alone, lead), lead)
         # edges are put where their state's are, one of each length after another
-        rounds = [*((s, n, v.ids[w], v.weights[w]) for s, n, w in zip(src, size, which, strict=True)), (bare, length[bare], self._spell(buf, bare, length[bare]), v.byte_p * length[bare])]
+        rounds = [*((s, n, _at(v.ids, w), _at(v.weights, w)) for s, n, w in zip(src, size, which, strict=True)), (bare, length[bare], self._spell(buf, bare, length[bare]), v.byte_p * length[bare])]
         many = np.bincount(np.concatenate([r[0] for r in rounds]), minlength=len(buf))
         first = np.cumsum(many) - many
         total, free = int(many.sum()), first.copy()
         src, goal, piece, log_p = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total, np.int32), np.empty(total)
         for s, n, i, w in rounds:
-            place = free[s]
-            free[s] += 1
+            place = _at(free, s)
+            free[s] = place + 1
             src[place], goal[place], piece[place], log_p[place] = s, s + n, i, w
-        last = goal == end[src]
+        last = goal == _at(end, src)
         # masses from the ends of the words backward, all words together; far from the ends only a few very long
         # words are left: there, state by state is quicker
         mass = np.zeros(len(buf) + 1)
@@ -239,12 +239,12 @@ class Lattices:
         counts = len(sizes) - np.searchsorted(by_size, np.arange(1, reach + 1))
         for d, n in enumerate(counts.tolist(), 1):
             s = stop[:n] - d
-            s = s[many[s] > 0]
+            s = np.compress(_at(many, s) > 0, s)
             if not len(s):
                 continue
-            size = many[s]
-            e = _ranges(first[s], size)
-            x = log_p[e] + np.where(last[e], 0.0, mass[goal[e]])
+            size = _at(many, s)
+            e = _ranges(_at(first, s), size)
+            x = _at(log_p, e) + np.where(_at(last, e), 0.0, _at(mass, _at(goal, e)))
             heads = np.cumsum(size) - size
             top = np.maximum.reduceat(x, heads)
             mass[s] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, size)), heads))
@@ -252,9 +252,9 @@ class Lattices:
             far = np.flatnonzero(end[src] - src > reach)
             far = far[np.argsort((end[src[far]] - src[far]) * (len(buf) + 1) + src[far], kind="stable")]
             self._far(mass, *(x[far].tolist() for x in (src, goal, log_p, last)))
-        gain = log_p + np.where(last, 0.0, mass[goal]) - mass[src]
+        gain = log_p + np.where(last, 0.0, _at(mass, goal)) - _at(mass, src)
         run = np.append(0.0, np.cumsum(np.exp(gain)))
-        low = run[:-1] - run[first[src]]
+        low = run[:-1] - _at(run, _at(first, src))
         states, edges = self._first.n, self._piece.n
         self._roots.add(stops - sizes + states), self._masses.add(mass[stops - sizes])
         self._first.add(first + edges), self._piece.add(piece), self._next.add(np.where(last, -1, goal + states)), self._gain.add(gain), self._low.add(low)
@@ -321,6 +321,11 @@ def uniform(h: np.ndarray) -> np.ndarray:
     return (h + 0.5) * 2.0**-53
 
 
+def _at(x: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """x[i] for places that are there, the quicker way."""
+    return x.take(i, mode="clip")
+
+
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers first, first + 1, ... of each range, one after another."""
     ends = np.cumsum(size)
@@ -346,41 +351,41 @@ def sample(lattices: Lattices, kinds: np.ndarray, counts: np.ndarray, seeds: np.
         ids, words = np.array(live), np.array([n[2] for n in nodes])
         rest = counts[ids] - words
         docs, places = np.repeat(np.arange(len(live)), rest), _ranges(words, rest)
-        state = lattices.roots[kinds[starts[ids][docs] + places]]
+        state = _at(lattices.roots, _at(kinds, _at(starts[ids], docs) + places))
         heads = np.cumsum(rest) - rest
         for x, n in enumerate(nodes):
             if n[3] is not None and rest[x]:
                 state[heads[x]] = n[3]
-        drawn = address(seeds[ids][docs], turn + 1, places)
+        drawn = address(_at(seeds[ids], docs), turn + 1, places)
         walked, step, at = [], 0, np.arange(len(docs))
         where = state
         while len(at):
-            a = lattices.first[where]
-            size = lattices.first[where + 1] - a
-            u = uniform(drawn[at] + np.uint64((step + 1) * int(_PARTS[2]) % (1 << 64)))
+            a = _at(lattices.first, where)
+            size = _at(lattices.first, where + 1) - a
+            u = uniform(_at(drawn, at) + np.uint64((step + 1) * int(_PARTS[2]) % (1 << 64)))
             # the last edge whose lower end is at most u
-            under = lattices.low[_ranges(a, size)] <= np.repeat(u, size)
+            under = _at(lattices.low, _ranges(a, size)) <= np.repeat(u, size)
             taken = a + np.maximum(np.add.reduceat(under, np.cumsum(size) - size, dtype=np.int64), 1) - 1
             walked.append((at, np.full(len(at), step), taken, a, size))
-            where = lattices.next[taken]
+            where = _at(lattices.next, taken)
             on = where >= 0
-            at, where, step = at[on], where[on], step + 1
+            at, where, step = np.compress(on, at), np.compress(on, where), step + 1
         item, order, edge, a, size = (np.concatenate(x) for x in zip(*walked, strict=True)) if walked else (np.zeros(0, np.int64),) * 5
         sort = np.argsort(item * (step + 1) + order)
-        item, order, edge, a, size = item[sort], order[sort], edge[sort], a[sort], size[sort]
-        doc, gain = docs[item], lattices.gain[edge]
+        item, order, edge, a, size = (_at(x, sort) for x in (item, order, edge, a, size))
+        doc, gain = _at(docs, item), _at(lattices.gain, edge)
         ends = np.searchsorted(doc, np.arange(len(live) + 1))
         run = np.append(0.0, np.cumsum(gain))
-        before = run[:-1] + (np.array([n[4] for n in nodes]) - run[ends[:-1]])[doc]
+        before = run[:-1] + _at(np.array([n[4] for n in nodes]) - run[ends[:-1]], doc)
         # the children not taken: their values fall below the node's
         flat, owner = _ranges(a, size), np.repeat(np.arange(len(edge)), size)
-        other = flat != edge[owner]
-        flat, owner = flat[other], owner[other]
-        of = doc[owner]
-        phi = (before + log_z[ids][doc])[owner] + lattices.gain[flat]
-        h = (drawn[item] + order.astype(np.uint64) * _PARTS[2] + np.uint64(int(_PARTS[3]) * 7 % (1 << 64)))[owner]
-        h += (flat - a[owner]).astype(np.uint64) * _PARTS[3]
-        child = phi - np.logaddexp(phi - np.array([n[0] for n in nodes])[of], np.log(-np.log(uniform(h))))
+        other = flat != np.repeat(edge, size)
+        flat, owner = np.compress(other, flat), np.compress(other, owner)
+        of = _at(doc, owner)
+        phi = _at(before + _at(log_z[ids], doc), owner) + _at(lattices.gain, flat)
+        h = _at(_at(drawn, item) + order.astype(np.uint64) * _PARTS[2] + np.uint64(int(_PARTS[3]) * 7 % (1 << 64)), owner)
+        h += (flat - _at(a, owner)).astype(np.uint64) * _PARTS[3]
+        child = phi - np.logaddexp(phi - _at(np.array([n[0] for n in nodes]), of), np.log(-np.log(uniform(h))))
         owns = np.searchsorted(of, np.arange(len(live) + 1))
         for x, (d, node) in enumerate(zip(live, nodes, strict=True)):
             a, b = ends[x], ends[x + 1]
