@@ -164,17 +164,19 @@ def counting(n: int, buckets: int, chunk: int, most: int, words=None, shorter=No
                 b, times = np.unique(w.bucket(longer, buckets), return_counts=True)
                 hashed[b] = np.minimum(hashed[b].astype(np.int64) + times, 1 << 30)
         if hashed is not None:
-            found = np.flatnonzero(hashed)
-            yield from rows(None, None, found, hashed[found])
+            for a in range(0, buckets, 1 << 20):
+                found = a + np.flatnonzero(hashed[a : a + (1 << 20)])
+                yield from rows(None, None, found, hashed[found])
 
     return run
 
 
 def bitmap(frequent: DataFrame, buckets: int):
     """Bits of the `bucket`s of a table, as an array of bytes on all executors: buckets / 8 bytes, whatever the input is."""
-    byte = frequent.groupBy(F.shiftright("bucket", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, CAST(bucket % 8 AS INT))")).alias("bits"))
-    bits, found = np.zeros((buckets + 7) // 8, np.uint8), byte.toPandas()
-    bits[found["byte"].to_numpy(np.int64)] = found["bits"].to_numpy(np.uint8)
+    word = frequent.groupBy(F.shiftright("bucket", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bucket % 64 AS INT))")).alias("bits")).toArrow()
+    bits = np.zeros((buckets + 63) // 64, "<i8")
+    bits[word["word"].to_numpy()] = word["bits"].to_numpy()
+    bits = bits.view(np.uint8)
     return frequent.sparkSession.sparkContext.broadcast(bits)
 
 
