@@ -55,10 +55,9 @@ class Forest:
 
 def _walk(depth: int, goes_right: Callable[[Column], Column]) -> Column:
     """The node that a row ends in after so many levels."""
-    node = F.lit(1)
-    for _ in range(depth):
-        node = node * 2 + goes_right(node).cast("int")
-    return node
+    if not depth:
+        return F.lit(1)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(1), lambda node, _: node * 2 + goes_right(node).cast("int"))
 
 
 def bin_edges(df: DataFrame, features: list[str], bins: int, error: float = 1e-3) -> list[list[float]]:
@@ -104,12 +103,11 @@ class Loss:
     leaves: Callable[[DataFrame], dict[tuple[str, int], float]]
 
 
-def pinball_loss(level: str = "level", accuracy: int = 100_000) -> Loss:
-    """Quantiles: `level` is a column. A leaf is the quantile of its residuals, exact for leaves of up to `accuracy` rows."""
+def pinball_loss(levels: tuple[float, ...], level: str = "level", accuracy: int = 100_000) -> Loss:
+    """Quantiles: `level` is a column with one of `levels`. A leaf is the quantile of its residuals, exact for leaves of up to `accuracy` rows."""
 
     def quantiles(df: DataFrame, keys: list[str], value: Column) -> dict:
-        levels = sorted(r[0] for r in df.select(level).distinct().collect())
-        rows = df.groupBy(*keys, level).agg(F.percentile_approx(value, levels, accuracy).alias("q")).collect()
+        rows = df.groupBy(*keys, level).agg(F.percentile_approx(value, list(levels), accuracy).alias("q")).collect()
         return {tuple(r[k] for k in keys): float(r.q[levels.index(r[level])]) for r in rows}
 
     def gradients(df: DataFrame) -> DataFrame:
@@ -164,11 +162,14 @@ def fit(rows: DataFrame, features: list[str], y: str, loss: Loss, model: str, ke
         node = _walk(level, lambda n: F.get("bins", F.get("feature", n)) > F.get("bin", n))
         return df.join(small(made), "model").withColumn("node", node)
 
+    last = None
     for turn in range(trees):
         made = {m: Tree(depth) for m in base}
         sloped = loss.gradients(state).persist()
         for level in range(depth):
             cells = at(sloped, made, level).select("model", "node", "g", "h", F.posexplode("bins").alias("feature", "bin")).groupBy("model", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n")).toPandas()
+            if last is not None:  # the rows of this turn are held now
+                last = last.unpersist() and None
             splits = best_splits(cells, least)
             for (m, node), (f, b) in splits.items():
                 made[m].feature[node], made[m].bin[node] = f, b
@@ -178,9 +179,12 @@ def fit(rows: DataFrame, features: list[str], y: str, loss: Loss, model: str, ke
             made[m].leaf[node] = value
         for m, t in made.items():
             forest.trees[m].append(t)
-        moved = at(state, made, depth).withColumn("f", F.col("f") + rate * F.get("leaf", F.col("node"))).drop("node", "feature", "bin", "leaf")
-        state = cut(moved) if turn % every == every - 1 else moved
-        sloped.unpersist()
+        state = at(sloped, made, depth).withColumn("f", F.col("f") + rate * F.get("leaf", F.col("node"))).drop("node", "feature", "bin", "leaf", "g", "h")
+        if turn % every == every - 1 and turn < trees - 1:
+            state, sloped = cut(state), sloped.unpersist() and None
+        last = sloped
+    if last is not None:
+        last.unpersist()
     return forest
 
 
@@ -197,7 +201,7 @@ def quantile_boosting(train: DataFrame, features: list[str], y: str, levels: tup
     """Boosted quantiles of y: a model per level, and per value of `by` (say, a fold) where it is given."""
     name = _name(by)
     each = train.withColumn("level", F.explode(F.array(*[F.lit(p) for p in levels])))
-    return fit(each.withColumn("__m", name), features, y, pinball_loss(), "__m", keep=("level",), **more)
+    return fit(each.withColumn("__m", name), features, y, pinball_loss(levels), "__m", keep=("level",), **more)
 
 
 def _name(by: str | None) -> Column:
