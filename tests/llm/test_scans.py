@@ -251,6 +251,12 @@ def test_pages_as_browsers_read_them():
     assert texts("<p>area is <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and more</p>") == ["area is x=2 and more"]
     assert texts('<p>a<svg class="x"/>b<svg><text>no</text></svg>c</p>') == ["abc"]
     assert texts("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>e") == ["a", "b", "c", "d", "e"]
+    # comments that close at once, or by --!>, hide nothing after them; an open one hides the rest
+    for c in ("<!-->", "<!--->", "<!---->", "<!--x--!>", "<!--a<!--b-->", "<!--x-->"):
+        assert texts(f"<p>One.</p>{c}<p>Two.</p><!-- real --><p>Three.</p>") == ["One.", "Two.", "Three."], c
+    assert texts("<p>One.</p><!-- x -- > <p>Two.</p>") == ["One."]
+    long = "".join(f"<p>Line {i}.</p>" + "<!-->" * (i == 5000) for i in range(10000))
+    assert len(texts(f"<article>{long}</article><!-- end -->")) == 10000
     page = Page("<table><tr><td>a<td>b<tr><td><p>c</table><p>d<div>e")
     assert [(page.tags[page.parents[i]], t) for i, t in enumerate(page.texts) if t] == [("td", "a"), ("td", "b"), ("p", "c"), ("p", "d"), ("div", "e")]
 

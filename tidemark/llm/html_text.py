@@ -41,7 +41,7 @@ CUES = (
 ).split()
 ARTICLE_WORDS = "article articlebody body content entry main page post story text".split()
 
-_TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)(?:>|\Z)|<[!?][^>]*>?|</[^>]*>?""", re.S)
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?--!?>|.*\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)(?:>|\Z)|<[!?][^>]*>?|</[^>]*>?""", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 KINDS = {"run": 0, "h": 1, "p": 2, "list": 3, "box": 4, "other": 5}
