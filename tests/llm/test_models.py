@@ -181,6 +181,15 @@ def test_packing_places_every_token_once(spark):
     assert len(rows) >= len(AWKWARD) + len(texts) and packing.best_fit(docs(spark, [])).count() == 0
 
 
+def test_packing_spreads_null_and_repeated_keys(spark):
+    df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, F.lit(7)).otherwise(F.col("id")).cast("long").alias("doc_id"), F.lit("one two three").alias("text"))
+    rows = packing.best_fit(df, shard=3000).select("doc_id", "n_tokens", F.split("bin_id", "-")[0].alias("shard"), "bin_id", "bin_tokens", "position")
+    sizes = [r["count"] for r in rows.groupBy("shard").count().collect()]
+    assert len(sizes) == 10 and sum(sizes) == 30000 and max(sizes) < 3000 * 1.1
+    full = rows.groupBy("bin_id").agg(F.sum("n_tokens").alias("n"), F.max("bin_tokens").alias("room")).where("n > room").count()
+    assert full == 0 and rows.where("doc_id IS NULL").count() == 10000
+
+
 def test_best_fit_against_a_plain_scan():
     rng = np.random.default_rng(4)
     sizes = rng.integers(0, 513, 400)

@@ -1,7 +1,7 @@
 """Best-fit packing into bins of several permitted lengths.
 
 Documents longer than the largest permitted length are cut into pieces of that length and a rest. Pieces
-are dealt over shards by a hash of their document, about `SHARD` to a shard however many there are; only
+are dealt over shards by a hash of their row's number, about `SHARD` to a shard however many there are; only
 keys and lengths move. In a shard, longest first, each piece goes to the open bin it leaves the least
 room in. If none has room, a bin is opened of the permitted length that costs least per token it can
 still expect to hold: a bin of capacity c costs `overhead + c + c * c * attention`, and can expect its
@@ -104,13 +104,14 @@ def best_fit(docs: DataFrame, key: str = "doc_id", text: str = "text", size: Col
     each for itself, as are rows with a null key. Other columns are ignored.
     """
     top = max(lengths)
-    counted = cut(docs.select(F.col(key).alias("__id"), F.greatest(F.coalesce(size if size is not None else token_count(text), F.lit(0)), F.lit(0)).cast("long").alias("__n")))
+    counted = cut(docs.select(F.col(key).alias("__id"), F.monotonically_increasing_id().alias("__row"), F.greatest(F.coalesce(size if size is not None else token_count(text), F.lit(0)), F.lit(0)).cast("long").alias("__n")))
     pieces = counted.select(
-        "__id", "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("__n") / top) - 1, F.lit(0).cast("long")))).alias("piece")
+        "__id", "__row", "__n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("__n") / top) - 1, F.lit(0).cast("long")))).alias("piece")
     ).withColumn("n", F.least(F.col("__n") - F.col("piece") * top, F.lit(top)).cast("long"))
     total = counted.agg(F.sum(F.greatest(F.ceil(F.col("__n") / top), F.lit(1)))).first()[0] or 0
     shards = max(1, -(-int(total) // shard))
-    placed = pieces.withColumn("shard", F.pmod(F.xxhash64("__id", "piece"), F.lit(shards)).cast("long"))
+    # by the row and not by its key: null and repeated keys are spread like all others
+    placed = pieces.select("__id", "piece", "n", F.pmod(F.xxhash64("__row", "piece"), F.lit(shards)).cast("long").alias("shard"))
     kind = docs.schema[key].dataType.simpleString()
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
