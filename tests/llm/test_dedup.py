@@ -161,3 +161,11 @@ def test_near_classes_are_of_texts_and_not_of_keys(spark):
     texts = [(7, a), (7, b), (8, a.upper()), (9, b.upper()), (None, words(60, 82)), (None, words(60, 82).upper()), (None, a + " more")]
     got = sorted((str(r.doc_id), str(r.class_id), r.class_size, r.kept) for r in near_duplicates(docs(spark, texts)).collect())
     assert got == sorted([("7", "7", 3, True), ("7", "7", 2, True), ("8", "7", 3, False), ("9", "7", 2, False), ("None", "None", 2, True), ("None", "None", 2, False), ("None", "7", 3, False)])
+
+
+def test_of_equal_rows_the_same_one_stays_for_any_partitioning(spark):
+    from tidemark.llm.exact_dedup import drop_duplicates
+
+    df = docs(spark, [(3, "a b\tc"), (3, "a\tb c"), (3, "a\nb c"), (3, "x"), (None, "y z"), (None, "y\tz"), (5, "a bc")])
+    seen = {tuple(sorted(map(repr, ((r.doc_id, r.text) for r in drop_duplicates(df.repartition(n)).collect())))) for n in (1, 3, 7)}
+    assert len(seen) == 1 and len(next(iter(seen))) == 3

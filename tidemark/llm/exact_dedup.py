@@ -91,7 +91,7 @@ def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # keys of several rows are told apart by their texts too; of a key's equal texts the longest stays
     twice = docs.join(again, match, "left_semi").withColumn("__sha", F.sha2(F.translate(whole_text(text), WHITE, ""), 256))
     held = twice.join(found.distinct(), match & (F.col("__sha") == F.col("text_sha256")), "left_semi")
-    one = held.groupBy(key, "__sha").agg(F.max_by(F.struct(*docs.columns), F.length(whole_text(text))).alias("__row")).select("__row.*")
+    one = held.groupBy(key, "__sha").agg(F.max_by(F.struct(*docs.columns), F.struct(F.length(whole_text(text)), whole_text(text))).alias("__row")).select("__row.*")
     other = again.withColumnRenamed("__kept_id", "__again")
     once = found.join(other, F.col("__kept_id").eqNullSafe(F.col("__again")), "left_anti")
     return docs.join(once, match, "left_semi").unionByName(one.select(docs.columns))
