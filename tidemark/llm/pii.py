@@ -147,7 +147,7 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     edges = seen.select(F.explode("patterns").alias("pattern"), "what", "seed").groupBy("pattern", "what").agg(F.max("seed").alias("seed"))
     likely = score_patterns(edges).where((F.col("seeds") >= SUPPORT) & (F.col("confidence") >= CONFIDENT)).select("pattern")
     said = scanned.select(F.explode("contexts").alias("c")).groupBy("c.pattern").agg(F.sum("c.held").alias("held"), F.sum("c.seen").alias("seen")).where(F.col("held") >= EXCLUSIVE * F.col("seen"))
-    sure = likely.join(said, "pattern", "left_semi")
+    sure = cut(likely.join(said, "pattern", "left_semi"))  # written, so that a hot context is split in the join below
     added = (
         seen.where("NOT seed").select("__row", "start", "end", F.explode("patterns").alias("pattern")).join(sure, "pattern", "left_semi")
         .groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("more"))
