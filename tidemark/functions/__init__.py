@@ -76,3 +76,23 @@ def code(text: Column, digits: int) -> Column:
 
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+
+
+def amount_from_text(text: Column) -> Column:
+    """An amount of money, rounded to cents; null for anything else and for amounts below zero.
+
+    With both marks the last one is decimal and the other groups thousands. A lone comma is decimal where two digits at
+    most follow, else it groups; one dot groups where three digits follow, and several dots always do.
+    """
+    bare = F.regexp_replace(text, r"[€\s]", "")
+    comma, dot = F.instr(F.reverse(bare), ","), F.instr(F.reverse(bare), ".")
+    without = lambda mark: F.regexp_replace(bare, mark, "")
+    plain = (
+        F.when((comma > 0) & (dot > 0) & (comma < dot), F.regexp_replace(without(r"\."), ",", "."))
+        .when((comma > 0) & (dot > 0), without(","))
+        .when(bare.rlike(r",[0-9]{1,2}$"), F.regexp_replace(bare, ",", "."))
+        .when(comma > 0, without(","))
+        .when(bare.rlike(r"^[0-9]+\.[0-9]{3}$") | bare.rlike(r"^[0-9]+(?:\.[0-9]+){2,}$"), without(r"\."))
+        .otherwise(bare)
+    )
+    return F.round(F.when(plain.rlike(r"^\+?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), plain.try_cast("double")), 2)

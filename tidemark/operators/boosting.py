@@ -101,6 +101,7 @@ class Loss:
     base: Callable[[DataFrame], dict[str, float]]
     gradients: Callable[[DataFrame], DataFrame]
     leaves: Callable[[DataFrame], dict[tuple[str, int], float]]
+    rereads: bool = False  # gradients read the state more than once, so that it is written every turn
 
 
 def pinball_loss(levels: tuple[float, ...], level: str = "level", accuracy: int = 100_000) -> Loss:
@@ -180,7 +181,7 @@ def fit(rows: DataFrame, features: list[str], y: str, loss: Loss, model: str, ke
         for m, t in made.items():
             forest.trees[m].append(t)
         state = at(sloped, made, depth).withColumn("f", F.col("f") + rate * F.get("leaf", F.col("node"))).drop("node", "feature", "bin", "leaf", "g", "h")
-        if turn % every == every - 1 and turn < trees - 1:
+        if (loss.rereads or turn % every == every - 1) and turn < trees - 1:
             state, sloped = cut(state), sloped.unpersist() and None
         last = sloped
     if last is not None:

@@ -100,25 +100,45 @@ def clusters(df: DataFrame, node: str, features: list[str], k: int, most: int =
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(node, kind="stable").reset_index(drop=True)
-        x = np.nan_to_num(group[features].to_numpy(float))
-        s = x.std(0)
-        x = (x - x.mean(0)) / np.where(s > 0, s, 1)
-        n, size, of = len(x), np.ones(len(x)), np.arange(len(x))
-        square = (x * x).sum(1)
-        # what a merge of two clusters adds to the sum of squares: half the squared distance of single nodes
-        cost = np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0) / 2
-        np.fill_diagonal(cost, np.inf)
-        for _ in range(n - k):
-            i, j = divmod(int(cost.argmin()), n)
-            i, j = min(i, j), max(i, j)
-            both = size[i] + size[j]
-            with np.errstate(invalid="ignore"):
-                row = ((size + size[i]) * cost[i] + (size + size[j]) * cost[j] - size * cost[i, j]) / (size + both)
-            row[[i, j]] = np.inf
-            row[np.isinf(cost[i])] = np.inf
-            cost[i, :], cost[:, i] = row, row
-            cost[j, :], cost[:, j] = np.inf, np.inf
-            size[i], of[of == j] = both, i
-        return pd.DataFrame({node: group[node], "cluster": np.unique(of, return_inverse=True)[1].astype(np.int32)})
+        return pd.DataFrame({node: group[node], "cluster": ward(group[features].to_numpy(float), k)})
 
     return df.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(run, f"`{node}` {df.schema[node].dataType.simpleString()}, cluster int")
+
+
+def ward(x: np.ndarray, k: int) -> np.ndarray:
+    """Cluster of each row: single rows merged pair by pair where that adds least to the squares within, until k are left.
+    Columns are standardised first; missing values count as zero."""
+    x = np.nan_to_num(x)
+    s = x.std(0)
+    x = (x - x.mean(0)) / np.where(s > 0, s, 1)
+    n, size, of = len(x), np.ones(len(x)), np.arange(len(x))
+    square = (x * x).sum(1)
+    # what a merge of two clusters adds to the sum of squares: half the squared distance of single nodes
+    cost = np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0) / 2
+    np.fill_diagonal(cost, np.inf)
+    for _ in range(n - k):
+        i, j = divmod(int(cost.argmin()), n)
+        i, j = min(i, j), max(i, j)
+        both = size[i] + size[j]
+        with np.errstate(invalid="ignore"):
+            row = ((size + size[i]) * cost[i] + (size + size[j]) * cost[j] - size * cost[i, j]) / (size + both)
+        row[[i, j]] = np.inf
+        row[np.isinf(cost[i])] = np.inf
+        cost[i, :], cost[:, i] = row, row
+        cost[j, :], cost[:, j] = np.inf, np.inf
+        size[i], of[of == j] = both, i
+    return np.unique(of, return_inverse=True)[1].astype(np.int32)
+
+
+def clusters_by_date(df: DataFrame, date: str, node: str, features: list[str], k: int, most: int = 2000) -> DataFrame:
+    """Ward clusters of the nodes of each date, dates side by side: date, node, cluster. A date's nodes are one group of at
+    most `most`, which is checked."""
+    if df.groupBy(date).count().where(F.col("count") > most).head(1):
+        raise ValueError(f"a date with more than {most} nodes; cluster a coarser level")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(node, kind="stable").reset_index(drop=True)
+        return pd.DataFrame({date: group[date], node: group[node], "cluster": ward(group[features].to_numpy(float), k)})
+
+    kind = dict(df.dtypes)
+    return df.select(date, node, *features).groupBy(date).applyInPandas(run, f"`{date}` {kind[date]}, `{node}` {kind[node]}, cluster int")

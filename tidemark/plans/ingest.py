@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import sources
-from ..functions import code, number_from_text, r, slug, week_from_label
+from ..functions import amount_from_text, code, number_from_text, r, slug, week_from_label
 from ..registry import query
 from .inputs import table
 
@@ -42,6 +42,22 @@ def locale_numbers(spark, sf_dir):
     return o.select("o_orderkey", r(number_from_text(text), 2).alias("value"))
 
 
+@query(
+    "q_amounts",
+    """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 2 THEN floor(o_totalprice) WHEN 3 THEN floor(o_totalprice) WHEN 4 THEN floor(o_totalprice) * 1000000 WHEN 5 THEN NULL WHEN 6 THEN NULL WHEN 7 THEN round(floor(o_totalprice) + 0.5, 2) ELSE round(o_totalprice, 2) END AS amount FROM orders""",
+)
+def amounts(spark, sf_dir):
+    """Every order's price as it may be written, in euro and English notation, grouped, with lone commas and with signs."""
+    p, kind = F.col("o_totalprice"), F.col("o_orderkey") % 8
+    cents, whole = F.format_number(p, 2), F.floor(p).cast("double")
+    grouped, swap = F.format_number(whole, 0), lambda c: F.translate(c, ",.", ".,")
+    text = (
+        F.when(kind == 0, F.concat(swap(cents), F.lit(" €"))).when(kind == 1, cents).when(kind == 2, swap(grouped)).when(kind == 3, grouped).when(kind == 4, swap(F.format_number(whole * 1000000, 0)))
+        .when(kind == 5, F.concat(F.lit("-"), swap(cents))).when(kind == 6, F.lit("n/a")).otherwise(F.concat(F.floor(p).cast("string"), F.lit(",5")))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", amount_from_text(text).alias("amount"))
+
+
 @query("q_codes_and_slugs", "SELECT n_nationkey, right('00000' || n_nationkey, 5) AS code, trim(regexp_replace(lower(trim(n_name)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM nation")
 def codes(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", code(F.concat("n_nationkey", F.lit(".0")), 5).alias("code"), slug(F.col("n_name")).alias("slug"))

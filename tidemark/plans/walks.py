@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import r
-from ..operators import boosting, forecasting, metrics, nested, rowwise, splits
+from ..operators import aligned, boosting, forecasting, joint, learning, metrics, nested, ranking, rowwise, splits
 from ..registry import query
-from .inputs import DEMAND, demand
+from .inputs import DEMAND, demand, table
 from .learning import LAGS, lagged
 
 LEVELS = (0.1, 0.5, 0.9)
@@ -63,3 +63,43 @@ def rowwise_walk_forward(spark, sf_dir):
     x = demand(spark, sf_dir).select("nation", "week", (F.col("v") / 1000).alias("y"), (F.lag("v").over(w) / 1000).alias("a"), (F.avg("v").over(w.rowsBetween(-8, -2)) / 1000).alias("b"), F.date_add("week", (7 + 7 * (F.col("nation") % 3)).cast("int")).alias("known"))
     out = rowwise.rowwise_walk_forward(x, ["nation"], "week", "known", ["a", "b"], "y", 14, least=10)
     return out.select("nation", F.col("week").cast("string").alias("week"), "n_train", *(r(F.col(c), 3).alias(c) for c in ("forecast", "sigma", "low_80", "high_95")))
+
+
+@query("q_joint_fit")
+def joint_fit(spark, sf_dir):
+    """The log demand of every nation and week as two sources tell it, order values and what is shipped nine weeks later, with
+    neighbours and weeks held together. Growth is of the fitted state."""
+    weeks = demand(spark, sf_dir).select(F.col("nation").alias("node"), F.floor(F.datediff("week", F.lit("1995-01-02")) / 7).cast("int").alias("t"), "v")
+    o, c, li = (table(spark, sf_dir, t) for t in ("orders", "customer", "lineitem"))
+    shipped = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("node"), F.floor(F.datediff("l_shipdate", F.lit("1995-01-02")) / 7).cast("int").alias("t")).agg(F.sum("l_extendedprice").alias("v"))
+    tell = lambda df, name, var: df.select("node", "t", F.lit(name).alias("source"), F.log1p("v").alias("z"), F.lit(var).alias("variance"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"))
+    edges = n.select("src", ((F.col("src") + 1) % 25).alias("dst"), F.lit(0.5).alias("weight"))
+    days = (weeks.agg(F.max("t")).first()[0] or 0) + 1
+    out, _ = joint.joint_fit(tell(weeks, "orders", 0.2).unionByName(tell(shipped, "shipped", 0.3)), edges, "node", "t", "source", "z", "variance", {"orders": 0, "shipped": 9}, 0, days, sweeps=5)
+    return out.select("node", "t", *(r(F.col(c), 2).alias(c) for c in ("x", "q")))
+
+
+@query("q_rank_boosting")
+def rank_boosting(spark, sf_dir):
+    """Nations ranked each week by next week's growth: NDCG of the first five for trees of ranking gradients, for trees that
+    forecast the event, and for the last value, on weeks after those learned from."""
+    x = lagged(spark, sf_dir).drop("test").withColumn("grade", F.when(F.col("next") > 1.5 * F.col("v"), 2).when(F.col("next") > 1.1 * F.col("v"), 1).otherwise(0)).withColumn("all", F.lit("all"))
+    train, test, names = x.where("week < '2000-01-01'"), x.where("week >= '2000-01-01'"), ["v", *LAGS]
+    edges = boosting.bin_edges(train, names, 32)
+    more = dict(trees=8, depth=3, rate=0.3, edges=edges)
+    ranker = boosting.fit(train, names, "grade", ranking.lambda_loss(["week"], "nation", 5), "all", ("week", "nation"), **more)
+    events = boosting.fit(train, names, "label", boosting.log_loss(), "all", **more)
+    out = boosting.score(boosting.score(test, ranker, "all", "ranking"), events, "all", "event").withColumn("last", -F.col("v"))
+    each = [ranking.ndcg(out, ["week"], "nation", c, "grade", 5).select(F.lit(c).alias("by"), "groups", r(F.col("ndcg"), 3).alias("ndcg")) for c in ("ranking", "event", "last")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query("q_aligned_clusters")
+def aligned_clusters(spark, sf_dir):
+    """Nations clustered quarter by quarter on their demand, under labels that stay, and how many change theirs."""
+    quarter = F.date_trunc("quarter", "week").cast("date")
+    x = demand(spark, sf_dir).groupBy(quarter.alias("quarter"), "nation").agg(F.avg("v").alias("m"), F.avg("n").alias("n"), F.count("*").cast("double").alias("weeks"))
+    held = aligned.aligned(learning.clusters_by_date(x, "quarter", "nation", ["m", "n", "weeks"], 3), "quarter", "nation", "cluster", 3)
+    out = aligned.reassignment(held, "quarter", "nation")
+    return out.select(F.col("quarter").cast("string").alias("quarter"), "n", r(F.col("reassigned"), 4).alias("reassigned"))
