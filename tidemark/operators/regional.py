@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -124,27 +126,43 @@ def allocate(df: DataFrame, keys: list[str], node: str, weight: str, least: floa
     return df.groupBy(*keys).applyInPandas(fill, schema)
 
 
+@dataclass
+class AlertRule:
+    """Clear, watch, alarm, value by value. The baseline is the median of the last clean values; a state eases only after so
+    many calm ones. The fields after the limits are all that is remembered."""
+
+    history: int = 7
+    watch: float = 1.3
+    alarm: float = 2.0
+    calm: int = 2
+    state: str = "clear"
+    quiet: int = 0
+    clean: list[float] = field(default_factory=list)
+
+    def step(self, v: float) -> tuple[str, float]:
+        """The state after a value, and the baseline that it was held against (nan before three clean values)."""
+        base = float(np.median(self.clean)) if len(self.clean) >= 3 else float("nan")
+        level = v / base if base and base == base else 1.0
+        if level >= self.alarm:
+            self.state, self.quiet = "alarm", 0
+        elif level >= self.watch:
+            self.state, self.quiet = ("alarm" if self.state == "alarm" else "watch"), 0
+        else:
+            self.quiet += 1
+            self.clean = [*self.clean, v][-self.history :]
+            if self.quiet >= self.calm:
+                self.state = "clear" if self.state != "alarm" else "watch"
+                self.quiet = 0 if self.state == "watch" else self.quiet
+        return self.state, base
+
+
 def alert_states(df: DataFrame, keys: list[str], order: str, value: str, history: int = 7, watch: float = 1.3, alarm: float = 2.0, calm: int = 2) -> DataFrame:
-    """A per-site state machine: clear, watch, alarm. The baseline is the median of the last clean values;
-    a state eases only after so many calm rows. Each site's rows run in order in one group."""
+    """A per-site state machine (see `AlertRule`). Each site's rows run in order in one group."""
     def run(site: pd.DataFrame) -> pd.DataFrame:
         site = site.sort_values(order, kind="stable")
-        clean, state, quiet, states, bases = [], "clear", 0, [], []
-        for v in site[value].to_numpy(float):
-            base = float(np.median(clean[-history:])) if len(clean) >= 3 else float("nan")
-            level = v / base if base and base == base else 1.0
-            if level >= alarm:
-                state, quiet = "alarm", 0
-            elif level >= watch:
-                state, quiet = ("alarm" if state == "alarm" else "watch"), 0
-            else:
-                quiet += 1
-                clean.append(v)
-                if quiet >= calm:
-                    state = "clear" if state != "alarm" else "watch"
-                    quiet = 0 if state == "watch" else quiet
-            states.append(state), bases.append(base)
-        return site.assign(state=states, baseline=pd.Series(bases, index=site.index, dtype=float))
+        rule = AlertRule(history, watch, alarm, calm)
+        steps = [rule.step(v) for v in site[value].to_numpy(float)]
+        return site.assign(state=[s for s, _ in steps], baseline=pd.Series([b for _, b in steps], index=site.index, dtype=float))
 
     schema = df.withColumn("state", F.lit("")).withColumn("baseline", F.lit(None).cast("double")).schema
     return df.groupBy(*keys).applyInPandas(run, schema)
