@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import bundles, decision, evaluation, forecasting, ingest, issues, learning, panel, readiness, scoring, series, visibility, walks  # noqa: F401  they register themselves
+from .plans import bundles, decision, evaluation, forecasting, ingest, issues, learning, outcomes, panel, readiness, scoring, series, visibility, walks  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "q_signal_panel"

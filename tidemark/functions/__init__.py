@@ -27,7 +27,8 @@ def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def sigmoid(c: Column) -> Column:
-    return 1 / (1 + F.exp(-c))
+    """The logistic function, its argument held within 30 of zero."""
+    return 1 / (1 + F.exp(-clamp(c, -30.0, 30.0)))
 
 
 def week_start(c: Column) -> Column:
@@ -74,8 +75,9 @@ def code(text: Column, digits: int) -> Column:
     return F.when(bare != "", F.right(F.lpad(bare, 32, "0"), F.lit(digits)))
 
 
-def slug(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+def slug(text: Column, mark: str = "_") -> Column:
+    """Lower-case letters and digits, everything between them one mark."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^a-z0-9]+", mark), f"^{mark}+|{mark}+$", "")
 
 
 def amount_from_text(text: Column) -> Column:

@@ -138,3 +138,62 @@ def persistence_quantiles(df: DataFrame, keys: list[str], order: str, value: str
     step = F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(order))
     m = df.withColumn("__s", step).groupBy(*keys).agg(F.max_by(value, order).alias("__v"), F.percentile("__s", F.array(*[F.lit(p) for p in levels])).alias("__q"))
     return m.select(*keys, F.transform("__q", lambda q: F.greatest(F.col("__v") + q, F.lit(0.0))).alias("quantiles"))
+
+
+#: Budget rules that a model's allocation is held against; fixed names of the reports.
+STRATEGIES = ("model", "static", "population", "current", "growth", "persistence")
+
+
+def strategy_metrics(df: DataFrame, issue: list[str], region: str, known: str, expected: str, actual: str, population: str, probability: str, top: int = 3) -> DataFrame:
+    """Per issue and strategy, the oracle's included: `capture`, the share of all rises that its weights meet, `regret`, what the
+    oracle captures more, and `hits`, the share of rising regions among its first `top`.
+
+    A rise is the actual value's over the known one, if any. Weights are scores over their sum, or all alike where that is
+    zero: model (probability times expected rise), static, population, current and persistence (both the known value) and
+    growth (the expected rise). Issues with less than two regions or without any rise are left out; nulls count as zero,
+    a null population as one.
+    """
+    none = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    rise, growth = F.greatest(none(actual) - none(known), F.lit(0.0)), F.greatest(none(expected) - none(known), F.lit(0.0))
+    scores = {"model": none(probability) * (growth + 1e-6), "static": F.lit(1.0), "population": F.coalesce(F.col(population).cast("double"), F.lit(1.0)), "current": none(known), "growth": growth, "persistence": none(known), "oracle": rise}
+    own = Window.partitionBy(*issue)
+    rows = df.withColumn("__rise", rise).withColumns({"__total": F.sum("__rise").over(own), "__n": F.count("*").over(own)}).where("__total > 0 AND __n > 1")
+    each = rows.select(*issue, region, "__rise", "__total", "__n", F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.greatest(c, F.lit(0.0)).alias("score"), c.alias("order")) for s, c in scores.items()])).alias("x")).select("*", "x.*")
+    w = Window.partitionBy(*issue, "strategy")
+    held = each.withColumns({"__sum": F.sum("score").over(w), "__rank": F.row_number().over(w.orderBy(F.desc("order"), region))})
+    weight = F.when(F.col("__sum") > 0, F.col("score") / F.col("__sum")).otherwise(1 / F.col("__n"))
+    out = held.groupBy(*issue, "strategy").agg((F.sum(weight * F.col("__rise")) / F.first("__total")).alias("capture"), F.avg(F.when(F.col("__rank") <= top, (F.col("__rise") > 0).cast("double"))).alias("__hits"))
+    best = F.max(F.when(F.col("strategy") == "oracle", F.col("capture"))).over(own)
+    out = out.withColumn("regret", F.greatest(best - F.col("capture"), F.lit(0.0)))
+    return out.select(*issue, "strategy", "capture", "regret", F.when(F.col("strategy") == "oracle", 1.0).otherwise(F.col("__hits")).alias("hits"))
+
+
+def strategy_report(metrics: DataFrame, issue: list[str]) -> DataFrame:
+    """Strategies over all issues: means, `reduction` (a strategy's regret less the model's) and `rank` by regret among all but
+    the oracle, the model first of equals."""
+    means = metrics.groupBy("strategy").agg(F.count("*").alias("issues"), *[F.round(F.avg(c), 6).alias(c) for c in ("capture", "regret", "hits")])
+    all_ = Window.partitionBy(F.lit(0))  # a row per strategy
+    model = F.max(F.when(F.col("strategy") == "model", F.col("regret"))).over(all_)
+    rank = F.row_number().over(all_.orderBy(F.col("strategy") == "oracle", "regret", F.col("strategy") != "model", "strategy"))
+    return means.withColumn("reduction", F.round(F.col("regret") - model, 6)).withColumn("rank", F.when(F.col("strategy") != "oracle", rank))
+
+
+def signal_stage(decision: Column, probability: Column, confidence: Column, freshness: Column, revision_risk: Column, trend: Column, support: Column, signals: Column, direction: Column, limits: dict[str, float], least_signals: int = 2, early: float = 0.06) -> Column:
+    """activate, prepare, prepare_early or watch, by eight inputs and the direction of what agrees.
+
+    limits: activate_ and prepare_ score, probability, confidence, freshness, revision_risk (at most), trend and agreement.
+    With less than `least_signals` signals agreement is not asked for; an early preparation, whose score may be lower by
+    `early` and which asks for no probability, then needs them to point up. A null input fails its rule.
+    """
+    few = signals < least_signals
+
+    def passes(level: str, score: float, with_probability: bool, agreed: Column) -> Column:
+        rule = (decision >= score) & (confidence >= limits[f"{level}_confidence"]) & (freshness >= limits[f"{level}_freshness"]) & (revision_risk <= limits[f"{level}_revision_risk"]) & (trend >= limits[f"{level}_trend"]) & agreed
+        return F.coalesce(rule & (probability >= limits[f"{level}_probability"]) if with_probability else rule, F.lit(False))
+
+    agreed = {level: few | (support >= limits[f"{level}_agreement"]) for level in ("activate", "prepare")}
+    lower = (few & (F.lower(direction) == "up")) | (~few & agreed["prepare"])
+    return (
+        F.when(passes("activate", limits["activate_score"], True, agreed["activate"]), "activate").when(passes("prepare", limits["prepare_score"], True, agreed["prepare"]), "prepare")
+        .when(passes("prepare", max(0.0, limits["prepare_score"] - early), False, lower), "prepare_early").otherwise("watch")
+    )

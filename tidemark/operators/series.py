@@ -237,3 +237,14 @@ def seasonal_naive(df: DataFrame, keys: list[str], day: str, value: str, at: Col
     past = df.where(F.col(day) < at)
     out = past.groupBy(*keys).agg(half(F.weekofyear(day) == F.weekofyear(at)).alias("__w"), half(F.month(day) == F.month(at)).alias("__m"), F.percentile(value, F.lit(0.5)).alias("__a"))
     return out.select(*keys, F.coalesce("__w", "__m", "__a").alias("expected"))
+
+
+def extended_to(df: DataFrame, keys: list[str], day: str, until: Column, carried: list[str], most: int = 14) -> DataFrame:
+    """Series carried on to a day: after each key's last row, a row for each day up to `until` with the last row's values of
+    `carried` (others null) and `filled` true. A key whose gap is over `most` days, or that is there already, stays as it is.
+    Lags and rolling features are to be made afterwards, over the rows that this gives."""
+    last = df.groupBy(*keys).agg(F.max(day).alias("__last"), F.max_by(F.struct(*carried), day).alias("__row"))
+    gap = F.datediff(until, "__last")
+    more = last.where((gap > 0) & (gap <= most)).select(*keys, F.explode(F.sequence(F.date_add("__last", 1), until.cast("date"))).alias(day), "__row.*")
+    more = more.withColumn(day, F.col(day).cast(df.schema[day].dataType)).withColumn("filled", F.lit(True))
+    return df.withColumn("filled", F.lit(False)).unionByName(more, allowMissingColumns=True)

@@ -58,7 +58,7 @@ def amounts(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", amount_from_text(text).alias("amount"))
 
 
-@query("q_codes_and_slugs", "SELECT n_nationkey, right('00000' || n_nationkey, 5) AS code, trim(regexp_replace(lower(trim(n_name)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM nation")
+@query("q_codes_and_slugs", "SELECT n_nationkey, right('00000' || n_nationkey, 5) AS code, trim(regexp_replace(lower(trim(n_name)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM nation")
 def codes(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", code(F.concat("n_nationkey", F.lit(".0")), 5).alias("code"), slug(F.col("n_name")).alias("slug"))
 
