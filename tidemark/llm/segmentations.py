@@ -30,6 +30,9 @@ from .tokens import blocks, buffers, span_hashes
 MODEL, SAMPLES, EXPONENT, SHIFT, HELD = "/opt/tokenizers/piece_bpe_32k.model", 2, 1.0, 50.0, 50_000
 #: Bytes of text that are walked together, one text at least.
 MARK, SLOTS, FEW, PART = "▁", 20, 24, 1 << 18
+#: Noise of a child, -log(-log u), for u from 2^-54 to HIGHEST; how many steps of a text are looked at to bound the rest.
+HIGHEST, HEAD = 1 - 2.0**-53, 64
+LEAST, MOST = -math.log(54 * math.log(2)), -math.log(-math.log(HIGHEST))
 _BASE, _TURN = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _PARTS = [np.uint64(k) for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -366,26 +369,53 @@ def sample(lattices: Lattices, kinds: np.ndarray, counts: np.ndarray, seeds: np.
             # the last edge whose lower end is at most u
             under = _at(lattices.low, _ranges(a, size)) <= np.repeat(u, size)
             taken = a + np.maximum(np.add.reduceat(under, np.cumsum(size) - size, dtype=np.int64), 1) - 1
-            walked.append((at, np.full(len(at), step), taken, a, size))
+            walked.append((at, taken, where))
             where = _at(lattices.next, taken)
             on = where >= 0
             at, where, step = np.compress(on, at), np.compress(on, where), step + 1
-        item, order, edge, a, size = (np.concatenate(x) for x in zip(*walked, strict=True)) if walked else (np.zeros(0, np.int64),) * 5
-        sort = np.argsort(item * (step + 1) + order)
-        item, order, edge, a, size = (_at(x, sort) for x in (item, order, edge, a, size))
+        # steps of a word stand together in the order they were taken
+        taken = np.bincount(np.concatenate([w[0] for w in walked]), minlength=len(docs)) if walked else np.zeros(len(docs), np.int64)
+        begin = np.cumsum(taken) - taken
+        item, order = np.repeat(np.arange(len(docs)), taken), _ranges(np.zeros(len(docs), np.int64), taken)
+        edge, held = np.empty(len(item), np.int64), np.empty(len(item), np.int64)
+        for n, (at, taken, where) in enumerate(walked):
+            place = _at(begin, at) + n
+            edge[place], held[place] = taken, where
         doc, gain = _at(docs, item), _at(lattices.gain, edge)
         ends = np.searchsorted(doc, np.arange(len(live) + 1))
         run = np.append(0.0, np.cumsum(gain))
         before = run[:-1] + _at(np.array([n[4] for n in nodes]) - run[ends[:-1]], doc)
-        # the children not taken: their values fall below the node's
-        flat, owner = _ranges(a, size), np.repeat(np.arange(len(edge)), size)
-        other = flat != np.repeat(edge, size)
-        flat, owner = np.compress(other, flat), np.compress(other, owner)
+        # the children not taken: their values fall below the node's, and the more noise they draw the higher. Noise is
+        # within LEAST and MOST, so a child so far below others that it can't be among the wanted is not drawn
+        base = before + _at(log_z[ids], doc)
+        wide = np.ones(len(edge), bool)
+        head = np.flatnonzero(_at(ends, doc) + HEAD > np.arange(len(edge))) if len(edge) > HEAD * len(live) // 2 else np.zeros(0, np.int64)
+        if len(head):
+            a, size = _at(lattices.first, _at(held, head)), _at(lattices.first, _at(held, head) + 1)
+            size = size - a
+            flat, owner = _ranges(a, size), np.repeat(head, size)
+            other = flat != _at(edge, owner)
+            phi = np.where(other, _at(base, owner) + _at(lattices.gain, flat), -np.inf)
+            of, bar = _at(doc, owner), np.full(len(live), -np.inf)
+            by = np.lexsort((-phi, of))
+            first = np.searchsorted(of[by], np.arange(len(live)))
+            for x, d in enumerate(live):
+                n = first[x] + k - len(done[d]) - 1
+                if n < len(by) and of[by[n]] == x:
+                    bar[x] = phi[by[n]]
+            wide = base >= _at(bar, doc) - (MOST - LEAST) - 1e-6
+        near = np.flatnonzero(wide)
+        a = _at(lattices.first, _at(held, near))
+        size = _at(lattices.first, _at(held, near) + 1) - a
+        flat, owner = _ranges(a, size), np.repeat(near, size)
+        sibling = flat - np.repeat(a, size)
+        other = flat != _at(edge, owner)
+        flat, owner, sibling = np.compress(other, flat), np.compress(other, owner), np.compress(other, sibling)
         of = _at(doc, owner)
-        phi = _at(before + _at(log_z[ids], doc), owner) + _at(lattices.gain, flat)
+        phi = _at(base, owner) + _at(lattices.gain, flat)
         h = _at(_at(drawn, item) + order.astype(np.uint64) * _PARTS[2] + np.uint64(int(_PARTS[3]) * 7 % (1 << 64)), owner)
-        h += (flat - _at(a, owner)).astype(np.uint64) * _PARTS[3]
-        child = phi - np.logaddexp(phi - _at(np.array([n[0] for n in nodes]), of), np.log(-np.log(uniform(h))))
+        h += sibling.astype(np.uint64) * _PARTS[3]
+        child = phi - np.logaddexp(phi - _at(np.array([n[0] for n in nodes]), of), np.log(-np.log(np.minimum(uniform(h), HIGHEST))))
         owns = np.searchsorted(of, np.arange(len(live) + 1))
         for x, (d, node) in enumerate(zip(live, nodes, strict=True)):
             a, b = ends[x], ends[x + 1]
