@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -72,20 +72,17 @@ def folds_by_hash(key: Column, parts: int) -> Column:
 
 
 def trend_forecast(df: DataFrame, keys: list[str], order: str, value: str, horizon: int) -> DataFrame:
-    """Last value plus the mean of the last four steps, with bands widening by the square root of the step.
-    A series is a group: its rows are one per date."""
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        v = group[value].to_numpy(float)
-        steps = np.diff(v[-5:]) if len(v) > 1 else np.zeros(1)
-        scale = max(float(np.std(np.diff(v))) if len(v) > 2 else 1.0, 1.0)
-        h = np.arange(1, horizon + 1)
-        mid = np.maximum(v[-1] + steps.mean() * h, 0)
-        out = {k: [group[k].iloc[0]] * horizon for k in keys}
-        return pd.DataFrame({**out, "step": h, "forecast": mid, "low": np.maximum(mid - 1.2816 * scale * np.sqrt(h), 0), "high": mid + 1.2816 * scale * np.sqrt(h)})
-
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.groupBy(*keys).applyInPandas(run, f"{kinds}, step int, forecast double, low double, high double")
+    """Last value plus the mean of the last four steps, with bands widening by the square root of the step."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    v = F.col(value).cast("double")
+    x = df.select(*keys, order, v.alias("__v"), (v - F.lag(v).over(w)).alias("__step"), F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order))).alias("__k"))
+    last = x.groupBy(*keys).agg(
+        F.max(F.when(F.col("__k") == 1, F.col("__v"))).alias("__last"), F.coalesce(F.avg(F.when(F.col("__k") <= 4, F.col("__step"))), F.lit(0.0)).alias("__mean"),
+        F.when(F.count("*") > 2, F.greatest(F.stddev_pop("__step"), F.lit(1.0))).otherwise(1.0).alias("__width"),
+    )
+    each = last.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    mid, half = F.greatest(F.col("__last") + F.col("__mean") * F.col("step"), F.lit(0.0)), 1.2816 * F.col("__width") * F.sqrt("step")
+    return each.select(*keys, "step", mid.alias("forecast"), F.greatest(mid - half, F.lit(0.0)).alias("low"), (mid + half).alias("high"))
 
 
 def clusters(df: DataFrame, node: str, features: list[str], k: int, most: int = 2000) -> DataFrame:

@@ -57,6 +57,25 @@ def asof_lags(df: DataFrame, keys: list[str], cutoff: Column, day: str, value: s
     return df.where(F.col(day) <= cutoff).groupBy(*keys).agg(*held)
 
 
+def asof_scaled(df: DataFrame, keys: list[str], cutoff: Column, day: str, value: str, lags: list[int], days: int = 365) -> DataFrame:
+    """Of each key the value as of the cutoff (`lag_0`) and as of so many days before, each over the greatest value of the
+    `days` up to the cutoff; zero where that is not above zero, or where nothing was known by then."""
+    late = F.col(day) > F.date_sub(cutoff, days)
+    held = asof_lags(df, keys, cutoff, day, value, [0, *lags])
+    top = df.where((F.col(day) <= cutoff) & late).groupBy(*keys).agg(F.max(value).alias("__top"))
+    share = lambda c: F.coalesce(F.when(F.col("__top") > 0, F.col(c) / F.col("__top")), F.lit(0.0))
+    return held.join(top, keys, "left").select(*keys, *[share(f"lag_{n}").alias(f"lag_{n}") for n in (0, *lags)])
+
+
+def future_window(df: DataFrame, keys: list[str], cutoff: Column, day: str, value: str, first: int, last: int, rise: float) -> DataFrame:
+    """Of each key what the days from `first` to `last` after the cutoff brought: `now` (as of the cutoff), `peak`, `n` days, and
+    `label`, whether the peak is `rise` times now at least; null without a value now or then. For evaluation only."""
+    ahead = F.datediff(day, cutoff)
+    inside = (ahead >= first) & (ahead <= last)
+    m = df.groupBy(*keys).agg(F.max_by(F.when(ahead <= 0, F.col(value)), F.when(ahead <= 0, F.col(day))).alias("now"), F.max(F.when(inside, F.col(value))).alias("peak"), F.count(F.when(inside, F.lit(1))).alias("n"))
+    return m.withColumn("label", (F.col("peak") >= rise * F.col("now")).cast("int"))
+
+
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, order: list[str] = (), days: int = 7) -> DataFrame:
     """Each left row with the right value last seen at or before its time.
 

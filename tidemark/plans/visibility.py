@@ -130,3 +130,25 @@ def vintage(spark, sf_dir):
     f = weekly(spark, sf_dir).select("flag", F.col("week").alias("run"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("h"), "v")
     f = f.select("flag", "run", F.date_add("run", F.col("h") * 7).alias("target"), (F.col("v") * (1 + 0.01 * F.col("h"))).alias("v"), F.date_add("run", 2).alias("known"))
     return op.latest_run(f, F.lit("1998-03-04").cast("date"), "run", "known", "target").select("flag", F.col("target").cast("string").alias("target"), r(F.col("v"), 4).alias("v"))
+
+
+@query(
+    "q_asof_scaled",
+    f"""WITH {DAILY}, t AS (SELECT region, source, max(v) FILTER (day > DATE '{CUTOFF}' - 365) AS top, max_by(v, day) AS a, max_by(v, day) FILTER (day <= DATE '{CUTOFF}' - 7) AS b, max_by(v, day) FILTER (day <= DATE '{CUTOFF}' - 14) AS c FROM daily WHERE day <= DATE '{CUTOFF}' GROUP BY ALL)
+        SELECT region, source, round(coalesce(a / top, 0), 6) AS lag_0, round(coalesce(b / top, 0), 6) AS lag_7, round(coalesce(c / top, 0), 6) AS lag_14 FROM t""",
+)
+def asof_scaled(spark, sf_dir):
+    """Levels as of the cutoff and of one and two weeks before, over the year's greatest."""
+    out = op.asof_scaled(daily(spark, sf_dir), ["region", "source"], F.lit(CUTOFF).cast("date"), "day", "v", [7, 14])
+    return out.select("region", "source", *(r(F.col(c)).alias(c) for c in ("lag_0", "lag_7", "lag_14")))
+
+
+@query(
+    "q_future_window",
+    f"""WITH {DAILY}, t AS (SELECT region, source, max_by(v, day) FILTER (day <= DATE '{CUTOFF}') AS now, max(v) FILTER (day BETWEEN DATE '{CUTOFF}' + 3 AND DATE '{CUTOFF}' + 7) AS peak, count(*) FILTER (day BETWEEN DATE '{CUTOFF}' + 3 AND DATE '{CUTOFF}' + 7) AS n FROM daily GROUP BY ALL)
+        SELECT region, source, round(now, 6) AS now, round(peak, 6) AS peak, n, CAST(peak >= 1.2 * now AS INTEGER) AS label FROM t""",
+)
+def future_window(spark, sf_dir):
+    """What the third to seventh day after the cutoff brought, and whether that is a rise."""
+    out = op.future_window(daily(spark, sf_dir), ["region", "source"], F.lit(CUTOFF).cast("date"), "day", "v", 3, 7, 1.2)
+    return out.select("region", "source", r(F.col("now")).alias("now"), r(F.col("peak")).alias("peak"), "n", "label")
