@@ -65,13 +65,13 @@ def codes(spark, sf_dir):
 
 @query(
     "q_upsert",
-    """WITH o AS (SELECT c_custkey AS k, c_acctbal AS v, 20 AS seen FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal * 2 END AS v, 10 + CAST(c_custkey % 20 AS INTEGER) AS seen FROM customer WHERE c_custkey % 2 = 0)
+    """WITH o AS (SELECT c_custkey AS k, c_acctbal AS v, 20 AS seen FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal * 2 END AS v, 10 + CAST(c_custkey % 20 AS INTEGER) AS seen FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0)
        SELECT coalesce(o.k, n.k) AS k, round(coalesce(n.v, o.v), 4) AS v, least(o.seen, n.seen) AS seen FROM o FULL JOIN n ON o.k = n.k""",
 )
 def upsert(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     old = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.lit(20).alias("seen"))
-    new = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal") * 2).alias("v"), (10 + F.col("c_custkey") % 20).cast("int").alias("seen"))
+    new = c.where("c_custkey % 2 = 0 OR c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal") * 2).alias("v"), (10 + F.col("c_custkey") % 20).cast("int").alias("seen"))
     return sources.upsert(old, new, ["k"], earliest=["seen"]).select("k", r(F.col("v"), 4).alias("v"), "seen")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import r, week_start
 from ..operators import issues as op
 from ..registry import query
@@ -18,12 +19,19 @@ def sales(spark, sf_dir) -> DataFrame:
 
 def revisions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Daily value per region, published early from three orders of four and revised ten days after; weekly counts,
-    from two orders of three after a week and from all after three."""
-    s = sales(spark, sf_dir).withColumn("week", week_start(F.col("day")))
-    daily = lambda x, lag: x.groupBy("region", "day").agg(F.sum("price").alias("v"), F.count("*").alias("n")).withColumn("published", F.date_add("day", lag))
-    weekly = lambda x, lag: x.groupBy("region", "week").agg(F.count("*").cast("double").alias("v")).withColumn("published", F.date_add("week", lag))
-    signal = daily(s.where("o_orderkey % 4 <> 0"), (F.col("region") % 3 + 1).cast("int")).unionByName(daily(s, F.lit(10)))
-    return signal, weekly(s.where("o_orderkey % 3 <> 0"), F.lit(7)).unionByName(weekly(s, F.lit(21)))
+    from two orders of three after a week and from all after three. Orders are read once for each and summed; what reads revisions again
+    and again reads the sums."""
+    s = sales(spark, sf_dir)
+
+    def told(df: DataFrame, by: str, early, lag, late: int, size: bool) -> DataFrame:
+        sums = lambda c: [F.sum(F.when(c, F.col("price"))), F.sum(c.cast("long"))]
+        both = df.groupBy("region", by).agg(*[x.alias(f"{n}{k}") for k, c in enumerate((early, F.lit(True))) for n, x in zip("vn", sums(c), strict=True)])
+        each = F.array(*[F.struct((F.col(f"v{k}") if size else F.col(f"n{k}").cast("double")).alias("v"), F.col(f"n{k}").alias("n"), F.date_add(by, d).alias("published")) for k, d in ((0, lag), (1, F.lit(late)))])
+        return scratch.cut(both.select("region", by, F.explode(each).alias("x")).select("region", by, "x.*").where("n > 0"))
+
+    signal = told(s, "day", F.col("o_orderkey") % 4 != 0, (F.col("region") % 3 + 1).cast("int"), 10, True)
+    weeks = s.withColumn("week", week_start(F.col("day")))
+    return signal, told(weeks, "week", F.col("o_orderkey") % 3 != 0, F.lit(7), 21, False).drop("n")
 
 
 def ring(spark, sf_dir) -> DataFrame:
