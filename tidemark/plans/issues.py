@@ -83,7 +83,8 @@ def issue_panel(spark, sf_dir):
     """Every issue week and region: features from the revisions known at its cutoff, and the value of the week to forecast."""
     signal, truth = revisions(spark, sf_dir)
     out = op.issue_panel(signal, truth, ring(spark, sf_dir), "region", 7, least=4)
-    whole = [F.col(c).cast("double").alias(c) if c == "sources" else F.col(c) for c in AS_IS]
+    kinds = {"sources": "double", "age_days": "long", "n_weeks": "long", "truth_age_days": "long"}
+    whole = [F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in AS_IS]
     return out.select(*(F.col(c).cast("string").alias(c) for c in ("issue", "cutoff", "target")), *whole, "coverage_break", *(r(F.col(c), k).alias(c) for c, k in SHOWN.items()))
 
 
