@@ -86,9 +86,7 @@ class Vocabulary:
         self.guess[_slot(whole[by])] = np.arange(len(by))
         self.hashes, self.ids = whole[by], np.array(list(self.pieces.values()), np.int32)[by]
         self.weights = np.array([self.log_p[int(i)] for i in self.ids])
-        self.blob = np.frombuffer(b"".join(self.raw), np.uint8)
-        self.sizes = np.array([len(r) for r in self.raw], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.texts = pa.array(self.raw, pa.large_binary())
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation; the inverse of encoding, but for the blank that encoding puts first."""
@@ -100,10 +98,12 @@ def joined(v: Vocabulary, lists: pa.ListArray) -> pa.Array:
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
     bounds = lists.offsets.to_numpy().astype(np.int64)
-    ids = lists.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]]
-    size = _at(v.sizes, ids)
-    data = _at(v.blob, _ranges(_at(v.starts, ids), size))
-    ends = np.append(0, np.cumsum(size))[bounds - bounds[0]]
+    # pieces one after another, as taken, are the texts one after another
+    taken = v.texts.take(lists.values.slice(bounds[0], bounds[-1] - bounds[0]))
+    _, where, held = taken.buffers()
+    stops = np.frombuffer(where, np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+    data = np.frombuffer(held, np.uint8)[: stops[-1]] if stops[-1] else np.zeros(0, np.uint8)
+    ends = stops[bounds - bounds[0]]
     # the blank that encoding puts first goes
     full = np.flatnonzero(ends[1:] > ends[:-1])
     first = ends[full][data[ends[full]] == 32]
@@ -173,17 +173,21 @@ class Lattices:
 
     def kinds(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The numbers of the words' kinds; lattices of new kinds are built."""
-        found, one, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        coded = pa.array(span_hashes(data, starts, ends)).dictionary_encode()
+        found, back = coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
         at = np.minimum(np.searchsorted(self.known, found), max(len(self.known) - 1, 0))
         old = self.known[at] == found if len(self.known) else np.zeros(len(found), bool)
         numbers = np.empty(len(found), np.int64)
         numbers[old] = self.numbers[at[old]]
         if not old.all():
-            new = one[~old]
-            numbers[~old] = np.arange(len(new)) + self._roots.n
-            self._build(data, starts[new], ends[new])
-            place = np.searchsorted(self.known, found[~old])
-            self.known, self.numbers = np.insert(self.known, place, found[~old]), np.insert(self.numbers, place, numbers[~old])
+            one = np.empty(len(found), np.int64)
+            one[back[::-1]] = np.arange(len(back))[::-1]  # where each kind is first
+            new = np.flatnonzero(~old)
+            new = new[np.argsort(found[new])]
+            numbers[new] = np.arange(len(new)) + self._roots.n
+            self._build(data, starts[one[new]], ends[one[new]])
+            place = np.searchsorted(self.known, found[new])
+            self.known, self.numbers = np.insert(self.known, place, found[new]), np.insert(self.numbers, place, numbers[new])
             self._view()
         return numbers[back]
 
