@@ -57,7 +57,7 @@ def test_blocks_reach_the_dense_solution(spark):
     x, delays, shift, rows = data(nodes, days, 1)
     edges = ring(nodes)
     obs = spark.createDataFrame([*rows, (None, 1, "a", 1.0, 1.0), (0, 2, "other", 9.0, 1.0), (0, 500, "a", 9.0, 1.0), (1, 3, "a", None, 1.0)], "node int, day int, source string, z double, v double")
-    out, offsets = joint.joint_fit(obs, spark.createDataFrame(edges, "src int, dst int, weight double"), "node", "day", "source", "z", "v", delays, 0, days, curvature=40.0, coupling=1.0, sweeps=10, tolerance=1e-4)
+    out, offsets = joint.joint_fit(obs, spark.createDataFrame(edges, "src int, dst int, weight double"), "node", "day", "source", "z", "v", delays, 0, days, curvature=40.0, coupling=1.0, sweeps=24, tolerance=1e-5)
     got = np.zeros((nodes, days))
     for r in out.collect():
         got[r.node, r.day] = r.x
