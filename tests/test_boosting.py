@@ -59,7 +59,7 @@ def test_quantile_trees_against_plain_loops(spark):
 def test_boosting_beats_lines_on_a_curve(spark):
     (x, y), (tx, ty) = curved(1500, 2), curved(800, 3)
     train, test, levels = frame(spark, x, y), frame(spark, tx, ty), (0.1, 0.5, 0.9)
-    forest = boosting.quantile_boosting(train, ["a", "b", "c"], "y", levels, trees=15, depth=3, rate=0.3)
+    forest = boosting.quantile_boosting(train, ["a", "b", "c"], "y", levels, trees=8, depth=3, rate=0.5)
     got = np.array([r.quantiles for r in boosting.boosted_quantiles(test, forest, levels).orderBy("i").collect()])
     lines = {p: np.c_[np.ones(len(tx)), tx] @ b for _, p, b in forecasting.quantile_fits(train.withColumn("fold", F.lit(0)), "fold", ["a", "b", "c"], "y", levels)}
     for k, p in enumerate(levels):

@@ -45,7 +45,9 @@ def known_at(intervals: DataFrame, issues: DataFrame, day: str, lookback: int, b
     first = F.greatest(F.col("known_from"), F.to_date(day))
     last = F.least(F.date_sub("known_to", 1), F.date_add(F.to_date(day), lookback))
     laid = intervals.withColumns({"__first": first, "__last": last}).where("__first <= __last").withColumn("__slot", F.explode(F.sequence(_slot(F.col("__first")), _slot(F.col("__last")))))
-    return laid.join(issues.withColumn("__slot", _slot(F.col("cutoff"))), ["__slot", *by]).where(F.col("cutoff").between(F.col("__first"), F.col("__last"))).drop("__slot", "__first", "__last", "known_from", "known_to")
+    cutoffs = issues.withColumn("__slot", _slot(F.col("cutoff")))
+    # one calendar for all is a row per issue; calendars by key are a table like others
+    return laid.join(cutoffs if by else F.broadcast(cutoffs), ["__slot", *by]).where(F.col("cutoff").between(F.col("__first"), F.col("__last"))).drop("__slot", "__first", "__last", "known_from", "known_to")
 
 
 def signal_features(seen: DataFrame, keys: list[str], day: str, value: str, size: str, least: int = 8) -> DataFrame:
@@ -104,7 +106,7 @@ def seasonal_at(intervals: DataFrame, issues: DataFrame, keys: list[str], week:
     ring = lambda d: F.least(F.weekofyear(d), F.lit(52))
     serves = F.array(*[F.pmod(ring(F.col(week)) - 1 + d, F.lit(52)) + 1 for d in (-1, 0, 1)])
     laid = intervals.withColumn("__ring", F.explode(serves))
-    met = laid.join(issues.withColumn("__ring", ring(F.col("target"))), "__ring")
+    met = laid.join(F.broadcast(issues.withColumn("__ring", ring(F.col("target")))), "__ring")  # a row per issue
     known = (F.col("known_from") <= F.col("cutoff")) & (F.col("known_to").isNull() | (F.col("known_to") > F.col("cutoff")))
     fits = known & (F.to_date(week) <= F.col("cutoff")) & (F.col(week) < F.col("target")) & (F.col(week) >= F.add_months("target", -12 * years))
     return met.where(fits).groupBy(*keys, "cutoff").agg(F.collect_list(F.col(value).cast("double")).alias("seasonal"))

@@ -35,8 +35,8 @@ def interval_distances(spark, sf_dir):
 
 @query("q_lift_intervals")
 def lift_intervals(spark, sf_dir):
-    """Per year the lift of hits over persistence in the weeks that can be judged, with its interval from blocks of weeks."""
-    weeks = readiness.panel_weeks(panel(spark, sf_dir), ["week"], "nation", "score", "label", "known").where("evaluable").withColumn("y", F.year("week").cast("long"))
+    """Per year the lift of hits over persistence in the weeks with both, with its interval from blocks of weeks."""
+    weeks = readiness.panel_weeks(panel(spark, sf_dir), ["week"], "nation", "score", "label", "known").withColumn("y", F.year("week").cast("long"))
     out = intervals.lift_intervals(weeks.select("y", "week", F.col("hit").cast("double").alias("hit"), F.col("persistence_hit").cast("double").alias("base")), ["y"], "week", "hit", "base")
     return out.select("y", "blocks", *(r(F.col(c)).alias(c) for c in ("lift", "low", "high")))
 
