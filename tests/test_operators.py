@@ -1,6 +1,7 @@
 """Edge cases of the operators on small literal tables."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark import sources
 from tidemark.functions import number_from_text, relative_delta, week_from_label
-from tidemark.operators import learning, metrics, regional, series, visibility
+from tidemark.operators import learning, metrics, regional, scores, series, visibility
 
 
 def d(text):
@@ -123,3 +124,14 @@ def test_partition_overwrite(spark, tmp_path):
     sources.replace_partitions(df, str(tmp_path / "t"), ["k"])
     sources.replace_partitions(df.where("k = 'a'").withColumn("v", F.lit(9)), str(tmp_path / "t"), ["k"])
     assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {("a", 9), ("b", 2)}
+
+
+def test_densities_of_large_counts(spark):
+    # eight long factors of 600 and more pass 64 bits
+    df = spark.createDataFrame([(1, 7.0), (300, 7.0), (600, 580.0), (36000, 35000.0), (5_000_000, 4_900_000.0)], "k long, m double")
+    got = df.select("k", "m", scores.negative_binomial_log_p(F.col("k"), F.col("m"), F.lit(5.0)).alias("p"), scores.log_gamma(F.col("k")).alias("g")).collect()
+    for r in got:
+        want = math.lgamma(r.k + 5) - math.lgamma(5) - math.lgamma(r.k + 1) + 5 * math.log(5 / (5 + r.m)) + r.k * math.log(r.m / (5 + r.m))
+        assert (r.p, r.g) == (pytest.approx(want, abs=1e-6), pytest.approx(math.lgamma(r.k), rel=1e-12, abs=1e-9))
+    t = df.select(scores.student_log_p(F.col("k"), F.col("m"), F.col("m") * 0, 4.0).alias("t")).collect()
+    assert [r.t for r in t] == [None] * 5

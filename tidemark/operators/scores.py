@@ -85,7 +85,9 @@ def regret(df: DataFrame, issue: list[str], share: str, gain: str) -> DataFrame:
 
 
 def log_gamma(x: Column) -> Column:
-    """Logarithm of the gamma function for positive x: Stirling's series after eight steps up."""
+    """Logarithm of the gamma function for positive x: Stirling's series after eight steps up, in doubles, since
+    their product passes 64 bits from counts of a few hundred on."""
+    x = x.cast("double")
     z = x + 8
     product = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7)
     series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
@@ -98,7 +100,8 @@ def negative_binomial_log_p(k: Column, mean: Column, size: Column) -> Column:
 
 
 def student_log_p(x: Column, centre: Column, scale: Column, df: float) -> Column:
-    z = (x - centre) / scale
+    """Log density of Student's t with a centre and a scale; null where the scale is zero."""
+    z = ratio(x - centre, scale)
     nu = F.lit(float(df))
     return log_gamma((nu + 1) / 2) - log_gamma(nu / 2) - 0.5 * F.log(nu * math.pi) - F.log(scale) - (nu + 1) / 2 * F.log1p(z * z / nu)
 
