@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,3 +171,71 @@ def test_of_equal_rows_the_same_one_stays_for_any_partitioning(spark):
     df = docs(spark, [(3, "a b\tc"), (3, "a\tb c"), (3, "a\nb c"), (3, "x"), (None, "y z"), (None, "y\tz"), (5, "a bc")])
     seen = {tuple(sorted(map(repr, ((r.doc_id, r.text) for r in drop_duplicates(df.repartition(n)).collect())))) for n in (1, 3, 7)}
     assert len(seen) == 1 and len(next(iter(seen))) == 3
+
+
+def test_near_texts_that_differ_in_what_most_texts_hold(spark):
+    notice, own = words(36, 90), words(90, 91)
+    texts = [f"{own} {notice}", own, *(f"{words(60, 700 + i)} {notice}" for i in range(40)), *(words(60, 800 + i) for i in range(20))]
+    assert plain(texts[0], texts[1]) < 0.75
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(spark, texts)).collect()}
+    assert got == {i: 0 if i <= 1 else i for i in range(62)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_with_counts_against_all_pairs_under_both_weightings(spark, seed):
+    notices = [words(n, 900 + n) for n in (12, 25, 40)]
+    rng, texts = random.Random(seed), []
+    for i in range(24):
+        base = f"{words(70, seed * 100 + i)} " + " ".join([words(4, 950 + i % 5)] * (2 + i % 7))
+        texts += [" ".join([base, *(n for n in notices if rng.random() < 0.5)]) for _ in range(2)]
+    texts = list(dict.fromkeys(texts))
+    sets = [Counter(shingles_of(t)) for t in texts]
+
+    def classes(idf):
+        parent = list(range(len(texts)))
+
+        def top(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for w in idf:
+            for i in range(len(texts)):
+                for j in range(i):
+                    low, high = (sum(w(x) * f(sets[i][x], sets[j][x]) for x in sets[i] | sets[j]) for f in (min, max))
+                    if low >= (0.8 - 1e-9) * high:
+                        a, b = top(i), top(j)
+                        parent[max(a, b)] = min(a, b)
+        return [top(i) for i in range(len(texts))]
+
+    even = classes([lambda x: 1.0])
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(spark, texts)).collect()}
+    want = set()
+    # a class votes once, by one of its texts: whichever it is, the classes are the same here
+    for last in (False, True):
+        voters = {c: i for i, c in (enumerate(even) if last else reversed(list(enumerate(even))))}.values()
+        df = Counter(x for i in voters for x in sets[i])
+        want.add(tuple(classes([lambda x: 1.0, lambda x: 1 + math.log(len(voters) / max(df[x], 1))])))
+    assert len(want) == 1 and want != {tuple(even)}
+    assert [got[i] for i in range(len(texts))] == list(*want)
+
+
+def shingles_of(text):
+    w = text.lower().split()
+    return [tuple(w[i : i + WIDTH]) for i in range(max(1, len(w) - WIDTH + 1))]
+
+
+def test_common_shingles_are_counted_exactly(spark):
+    import numpy as np
+
+    from tidemark.llm.near_dedup import Sampler, common_shingles
+
+    # of 500 texts, one in 10, in 50 and in 125 hold a phrase; a share of 1 in 125 isn't common
+    phrases = {10: words(5, 30), 50: words(5, 31), 125: words(5, 32)}
+    texts = [" ".join([words(5, 1000 + i), *(p for n, p in phrases.items() if i % n == 0)]) for i in range(500)]
+    found, counts = common_shingles(docs(spark, texts), 500)
+    # where two phrases meet there are four more in ten texts
+    assert sorted(counts.tolist()) == [10] * 5 + [50]
+    sampler = Sampler(found, counts, 500)
+    w = sampler.weights(found[[counts.argmax()]], np.ones(1))
+    assert w[0] == pytest.approx((1 + math.log(10)) / (1 + math.log(100)))

@@ -1,11 +1,14 @@
 """Near duplicates: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 A shingle is five consecutive words of the lower-cased text. It weighs tf * idf with
-idf = 1 + ln(N / max(df, N / 2)): N and the document frequencies are exact over all texts with different
-words, and a shingle in at most half of them has the largest idf, so neither exact copies nor a group of
-near copies below that share wear down their own weights. Only the common shingles, fewer than twice a
-document's mean number of distinct shingles however large the input, are held with their counts
-(`common_shingles`: a first pass keeps what is frequent in some part, a second counts it).
+idf = 1 + ln(N / max(df, N / 100, 1)). Texts are linked in two turns. The first weighs by tf alone; its
+classes are what votes in the second: N counts classes and df those whose least text has the shingle, so
+neither exact copies nor near copies wear down their own weights. The second turn weighs by tf * idf and
+adds links between texts whose classes still differ, so a pair is linked if either weighting accepts it.
+Both counts are exact. Only the common shingles, fewer than a hundred times a text's mean number of distinct
+shingles however large the input, are held with their counts (`common_shingles`: a first pass keeps what is
+frequent in some part, a second counts it); a rarer one has the largest idf. A text without a common shingle
+weighs the same in both turns, up to a factor, and is signed once.
 
 Consistent weighted sampling draws (shingle, quantum) pairs; two texts draw the same pair with a
 probability equal to their weighted Jaccard similarity. The draws r, c ~ Gamma(2, 1), b ~ U(0, 1) come
@@ -33,33 +36,36 @@ from pyspark.sql import functions as F
 from .common import cut, whole_text
 from .tokens import buffers, mix, shingles, texts_of, words
 
-WIDTH, RARE, BANDS, ROWS, LEAST = 5, 2, 16, 4, 0.8
+WIDTH, RARE, BANDS, ROWS, LEAST = 5, 100, 16, 4, 0.8
 CHUNK, SQUARE, REFERENCES, SLICE, SALTS = 128, 256, 32, 2048, 32
 _DRAWS = 1 << 16
+_NONE = np.zeros(0, np.uint64)
 
 
 class Sampler:
-    """Weights and samples of shingle sets under the corpus's idf."""
+    """Weights and samples of shingle sets under the corpus's idf, over the largest idf; by tf alone without
+    common shingles."""
 
-    def __init__(self, common: np.ndarray, counts: np.ndarray, total: int, hashes: int = BANDS * ROWS):
-        order = np.argsort(common)
-        self.common, self.idf = common[order], 1 + np.log(total / np.maximum(counts[order], total / RARE))
-        self.most = 1 + float(np.log(RARE))
+    def __init__(self, common: np.ndarray = _NONE, counts: np.ndarray = _NONE, total: int = 1, hashes: int = BANDS * ROWS):
+        order, least = np.argsort(common), max(total / RARE, 1)
+        self.common, self.idf = common[order], (1 + np.log(total / np.maximum(counts[order], least))) / (1 + np.log(total / least))
         rng = np.random.default_rng(20240501)
         self.r = rng.gamma(2.0, 1.0, _DRAWS)
         self.log_c = np.log(rng.gamma(2.0, 1.0, _DRAWS))
         self.b = rng.random(_DRAWS)
         self.turn = mix(np.arange(1, hashes + 1, dtype=np.uint64)) | np.uint64(1)
-        self.usual_t, usual = self.draw(slice(None), np.log(self.most))
-        self.usual = usual.astype(np.float32)
+        self.usual = self.draw(slice(None), 0.0)[1].astype(np.float32)
 
     def draw(self, at, log_weight) -> tuple[np.ndarray, np.ndarray]:
         """The quantum and the race time (its logarithm) of draws at a weight."""
         t = np.floor(log_weight / self.r[at] + self.b[at])
         return t, self.log_c[at] - self.r[at] * (t - self.b[at] + 1)
 
+    def has_common(self, found: np.ndarray) -> bool:
+        return bool(np.isin(self.common, found).any())
+
     def weights(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = np.full(len(found), self.most)
+        w = np.ones(len(found))
         if len(self.common):
             at = np.minimum(np.searchsorted(self.common, found), len(self.common) - 1)
             hit = self.common[at] == found
@@ -75,7 +81,7 @@ class Sampler:
             part, log_w = found[i : i + 4096], np.log(weights[i : i + 4096])
             at = (self.turn[:, None] * part[None, :]) >> np.uint64(48)
             time = self.usual[at]
-            odd = np.flatnonzero(np.abs(log_w - np.log(self.most)) > 1e-12)
+            odd = np.flatnonzero(np.abs(log_w) > 1e-12)
             if len(odd):
                 time[:, odd] = self.draw(at[:, odd], log_w[None, odd])[1]
             win = time.argmin(1)
@@ -102,7 +108,7 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def common_shingles(docs: DataFrame, total: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in more than half of all documents (one part in `RARE`), and in how many.
+    """Shingles in more than one part in `RARE` of all documents, and in how many.
 
     Such a shingle is in half that share of the documents of some part at least, or the parts together
     could not reach it. So each part (by lossy counting, in bounded memory) sends what reaches half; of
@@ -184,21 +190,25 @@ def word_digests(docs: DataFrame, text: str) -> DataFrame:
     return docs.mapInArrow(digested, docs.withColumn("digest", F.lit(None).cast("binary")).schema)
 
 
-def signatures(docs: DataFrame, shared, text: str) -> DataFrame:
-    """__id, the samples (32 bits each) and the keys of the bands."""
+def signatures(docs: DataFrame, shared, text: str, again: bool = False) -> DataFrame:
+    """__id, the samples (32 bits each) and the keys of the bands. again: only of texts with a common shingle,
+    as the others have those of the turn without idf."""
 
     def signed(batches):
         for batch in batches:
-            samples, keys = [], []
+            samples, keys, at = [], [], []
             lane = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
-            for _, _, found, counts in _documents(batch, text):
+            for k, _, found, counts in _documents(batch, text):
+                if again and not shared.value.has_common(found):
+                    continue
+                at.append(k)
                 drawn = shared.value.sample(found, shared.value.weights(found, counts))
                 band = lane.copy()
                 for row in drawn.reshape(BANDS, ROWS).T:
                     band = mix(band ^ row) + row
                 samples.append(drawn.astype(np.uint32).tobytes())
                 keys.append(band.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(samples, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["__id", "samples", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("__id").take(pa.array(at, pa.int64())), pa.array(samples, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["__id", "samples", "bands"])
 
     return docs.mapInArrow(signed, "__id long, samples binary, bands array<bigint>")
 
@@ -392,33 +402,19 @@ def connected(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, row: str | None = None) -> DataFrame:
-    """One row per document: key, class_id (the least key of its class), class_size, kept.
+def _banded(signed: DataFrame) -> DataFrame:
+    return signed.select(F.col("__id").alias("id"), F.posexplode("bands").alias("band", "bucket"))
 
-    Null texts are empty. A text without words is alone in its class; one of one to four words makes a
-    single shingle. Classes are of texts, so rows with a null key or of a repeated key are linked as any
-    other and one row of each class is kept: of the least key, null last. row: a column that numbers the rows, stable from
-    one reading to the next, which is passed on. Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    number = F.col(row) if row else F.monotonically_increasing_id()
-    rows = docs.select(F.col(key).alias("__key"), number.alias("__row"), whole_text(text).alias("__text"))
-    # written, so that every row keeps its number
-    keyed = cut(word_digests(rows, "__text").drop("__text"))
-    folded = _numbered(cut(word_digests(rows.select("__text"), "__text").where("digest IS NOT NULL").dropDuplicates(["digest"])))
-    total = folded.count()
-    shared = spark.sparkContext.broadcast(Sampler(*common_shingles(folded, total, "__text"), max(total, 1)))
-    signed = cut(signatures(folded.select("__id", "__text"), shared, "__text"))
-    buckets = signed.select(F.col("__id").alias("id"), F.posexplode("bands").alias("band", "bucket"))
-    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    buckets = cut(buckets.join(crowded, "bucket"))
-    texts = cut(folded.select("__id", "__text").join(buckets.select(F.col("id").alias("__id")).distinct(), "__id", "left_semi"))
 
+def _linked(folded: DataFrame, signed: DataFrame, buckets: DataFrame, shared, least: float, classes: DataFrame | None = None) -> DataFrame:
+    """The classes (id, class) of the texts by the weights of `shared`, joined to the classes given."""
+    texts = cut(folded.select("__id", "__text").join(buckets.select(F.col("id").alias("__id")).distinct(), "__id", "left_semi"))
     similar, samples = F.col("similarity") >= least - 1e-9, signed.select("__id", "samples")
     scored = cut(_verify(_dealt(_leaders(buckets)), texts, shared))
-    classes = connected(scored.where(similar).select("a", "b"))
+    found = scored.where(similar).select("a", "b")
     # later links join classes: each is a star by now
     joined = lambda more: connected(classes.select(F.col("id").alias("a"), F.col("class").alias("b")).unionByName(more))
+    classes = connected(found) if classes is None else joined(found)
     missed = cut(_groups(scored.where(~similar)))
     if not missed.isEmpty():
         # the groups of leaders that missed some: their members, and the leaders themselves
@@ -438,6 +434,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         late = cut(_in_blocks(cut(placed.where("out").unionByName(inner.select(placed.columns))), texts, shared, least))
         if not late.isEmpty():
             classes = joined(late)
+    return classes
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, row: str | None = None) -> DataFrame:
+    """One row per document: key, class_id (the least key of its class), class_size, kept.
+
+    Null texts are empty. A text without words is alone in its class; one of one to four words makes a
+    single shingle. Classes are of texts, so rows with a null key or of a repeated key are linked as any
+    other and one row of each class is kept: of the least key, null last. row: a column that numbers the rows, stable from
+    one reading to the next, which is passed on. Other columns are ignored.
+    """
+    spark = docs.sparkSession
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = docs.select(F.col(key).alias("__key"), number.alias("__row"), whole_text(text).alias("__text"))
+    # written, so that every row keeps its number
+    keyed = cut(word_digests(rows, "__text").drop("__text"))
+    folded = _numbered(cut(word_digests(rows.select("__text"), "__text").where("digest IS NOT NULL").dropDuplicates(["digest"])))
+    even = spark.sparkContext.broadcast(Sampler())
+    signed = cut(signatures(folded.select("__id", "__text"), even, "__text"))
+    buckets = _banded(signed)
+    crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    classes = _linked(folded, signed, cut(buckets.join(crowded, "bucket")), even, least)
+
+    heads = folded.join(classes.select(F.col("id").alias("__id")), "__id", "left_anti")
+    votes = heads.count()
+    common = common_shingles(heads, votes, "__text")
+    if len(common[0]):
+        ranked = spark.sparkContext.broadcast(Sampler(*common, votes))
+        again = cut(signatures(folded.select("__id", "__text"), ranked, "__text", again=True))
+        signed = signed.join(again.select("__id"), "__id", "left_anti")
+        marked = _banded(again).withColumn("again", F.lit(True)).unionByName(_banded(signed).withColumn("again", F.lit(False)))
+        marked = marked.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+        crowded = marked.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("again").alias("again")).where("low < high AND again").select("bucket")
+        buckets = cut(marked.select("id", "band", "bucket").join(crowded, "bucket"))
+        classes = _linked(folded, again.unionByName(signed), buckets, ranked, least, classes)
 
     heads = cut(folded.join(classes, F.col("__id") == F.col("id"), "left").select("digest", F.coalesce("class", "__id").alias("__class")))
     placed = cut(keyed.where("digest IS NOT NULL").join(heads, "digest").select("__key", "__row", "__class"))
