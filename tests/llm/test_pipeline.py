@@ -46,3 +46,10 @@ def test_stages_drop_rows_and_not_keys(spark, tmp_path):
     assert bad not in kept and clean in kept and bad + " again" not in kept and other in kept
     kept = [r.text for r in corpus_pipeline.drop_near(spark, df, str(tmp_path)).collect()]
     assert texts[1] in kept and texts[1].upper() not in kept and clean in kept and other in kept
+
+
+def test_near_stage_drops_texts_that_differ_in_what_most_texts_hold(spark, tmp_path):
+    notice, own = words(36, 90), words(90, 91)
+    texts = [f"{own} {notice}", own, *(f"{words(60, 700 + i)} {notice}" for i in range(40))]
+    kept = {r.doc_id for r in corpus_pipeline.drop_near(spark, docs(spark, texts), str(tmp_path)).collect()}
+    assert kept == set(range(42)) - {1}
