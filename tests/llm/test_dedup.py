@@ -239,3 +239,46 @@ def test_common_shingles_are_counted_exactly(spark):
     sampler = Sampler(found, counts, 500)
     w = sampler.weights(found[[counts.argmax()]], np.ones(1))
     assert w[0] == pytest.approx((1 + math.log(10)) / (1 + math.log(100)))
+
+
+def test_edges_through_leaders_are_about_as_many_as_members(spark):
+    from tidemark.llm.near_dedup import _through_leaders
+
+    # 400 members, each found by five of eight leaders, and one pair besides
+    links = [(k, 100 + i) for i in range(400) for k in range(8) if (i + k) % 8 < 5] + [(900, 901)]
+    df = spark.createDataFrame(links, "a long, b long")
+    edges = {(r.a, r.b) for r in _through_leaders(df).collect() if r.a != r.b}
+    assert len(links) == 2001 and len(edges) <= 401 + 8 * 7
+    got = {r["id"]: r["class"] for r in connected(_through_leaders(df)).collect()}
+    assert got == {v: 0 for v in (*range(1, 8), *range(100, 500))} | {901: 900}
+
+
+def test_links_join_classes_and_not_their_members(spark):
+    from tidemark.llm.near_dedup import _dealt, _merged
+
+    # stars of 5 and 20 with 300 members each, a pair, and texts alone; of the links some stay inside a class
+    classes = [(1000 + i, 5) for i in range(300)] + [(2000 + i, 20) for i in range(300)] + [(31, 30)]
+    links = [(1000, 1000 + i) for i in range(1, 300)] + [(1007, 2009), (2009, 40), (50, 30), (31, 51)]
+    dealt = _dealt(spark.createDataFrame(links, "a long, b long"))
+    got = {r["id"]: r["class"] for r in _merged(spark.createDataFrame(classes, "id long, class long"), dealt).collect()}
+    assert got == {m: 5 for m in (20, 40, *range(1000, 1300), *range(2000, 2300))} | {31: 30, 50: 30, 51: 30}
+
+
+def test_shingles_of_a_block_are_those_of_each_text():
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm.near_dedup import Sampler, _places, _sets_of
+    from tidemark.llm.tokens import buffers, shingles
+    from tidemark.llm.tokens import words as split
+
+    texts = ["", "One", "two words", "a b c d", "a b c d e", " ".join(["again and"] * 9), None, words(90, 3), words(6, 4)]
+    for (found, counts), text in zip(_sets_of(pa.array(texts)), texts, strict=True):
+        data, offsets = buffers(pa.array([(text or "").lower()]))
+        want = np.unique(shingles(split(data, offsets)[2], WIDTH), return_counts=True)
+        assert (found == want[0]).all() and (counts == want[1]).all() and len(found) == len(want[0])
+    values = np.array([3, 7, 9], np.uint64)
+    hit, at = _places(values, np.array([9, 1, 10, 3, 9], np.uint64))
+    assert hit.tolist() == [True, False, False, True, True] and at.tolist() == [2, 0, 2]
+    sampler = Sampler(values, np.array([50, 60, 70]), 1000)
+    assert sampler.has_common(values[1:2]) and not sampler.has_common(np.array([8], np.uint64)) and not sampler.has_common(values[:0])

@@ -27,14 +27,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, whole_text
-from .tokens import buffers, mix, shingles, texts_of, words
+from .tokens import blocks, buffers, mix, shingles, texts_of, words
 
 WIDTH, RARE, BANDS, ROWS, LEAST = 5, 100, 16, 4, 0.8
 CHUNK, SQUARE, REFERENCES, SLICE, SALTS = 128, 256, 32, 2048, 32
@@ -62,14 +61,13 @@ class Sampler:
         return t, self.log_c[at] - self.r[at] * (t - self.b[at] + 1)
 
     def has_common(self, found: np.ndarray) -> bool:
-        return bool(np.isin(self.common, found).any())
+        return bool(_places(self.common, found)[0].any())
 
     def weights(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = np.ones(len(found))
         if len(self.common):
-            at = np.minimum(np.searchsorted(self.common, found), len(self.common) - 1)
-            hit = self.common[at] == found
-            w[hit] = self.idf[at[hit]]
+            hit, at = _places(self.common, found)
+            w[hit] = self.idf[at]
         return w * counts
 
     def sample(self, found: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -79,8 +77,10 @@ class Sampler:
         rows = np.arange(len(self.turn))
         for i in range(0, len(found), 4096):
             part, log_w = found[i : i + 4096], np.log(weights[i : i + 4096])
-            at = (self.turn[:, None] * part[None, :]) >> np.uint64(48)
-            time = self.usual[at]
+            at = self.turn[:, None] * part[None, :]
+            at >>= np.uint64(48)
+            at = at.view(np.int64)
+            time = self.usual.take(at, mode="clip")
             odd = np.flatnonzero(np.abs(log_w) > 1e-12)
             if len(odd):
                 time[:, odd] = self.draw(at[:, odd], log_w[None, odd])[1]
@@ -93,18 +93,41 @@ class Sampler:
         return out
 
 
-def _documents(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Each text's place, word hashes, distinct shingles and their counts."""
+def _places(values: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of found are among the sorted values, and where those stand."""
+    at = np.minimum(np.searchsorted(values, found), len(values) - 1)
+    hit = values[at] == found
+    return hit, at[hit]
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and their counts."""
+    values = np.sort(values)
+    first = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    at = np.flatnonzero(first)
+    return values[at], np.diff(at, append=len(values))
+
+
+def _runs(data: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+    """The shingles of each text of a block, in order of their places."""
+    _, _, hashes, at = words(data, bounds)
+    whole = shingles(hashes, WIDTH)
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        yield whole[i : j - WIDTH + 1] if j - i >= WIDTH else shingles(hashes[i:j], WIDTH)
+
+
+def _documents(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, np.ndarray]]:
+    """Each text's place and shingles."""
     for first, data, bounds in texts_of(batch, text):
-        _, _, hashes, at = words(data, bounds)
-        for k in range(len(at) - 1):
-            own = hashes[at[k] : at[k + 1]]
-            yield first + k, own, *np.unique(shingles(own, WIDTH), return_counts=True)
+        for k, found in enumerate(_runs(data, bounds)):
+            yield first + k, found
 
 
-def _sums(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, back = np.unique(values, return_inverse=True)
-    return found, np.bincount(back, counts, len(found)).astype(np.int64)
+def _sets_of(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's different shingles and their counts."""
+    data, offsets = buffers(pc.utf8_lower(texts))
+    return [_distinct(found) for i, j in blocks(offsets) for found in _runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
 
 
 def common_shingles(docs: DataFrame, total: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -136,8 +159,8 @@ def common_shingles(docs: DataFrame, total: int, text: str = "text") -> tuple[np
 
         seen_before, size = 0, 0
         for batch in batches:
-            for _, _, found, _ in _documents(batch, text):
-                gathered.append(found)
+            for _, found in _documents(batch, text):
+                gathered.append(found := _distinct(found)[0])
                 seen += 1
                 size += len(found)
                 if size > 2_000_000:
@@ -161,9 +184,8 @@ def common_shingles(docs: DataFrame, total: int, text: str = "text") -> tuple[np
         sought = shared.value
         counts = np.zeros(len(sought), np.int64)
         for batch in batches:
-            for _, _, found, _ in _documents(batch, text):
-                at = np.minimum(np.searchsorted(sought, found), len(sought) - 1)
-                counts[at[sought[at] == found]] += 1
+            for _, found in _documents(batch, text):
+                counts[np.unique(_places(sought, found)[1])] += 1
         some = counts > 0
         yield pa.RecordBatch.from_arrays([pa.array(sought[some].view(np.int64)), pa.array(counts[some])], ["shingle", "n"])
 
@@ -198,10 +220,11 @@ def signatures(docs: DataFrame, shared, text: str, again: bool = False) -> DataF
         for batch in batches:
             samples, keys, at = [], [], []
             lane = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
-            for k, _, found, counts in _documents(batch, text):
+            for k, found in _documents(batch, text):
                 if again and not shared.value.has_common(found):
                     continue
                 at.append(k)
+                found, counts = _distinct(found)
                 drawn = shared.value.sample(found, shared.value.weights(found, counts))
                 band = lane.copy()
                 for row in drawn.reshape(BANDS, ROWS).T:
@@ -267,9 +290,9 @@ def _verify(links: DataFrame, texts: DataFrame, shared) -> DataFrame:
         lead_at = next((i for i, x in enumerate(b) if x is None), None)
         order = [] if lead_at is None else [lead_at, *(i for i in range(len(b)) if i != lead_at)]
         out_b, out_s = [], []
-        data, offsets = buffers(pc.utf8_lower(group.column("__text")))
+        sets = _sets_of(group.column("__text"))
         for i in order:
-            found_counts = _set_of(data[offsets[i] : offsets[i + 1]])
+            found_counts = sets[i]
             if own is None:
                 own = found_counts
                 own_w = sampler.weights(*own)
@@ -284,11 +307,6 @@ def _verify(links: DataFrame, texts: DataFrame, shared) -> DataFrame:
     return lead.unionByName(rest).groupBy("a", "lot").applyInArrow(score, f"a {kind}, lot int, lots int, b {kind}, similarity double")
 
 
-def _set_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    _, _, hashes, _ = words(data, np.array([0, len(data)]))
-    return np.unique(shingles(hashes, WIDTH), return_counts=True)
-
-
 def _leaders(buckets: DataFrame) -> DataFrame:
     """Pairs of each bucket's leader and another member, once each. Three orders choose leaders."""
     turn = F.struct(F.xxhash64("id", F.pmod("band", F.lit(3))).alias("o"), F.col("id").alias("id"))
@@ -305,14 +323,14 @@ def _medoids(groups: DataFrame, samples: DataFrame) -> DataFrame:
     drawn = held.where(F.pmod(F.xxhash64("b", F.lit(11)), "n") < REFERENCES).withColumn("ref", F.lit(True)).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
     kind = groups.schema["a"].dataType.simpleString()
 
-    def agree(group: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(group["samples"]), np.uint32).reshape(len(group), -1)
-        ref, mine = sig[group["ref"].to_numpy(bool)], group[~group["ref"].to_numpy(bool)]
-        own = sig[~group["ref"].to_numpy(bool)]
-        score = sum((own == r).mean(1) for r in ref) if len(ref) else np.zeros(len(mine))
-        return pd.DataFrame({"a": mine["a"], "b": mine["b"], "score": score})
+    def agree(group: pa.Table) -> pa.Table:
+        drawn = group.column("ref").to_numpy().astype(bool)
+        sig = np.frombuffer(b"".join(group.column("samples").to_pylist()), np.uint32).reshape(len(drawn), -1)
+        own = sig[~drawn]
+        score = sum(((own == r).mean(1) for r in sig[drawn]), np.zeros(len(own)))
+        return group.filter(pa.array(~drawn)).select(["a", "b"]).append_column("score", pa.array(score, pa.float64()))
 
-    scored = drawn.unionByName(held.withColumn("ref", F.lit(False))).groupBy("a", "lot").applyInPandas(agree, f"a {kind}, b {kind}, score double")
+    scored = drawn.unionByName(held.withColumn("ref", F.lit(False))).select("a", "b", "lot", "ref", "samples").groupBy("a", "lot").applyInArrow(agree, f"a {kind}, b {kind}, score double")
     return scored.groupBy("a").agg(F.max_by("b", F.struct("score", "b")).alias("m"))
 
 
@@ -331,9 +349,7 @@ def _in_blocks(groups: DataFrame, texts: DataFrame, shared, least: float) -> Dat
 
     def compare(group: pa.Table) -> pa.Table:
         ids = group.column("b").to_pylist()
-        data, offsets = buffers(pc.utf8_lower(group.column("__text")))
-        sets = [_set_of(data[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-        links = _forest(_all_similar(sets, shared.value, least))
+        links = _forest(_all_similar(_sets_of(group.column("__text")), shared.value, least))
         return pa.table([[ids[i] for i, _ in links], [ids[j] for _, j in links]], pa.schema([("a", group.schema.field("b").type), ("b", group.schema.field("b").type)]))
 
     return among.unionByName(across).unionByName(inner).groupBy("a", "row", "col", "same").applyInArrow(compare, f"a {kind}, b {kind}")
@@ -386,8 +402,7 @@ def connected(edges: DataFrame) -> DataFrame:
     """(id, class): the least id of each connected component, by alternating large and small stars. A node of
     many edges is met in lots, as groups are."""
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    while True:
+    while not _stars(edges):
         both = _dealt(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.max("lots").alias("lots"))
         large = both.join(_spread(least), ["a", "lot"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -396,10 +411,35 @@ def connected(edges: DataFrame) -> DataFrame:
         edges = cut(
             large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         )
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("class"))
-        before = now
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("class"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node with an edge down has no other edge."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("down")))).alias("e")).select("e.*")
+    node = ends.groupBy("node").agg(F.sum("down").alias("down"), F.count("*").alias("n"))
+    return not node.agg(F.max((F.col("down") > 0) & (F.col("n") > 1))).first()[0]
+
+
+def _through_leaders(links: DataFrame) -> DataFrame:
+    """Edges with the components of the links (a, b): every member b, and its other leaders, with the least of its
+    leaders. A member has one leader a band at most, so a group of n members comes to about n edges, by however
+    many leaders it was found."""
+    met = links.groupBy("b").agg(F.collect_set("a").alias("heads")).withColumn("m", F.array_min("heads"))
+    return met.select(F.col("m").alias("b"), F.explode(F.array_union("heads", F.array("b"))).alias("a"))
+
+
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes (id, class) that the links (a, b, lot, lots) make of the classes given. Only classes that still
+    differ are joined, each as one node; the head of a class has no row of its own."""
+    heads = _groups(links).join(classes, F.col("a") == F.col("id"), "left").select("a", "lots", F.coalesce("class", "a").alias("a_class"))
+    of_b = classes.select(F.col("id").alias("b"), F.col("class").alias("b_class"))
+    pairs = links.join(_spread(heads), ["a", "lot"]).join(of_b, "b", "left").select(F.col("a_class").alias("a"), F.coalesce("b_class", "b").alias("b"))
+    tops = connected(pairs)
+    if tops.isEmpty():
+        return classes
+    moved = classes.join(tops.select(F.col("id").alias("class"), F.col("class").alias("top")), "class", "left").select("id", F.coalesce("top", "class").alias("class"))
+    return cut(moved.unionByName(tops))
 
 
 def _banded(signed: DataFrame) -> DataFrame:
@@ -411,19 +451,16 @@ def _linked(folded: DataFrame, signed: DataFrame, buckets: DataFrame, shared, le
     texts = cut(folded.select("__id", "__text").join(buckets.select(F.col("id").alias("__id")).distinct(), "__id", "left_semi"))
     similar, samples = F.col("similarity") >= least - 1e-9, signed.select("__id", "samples")
     scored = cut(_verify(_dealt(_leaders(buckets)), texts, shared))
-    found = scored.where(similar).select("a", "b")
-    # later links join classes: each is a star by now
-    joined = lambda more: connected(classes.select(F.col("id").alias("a"), F.col("class").alias("b")).unionByName(more))
-    classes = connected(found) if classes is None else joined(found)
+    found = scored.where(similar)
+    classes = connected(_through_leaders(found)) if classes is None else _merged(classes, found)
     missed = cut(_groups(scored.where(~similar)))
     if not missed.isEmpty():
         # the groups of leaders that missed some: their members, and the leaders themselves
         own = missed.select("a", F.col("a").alias("b"), _lot(F.col("a"), F.col("lots")).alias("lot"), "lots")
         groups = cut(scored.join(_spread(missed), ["a", "lot"], "left_semi").select("a", "b", "lot", "lots").unionByName(own))
         medoids = _medoids(groups, samples).join(missed, "a")
-        found = cut(_verify(_dealt(groups.join(_spread(medoids), ["a", "lot"]).where("m <> b").select(F.col("m").alias("a"), "b").distinct()), texts, shared).where(similar).select("a", "b"))
-        if not found.isEmpty():
-            classes = joined(found)
+        found = cut(_verify(_dealt(groups.join(_spread(medoids), ["a", "lot"]).where("m <> b").select(F.col("m").alias("a"), "b").distinct()), texts, shared).where(similar))
+        classes = _merged(classes, found)
         heads = missed.join(classes, F.col("a") == F.col("id"), "left").select("a", "lots", F.coalesce("class", "a").alias("a_class"))
         of_b = classes.select(F.col("id").alias("b"), F.col("class").alias("b_class"))
         placed = cut(groups.join(_spread(heads), ["a", "lot"]).join(of_b, "b", "left").select("a", "b", "lot", "lots", (F.col("a_class") != F.coalesce("b_class", "b")).alias("out")))
@@ -433,7 +470,7 @@ def _linked(folded: DataFrame, signed: DataFrame, buckets: DataFrame, shared, le
         inner = placed.where("NOT out").join(near, ["a", "b"], "left").join(_spread(apart), ["a", "lot"]).where(F.coalesce("similarity", F.lit(1.0)) <= F.col("best") + 1 - least + 1e-9)
         late = cut(_in_blocks(cut(placed.where("out").unionByName(inner.select(placed.columns))), texts, shared, least))
         if not late.isEmpty():
-            classes = joined(late)
+            classes = _merged(classes, _dealt(late))
     return classes
 
 
@@ -464,8 +501,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         ranked = spark.sparkContext.broadcast(Sampler(*common, votes))
         again = cut(signatures(folded.select("__id", "__text"), ranked, "__text", again=True))
         signed = signed.join(again.select("__id"), "__id", "left_anti")
-        marked = _banded(again).withColumn("again", F.lit(True)).unionByName(_banded(signed).withColumn("again", F.lit(False)))
-        marked = marked.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+        # written with their classes, so that the bands are laid out once
+        marked = again.select("__id", "bands", F.lit(True).alias("again")).unionByName(signed.select("__id", "bands", F.lit(False).alias("again")))
+        marked = marked.join(classes, F.col("__id") == F.col("id"), "left").select(F.col("__id").alias("id"), F.coalesce("class", "__id").alias("class"), "again", F.posexplode("bands").alias("band", "bucket"))
+        marked = cut(marked)
         crowded = marked.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("again").alias("again")).where("low < high AND again").select("bucket")
         buckets = cut(marked.select("id", "band", "bucket").join(crowded, "bucket"))
         classes = _linked(folded, again.unionByName(signed), buckets, ranked, least, classes)
