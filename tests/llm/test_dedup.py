@@ -264,6 +264,41 @@ def test_links_join_classes_and_not_their_members(spark):
     assert got == {m: 5 for m in (20, 40, *range(1000, 1300), *range(2000, 2300))} | {31: 30, 50: 30, 51: 30}
 
 
+def test_blocks_give_edges_between_classes_and_not_members(spark):
+    import numpy as np
+
+    from tidemark.llm.near_dedup import Sampler, _forest, _in_blocks
+
+    pairs = np.array([(i, j) for i in range(6) for j in range(i + 1, 6)])
+    assert sorted(_forest(pairs, [7, 7, 9, 4, 9, 7])) == [(7, 4), (9, 4)] and _forest(pairs, [3] * 6) == []
+    # 600 members that are out, of two classes, and 300 in a third; in each class texts of the other two are met
+    base = words(60, 5)
+    members = [(1, k, (100, 200, 300)[k % 3], 0, 1, k % 3 < 2) for k in range(900)]
+    groups = spark.createDataFrame(members, "a long, b long, class long, lot int, lots int, out boolean")
+    texts = spark.createDataFrame([(k, f"{base} {words(2, 1000 + k)}") for k in range(900)], "__id long, __text string")
+    found = _in_blocks(groups, texts, spark.sparkContext.broadcast(Sampler()), 0.8)
+    assert {(r.a, r.b) for r in found.collect()} == {(200, 100), (300, 100)} and found.count() == 2
+
+
+def test_a_medoid_comes_from_the_whole_group_in_one_lot_or_many(spark):
+    import numpy as np
+
+    from tidemark.llm.near_dedup import CHUNK, _medoids
+
+    # one member has what all share, most differ from it at eight places of their own, one at every place
+    rows, samples, rng = [], [], np.random.default_rng(3)
+    for a, n, lots in ((10_000, 9, 1), (20_000, 100, 1), (30_000, 3 * CHUNK, 3)):
+        for k in range(n):
+            same = np.arange(64, dtype=np.uint32)
+            at = rng.permutation(64)[: {0: 64, 1: 0}.get(k, 8)]
+            same[at] = rng.integers(1 << 20, 1 << 30, len(at))
+            rows.append((a, a + k, k % lots, lots))
+            samples.append((a + k, bytearray(same.tobytes())))
+    groups = spark.createDataFrame(rows, "a long, b long, lot int, lots int")
+    got = {r.a: r.m for r in _medoids(groups, spark.createDataFrame(samples, "__id long, samples binary")).collect()}
+    assert got == {a: a + 1 for a in (10_000, 20_000, 30_000)}
+
+
 def test_shingles_of_a_block_are_those_of_each_text():
     import numpy as np
     import pyarrow as pa

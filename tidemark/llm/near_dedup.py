@@ -317,17 +317,20 @@ def _leaders(buckets: DataFrame) -> DataFrame:
 
 def _medoids(groups: DataFrame, samples: DataFrame) -> DataFrame:
     """(a, m): of each leader's group the member whose samples agree best with those of about
-    `REFERENCES` members drawn by hash."""
-    sizes = groups.groupBy("a").agg(F.count("*").alias("n"), F.max("lots").alias("lots"))
-    held = groups.join(_spread(sizes), ["a", "lot"]).join(samples, F.col("b") == F.col("__id")).select("a", "b", "n", "lot", "lots", "samples")
-    drawn = held.where(F.pmod(F.xxhash64("b", F.lit(11)), "n") < REFERENCES).withColumn("ref", F.lit(True)).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+    `REFERENCES` members drawn by hash. A group of one lot draws them in its task; of a larger one they are sent
+    to every lot."""
+    held = groups.join(samples, F.col("b") == F.col("__id")).select("a", "b", "lot", "lots", "samples")
+    some = held.where((F.col("lots") > 1) & (F.pmod(F.xxhash64("b", F.lit(11)), F.col("lots") * CHUNK) < REFERENCES))
+    drawn = some.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).withColumn("ref", F.lit(True))
     kind = groups.schema["a"].dataType.simpleString()
 
     def agree(group: pa.Table) -> pa.Table:
         drawn = group.column("ref").to_numpy().astype(bool)
         sig = np.frombuffer(b"".join(group.column("samples").to_pylist()), np.uint32).reshape(len(drawn), -1)
-        own = sig[~drawn]
-        score = sum(((own == r).mean(1) for r in sig[drawn]), np.zeros(len(own)))
+        own, refs = sig[~drawn], sig[drawn]
+        if not len(refs):
+            refs = own[np.argsort(mix(group.column("b").to_numpy().view(np.uint64)))[:REFERENCES]]
+        score = sum(((own == r).mean(1) for r in refs), np.zeros(len(own)))
         return group.filter(pa.array(~drawn)).select(["a", "b"]).append_column("score", pa.array(score, pa.float64()))
 
     scored = drawn.unionByName(held.withColumn("ref", F.lit(False))).select("a", "b", "lot", "ref", "samples").groupBy("a", "lot").applyInArrow(agree, f"a {kind}, b {kind}, score double")
@@ -335,24 +338,25 @@ def _medoids(groups: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def _in_blocks(groups: DataFrame, texts: DataFrame, shared, least: float) -> DataFrame:
-    """Links (a, b) among groups (a, b, lot, lots, out): of every group the pairs of two members that are out,
-    and of one out and one in. A task takes a block of the square and gives a spanning forest of its links."""
+    """Pairs (a, b) of different classes that a link joins, among groups (a, b, class, lot, lots, out): compared are
+    of every group the pairs of two members that are out, and of one out and one in. A task takes a block of the
+    square and ties the classes that meet there to the least of them."""
     square = lambda c: F.ceil(F.sum(c.cast("int")) / SQUARE).cast("int")
     sizes = groups.groupBy("a").agg(square(F.col("out")).alias("outs"), square(~F.col("out")).alias("ins"), F.max("lots").alias("lots")).where("outs > 0")
-    held = groups.drop("lots").join(_spread(sizes), ["a", "lot"]).join(texts, F.col("b") == F.col("__id")).drop("__id", "lot")
-    out = held.where("out").withColumn("mine", F.pmod(F.xxhash64("b"), "outs").cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.col("outs") - 1))
-    among = out.withColumn("other", each).select("a", "b", "__text", F.least("mine", "other").alias("row"), F.greatest("mine", "other").alias("col"), F.lit(True).alias("same"))
-    across = out.where("ins > 0").withColumn("col", F.explode(F.sequence(F.lit(0), F.col("ins") - 1))).select("a", "b", "__text", F.col("mine").alias("row"), "col", F.lit(False).alias("same"))
-    inner = held.where("NOT out").withColumn("row", each).select("a", "b", "__text", "row", F.pmod(F.xxhash64("b"), "ins").cast("int").alias("col"), F.lit(False).alias("same"))
+    held = groups.drop("lots").join(_spread(sizes), ["a", "lot"]).join(texts, F.col("b") == F.col("__id"))
+    cell = lambda row, col, same: F.struct(row.alias("row"), col.alias("col"), F.lit(same).alias("same"))
+    each = lambda n, f: F.transform(F.array_repeat(F.lit(0), F.col(n)), lambda _, k: f(k))
+    mine, inner = F.pmod(F.xxhash64("b"), F.col("outs")).cast("int"), F.pmod(F.xxhash64("b"), F.greatest("ins", F.lit(1))).cast("int")
+    of_out = F.concat(each("outs", lambda k: cell(F.least(mine, k), F.greatest(mine, k), True)), each("ins", lambda k: cell(mine, k, False)))
+    cells = F.when(F.col("out"), of_out).otherwise(each("outs", lambda k: cell(k, inner, False)))
     kind = groups.schema["a"].dataType.simpleString()
 
     def compare(group: pa.Table) -> pa.Table:
-        ids = group.column("b").to_pylist()
-        links = _forest(_all_similar(_sets_of(group.column("__text")), shared.value, least))
-        return pa.table([[ids[i] for i, _ in links], [ids[j] for _, j in links]], pa.schema([("a", group.schema.field("b").type), ("b", group.schema.field("b").type)]))
+        links = _forest(_all_similar(_sets_of(group.column("__text")), shared.value, least), group.column("class").to_pylist())
+        return pa.table([[x for x, _ in links], [y for _, y in links]], pa.schema([("a", group.schema.field("class").type), ("b", group.schema.field("class").type)]))
 
-    return among.unionByName(across).unionByName(inner).groupBy("a", "row", "col", "same").applyInArrow(compare, f"a {kind}, b {kind}")
+    placed = held.select("a", "class", "__text", F.explode(cells).alias("cell")).select("a", "class", "__text", "cell.*")
+    return placed.groupBy("a", "row", "col", "same").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
 def _all_similar(sets: list, sampler: Sampler, least: float) -> np.ndarray:
@@ -381,7 +385,8 @@ def _all_similar(sets: list, sampler: Sampler, least: float) -> np.ndarray:
     return np.argwhere(np.triu(near, 1))
 
 
-def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
+def _forest(pairs: np.ndarray, classes: list) -> list[tuple[int, int]]:
+    """Every class that the pairs of places join to others, with the least of those."""
     parent: dict = {}
 
     def top(x):
@@ -389,36 +394,29 @@ def _forest(pairs: np.ndarray) -> list[tuple[int, int]]:
             parent[x] = x = parent[parent[x]]
         return x
 
-    kept = []
     for i, j in pairs.tolist():
-        x, y = top(i), top(j)
-        if x != y:
-            parent[x] = y
-            kept.append((i, j))
-    return kept
+        x, y = sorted((top(classes[i]), top(classes[j])))
+        parent[y] = x
+    return [(x, top(x)) for x in list(parent) if top(x) != x]
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(id, class): the least id of each connected component, by alternating large and small stars. A node of
-    many edges is met in lots, as groups are."""
+    """(id, class): the least id of each connected component, by alternating large and small stars. It ends when
+    no node with an edge down has another edge."""
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    while not _stars(edges):
-        both = _dealt(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.max("lots").alias("lots"))
-        large = both.join(_spread(least), ["a", "lot"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = both.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("n"))
+        # written, so that the join deals out both sides itself and Spark can split a crowded node
+        least = cut(ends.select("a", F.least("a", "b").alias("m"), ((F.col("b") < F.col("a")) & (F.col("n") > 1)).alias("open")))
+        if not least.agg(F.max("open")).first()[0]:
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("class"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # after the large star a node's edges go down only, to as many as it has different stars
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         edges = cut(
             large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         )
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("class"))
-
-
-def _stars(edges: DataFrame) -> bool:
-    """Whether every node with an edge down has no other edge."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("down")))).alias("e")).select("e.*")
-    node = ends.groupBy("node").agg(F.sum("down").alias("down"), F.count("*").alias("n"))
-    return not node.agg(F.max((F.col("down") > 0) & (F.col("n") > 1))).first()[0]
 
 
 def _through_leaders(links: DataFrame) -> DataFrame:
@@ -435,6 +433,11 @@ def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     heads = _groups(links).join(classes, F.col("a") == F.col("id"), "left").select("a", "lots", F.coalesce("class", "a").alias("a_class"))
     of_b = classes.select(F.col("id").alias("b"), F.col("class").alias("b_class"))
     pairs = links.join(_spread(heads), ["a", "lot"]).join(of_b, "b", "left").select(F.col("a_class").alias("a"), F.coalesce("b_class", "b").alias("b"))
+    return _united(classes, pairs)
+
+
+def _united(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The classes (id, class) after those that the pairs (a, b) of their heads name have been joined."""
     tops = connected(pairs)
     if tops.isEmpty():
         return classes
@@ -452,25 +455,29 @@ def _linked(folded: DataFrame, signed: DataFrame, buckets: DataFrame, shared, le
     similar, samples = F.col("similarity") >= least - 1e-9, signed.select("__id", "samples")
     scored = cut(_verify(_dealt(_leaders(buckets)), texts, shared))
     found = scored.where(similar)
-    classes = connected(_through_leaders(found)) if classes is None else _merged(classes, found)
     missed = cut(_groups(scored.where(~similar)))
-    if not missed.isEmpty():
+    apart = not missed.isEmpty()
+    if apart:
         # the groups of leaders that missed some: their members, and the leaders themselves
         own = missed.select("a", F.col("a").alias("b"), _lot(F.col("a"), F.col("lots")).alias("lot"), "lots")
         groups = cut(scored.join(_spread(missed), ["a", "lot"], "left_semi").select("a", "b", "lot", "lots").unionByName(own))
         medoids = _medoids(groups, samples).join(missed, "a")
-        found = cut(_verify(_dealt(groups.join(_spread(medoids), ["a", "lot"]).where("m <> b").select(F.col("m").alias("a"), "b").distinct()), texts, shared).where(similar))
-        classes = _merged(classes, found)
+        met = groups.join(_spread(medoids), ["a", "lot"]).where("m <> b").select(F.col("m").alias("a"), "b").distinct()
+        found = found.unionByName(cut(_verify(_dealt(met), texts, shared).where(similar)))
+    # the links of leaders and of medoids are closed together
+    classes = connected(_through_leaders(found)) if classes is None else _merged(classes, found)
+    if apart:
         heads = missed.join(classes, F.col("a") == F.col("id"), "left").select("a", "lots", F.coalesce("class", "a").alias("a_class"))
         of_b = classes.select(F.col("id").alias("b"), F.col("class").alias("b_class"))
-        placed = cut(groups.join(_spread(heads), ["a", "lot"]).join(of_b, "b", "left").select("a", "b", "lot", "lots", (F.col("a_class") != F.coalesce("b_class", "b")).alias("out")))
+        placed = groups.join(_spread(heads), ["a", "lot"]).join(of_b, "b", "left").withColumn("class", F.coalesce("b_class", "b"))
+        placed = cut(placed.select("a", "b", "class", "lot", "lots", (F.col("a_class") != F.col("class")).alias("out")))
         # of what is in, none nearer the leader than the allowed distance short of the nearest that is out
         near = scored.select("a", "b", "similarity")
-        apart = placed.where("out").join(near, ["a", "b"]).groupBy("a").agg(F.max("similarity").alias("best"), F.max("lots").alias("lots"))
-        inner = placed.where("NOT out").join(near, ["a", "b"], "left").join(_spread(apart), ["a", "lot"]).where(F.coalesce("similarity", F.lit(1.0)) <= F.col("best") + 1 - least + 1e-9)
+        best = placed.where("out").join(near, ["a", "b"]).groupBy("a").agg(F.max("similarity").alias("best"), F.max("lots").alias("lots"))
+        inner = placed.where("NOT out").join(near, ["a", "b"], "left").join(_spread(best), ["a", "lot"]).where(F.coalesce("similarity", F.lit(1.0)) <= F.col("best") + 1 - least + 1e-9)
         late = cut(_in_blocks(cut(placed.where("out").unionByName(inner.select(placed.columns))), texts, shared, least))
         if not late.isEmpty():
-            classes = _merged(classes, _dealt(late))
+            classes = _united(classes, late)
     return classes
 
 
