@@ -317,3 +317,35 @@ def test_shingles_of_a_block_are_those_of_each_text():
     assert hit.tolist() == [True, False, False, True, True] and at.tolist() == [2, 0, 2]
     sampler = Sampler(values, np.array([50, 60, 70]), 1000)
     assert sampler.has_common(values[1:2]) and not sampler.has_common(np.array([8], np.uint64)) and not sampler.has_common(values[:0])
+
+
+def test_near_texts_that_differ_in_what_few_texts_hold(spark):
+    # a notice in five of 600 texts, under one in a hundred, weighs less than what two or one have
+    notice, own = words(27, 92), words(104, 93)
+    texts = [f"{own} {notice}", own, *(f"{words(60, 2000 + i)} {notice}" for i in range(4)), *(words(60, 3000 + i) for i in range(594))]
+    idf = {n: 1 + math.log(600 / n) for n in (1, 2, 5)}
+    assert plain(texts[0], texts[1]) < 0.79 and 100 * idf[2] > 0.8 * (100 * idf[2] + 23 * idf[5] + 4 * idf[1])
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(spark, texts)).collect()}
+    assert got == {i: 0 if i <= 1 else i for i in range(600)}
+
+
+def test_rare_shingles_are_counted_exactly_and_come_back_to_their_texts(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm import near_dedup
+
+    # several parts, homes and turns of a task; one phrase is in all texts and left out as common, texts by fours don't vote
+    rng, phrases = random.Random(4), [words(9, 40 + k) for k in range(60)]
+    texts = [" ".join([words(5, 39), words(6, 4000 + i), *rng.sample(phrases, i % 4)]) for i in range(300)]
+    sets = [f for f, _ in near_dedup._sets_of(pa.array(texts))]
+    common = near_dedup._sets_of(pa.array([words(5, 39)]))[0][0]
+    df = Counter(x for i, s in enumerate(sets) if i % 4 != 1 for x in s.tolist())
+    want = {i: {x: df[x] for x in s.tolist() if df[x] > 1 and x not in common} for i, s in enumerate(sets)}
+    shared = spark.sparkContext.broadcast(near_dedup.Sampler(common, np.array([300]), 300, least=1))
+    rows = spark.createDataFrame([(i, t, i % 4 != 1) for i, t in enumerate(texts)], "__id long, __text string, voter boolean")
+    for part, home, held in ((10**7, 4096, 10**6), (5000, 40, 700)):
+        monkeypatch.setattr(near_dedup, "PART", part), monkeypatch.setattr(near_dedup, "HOME", home), monkeypatch.setattr(near_dedup, "HELD", held)
+        got = {r["__id"]: np.frombuffer(r.rare, np.uint64).reshape(2, -1) for r in near_dedup.rare_shingles(rows, shared, "__text", sum(map(len, texts)), 300).collect()}
+        assert {i: dict(zip(*v.tolist(), strict=True)) for i, v in got.items()} == {i: w for i, w in want.items() if w}
+        assert all((v[0][1:] > v[0][:-1]).all() for v in got.values())

@@ -1,14 +1,15 @@
 """Near duplicates: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 A shingle is five consecutive words of the lower-cased text. It weighs tf * idf with
-idf = 1 + ln(N / max(df, N / 100, 1)). Texts are linked in two turns. The first weighs by tf alone; its
+idf = 1 + ln(N / max(df, 1)). Texts are linked in two turns. The first weighs by tf alone; its
 classes are what votes in the second: N counts classes and df those whose least text has the shingle, so
 neither exact copies nor near copies wear down their own weights. The second turn weighs by tf * idf and
 adds links between texts whose classes still differ, so a pair is linked if either weighting accepts it.
-Both counts are exact. Only the common shingles, fewer than a hundred times a text's mean number of distinct
-shingles however large the input, are held with their counts (`common_shingles`: a first pass keeps what is
-frequent in some part, a second counts it); a rarer one has the largest idf. A text without a common shingle
-weighs the same in both turns, up to a factor, and is signed once.
+Both counts are exact, for every shingle. Those that more than a hundredth of the texts have are few however large
+the input is, and every task holds them (`common_shingles`: a first pass keeps what is frequent in some part, a
+second counts it). All others are dealt out by shingle and counted there; those that two votes or more have go
+back to their texts, with their counts, and stay beside them (`rare_shingles`). What one vote has, or none, has the
+largest idf. A text of such shingles only weighs the same in both turns, up to a factor, and is signed once.
 
 Consistent weighted sampling draws (shingle, quantum) pairs; two texts draw the same pair with a
 probability equal to their weighted Jaccard similarity. The draws r, c ~ Gamma(2, 1), b ~ U(0, 1) come
@@ -37,17 +38,19 @@ from .tokens import blocks, buffers, mix, shingles, texts_of, words
 
 WIDTH, RARE, BANDS, ROWS, LEAST = 5, 100, 16, 4, 0.8
 CHUNK, SQUARE, REFERENCES, SLICE, SALTS = 128, 256, 32, 2048, 32
+PART, HOME, HELD = 10_000_000, 4096, 2_000_000
 _DRAWS = 1 << 16
 _NONE = np.zeros(0, np.uint64)
 
 
 class Sampler:
     """Weights and samples of shingle sets under the corpus's idf, over the largest idf; by tf alone without
-    common shingles."""
+    common or rare shingles. least: the count below which idf doesn't grow."""
 
-    def __init__(self, common: np.ndarray = _NONE, counts: np.ndarray = _NONE, total: int = 1, hashes: int = BANDS * ROWS):
-        order, least = np.argsort(common), max(total / RARE, 1)
-        self.common, self.idf = common[order], (1 + np.log(total / np.maximum(counts[order], least))) / (1 + np.log(total / least))
+    def __init__(self, common: np.ndarray = _NONE, counts: np.ndarray = _NONE, total: int = 1, hashes: int = BANDS * ROWS, least: float | None = None):
+        order = np.argsort(common)
+        self.total, self.least = total, max(total / RARE, 1) if least is None else least
+        self.common, self.idf = common[order], self.idf_of(counts[order])
         rng = np.random.default_rng(20240501)
         self.r = rng.gamma(2.0, 1.0, _DRAWS)
         self.log_c = np.log(rng.gamma(2.0, 1.0, _DRAWS))
@@ -55,19 +58,27 @@ class Sampler:
         self.turn = mix(np.arange(1, hashes + 1, dtype=np.uint64)) | np.uint64(1)
         self.usual = self.draw(slice(None), 0.0)[1].astype(np.float32)
 
+    def idf_of(self, counts: np.ndarray) -> np.ndarray:
+        return (1 + np.log(self.total / np.maximum(counts, self.least))) / (1 + np.log(self.total / self.least))
+
     def draw(self, at, log_weight) -> tuple[np.ndarray, np.ndarray]:
         """The quantum and the race time (its logarithm) of draws at a weight."""
         t = np.floor(log_weight / self.r[at] + self.b[at])
         return t, self.log_c[at] - self.r[at] * (t - self.b[at] + 1)
 
     def has_common(self, found: np.ndarray) -> bool:
-        return bool(_places(self.common, found)[0].any())
+        return bool(len(self.common)) and bool(_places(self.common, found)[0].any())
 
-    def weights(self, found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def weights(self, found: np.ndarray, counts: np.ndarray | int, rare: bytes | None = None) -> np.ndarray:
+        """rare: what `rare_shingles` gives for the text."""
         w = np.ones(len(found))
         if len(self.common):
             hit, at = _places(self.common, found)
             w[hit] = self.idf[at]
+        if rare:
+            values, n = np.frombuffer(rare, np.uint64).reshape(2, -1)
+            hit, at = _places(values, found)
+            w[hit] = self.idf_of(n[at].astype(float))
         return w * counts
 
     def sample(self, found: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -130,8 +141,15 @@ def _sets_of(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return [_distinct(found) for i, j in blocks(offsets) for found in _runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
 
 
-def common_shingles(docs: DataFrame, total: int, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in more than one part in `RARE` of all documents, and in how many.
+def _weighed(group: pa.Table, sampler: Sampler) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each text's different shingles, their counts and their idf."""
+    rare = group.column("rare").to_pylist() if "rare" in group.schema.names else [None] * group.num_rows
+    return [(found, counts, sampler.weights(found, 1, r)) for (found, counts), r in zip(_sets_of(group.column("__text")), rare, strict=True)]
+
+
+def common_shingles(docs: DataFrame, total: int, text: str = "text", voters: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in more than one part in `RARE` of all documents, and in how many. With voters given: these
+    shingles and some in at least half that share, and in how many of the voters each is.
 
     Such a shingle is in half that share of the documents of some part at least, or the parts together
     could not reach it. So each part (by lossy counting, in bounded memory) sends what reaches half; of
@@ -189,14 +207,94 @@ def common_shingles(docs: DataFrame, total: int, text: str = "text") -> tuple[np
         some = counts > 0
         yield pa.RecordBatch.from_arrays([pa.array(sought[some].view(np.int64)), pa.array(counts[some])], ["shingle", "n"])
 
-    exact = (
-        docs.select(text).mapInArrow(counted, "shingle long, n long")
-        .groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > total / RARE).toPandas()
-    )
+    exact = (docs if voters is None else voters).select(text).mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    exact = exact.where(F.col("n") > total / RARE if voters is None else F.lit(True)).toPandas()
     shared.unpersist()
+    if voters is not None:
+        counts = np.zeros(len(wanted), np.int64)
+        counts[np.searchsorted(wanted, exact["shingle"].to_numpy(np.int64, copy=True).view(np.uint64))] = exact["n"].to_numpy(np.int64)
+        return wanted, counts
     return exact["shingle"].to_numpy(np.int64, copy=True).view(np.uint64), exact["n"].to_numpy(np.int64)
 
 
+def _packed(part: np.ndarray, parts: int, ids: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """A row for each part: its number, the ids, how many rows in turn have each, and the columns, as bytes. ids: of
+    each row, those of a text in succession."""
+    order = np.argsort(part, kind="stable")
+    bounds = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(bounds)).tolist():
+        at = order[bounds[p] : bounds[p + 1]]
+        own = ids[at]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        yield p, own[first].tobytes(), np.diff(first, append=len(own)).astype(np.int32).tobytes(), *(c[at].tobytes() for c in columns)
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    """`_packed` rows as a batch."""
+    kinds = [pa.int32(), *[pa.binary()] * (len(names) - 1)]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+
+def _unpacked(group: pa.Table, **kinds) -> list[np.ndarray]:
+    """The ids of the rows in all of a group's `_packed` rows, and the columns by name and kind."""
+    whole = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
+    return [np.repeat(whole("ids", np.int64), whole("sizes", np.int32)), *(whole(*c) for c in kinds.items())]
+
+
+def rare_shingles(docs: DataFrame, shared, text: str, size: int, total: int) -> DataFrame:
+    """(__id, rare) of the texts that have shingles which two voters or more have: those shingles in order, then the
+    numbers of voters. The common shingles of the sampler are left out. docs: __id, the text, and whether it is a
+    voter; size: bytes of all texts; total: their number.
+
+    Every shingle goes once to its part and, if it is in two voters, once back. A part has about `PART` bytes of text
+    and a shingle adds to it a hundredth of the texts at most, as what is in more of them is common.
+    """
+    parts, homes = max(1, -(-size // PART)), max(1, -(-total // HOME))
+    home = lambda ids: (mix(ids.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+
+    def sent(batches):
+        for batch in batches:
+            ids, votes = batch.column("__id").to_numpy(zero_copy_only=False), batch.column("voter").to_numpy(zero_copy_only=False)
+            found, at, held = [], [], 0
+
+            def dealt():
+                values, rows = np.concatenate(found), np.repeat(at, [len(x) for x in found])
+                packed = _packed((values % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64), parts, ids[rows], values, votes[rows].astype(np.uint8))
+                return _batch(list(packed), ["part", "ids", "sizes", "shingles", "votes"])
+
+            for k, of_text in _documents(batch, text):
+                of_text = _distinct(of_text)[0]
+                if len(shared.value.common):
+                    of_text = of_text[~_places(shared.value.common, of_text)[0]]
+                found.append(of_text), at.append(k)
+                held += len(of_text)
+                if held > HELD:
+                    yield dealt()
+                    found, at, held = [], [], 0
+            if held:
+                yield dealt()
+
+    def counted(group: pa.Table) -> pa.Table:
+        ids, found, votes = _unpacked(group, shingles=np.uint64, votes=np.uint8)
+        values, at = np.unique(found, return_inverse=True)
+        n = np.bincount(at[votes > 0], minlength=len(values))[at]
+        hit = n > 1
+        ids, found, n = ids[hit], found[hit], n[hit].astype(np.int64)
+        return pa.Table.from_batches([_batch(list(_packed(home(ids), homes, ids, found, n)), ["home", "ids", "sizes", "shingles", "n"])])
+
+    def gathered(group: pa.Table) -> pa.Table:
+        ids, found, n = _unpacked(group, shingles=np.uint64, n=np.int64)
+        order = np.lexsort((found, ids))
+        ids, found, n = ids[order], found[order], n[order].view(np.uint64)
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        rare = [found[i:j].tobytes() + n[i:j].tobytes() for i, j in zip(first, np.append(first[1:], len(ids)), strict=True)]
+        return pa.table([pa.array(ids[first]), pa.array(rare, pa.binary())], ["__id", "rare"])
+
+    there = docs.select("__id", text, "voter").mapInArrow(sent, "part int, ids binary, sizes binary, shingles binary, votes binary")
+    back = there.groupBy("part").applyInArrow(counted, "home int, ids binary, sizes binary, shingles binary, n binary")
+    return back.groupBy("home").applyInArrow(gathered, "__id long, rare binary")
+
+
 def word_digests(docs: DataFrame, text: str) -> DataFrame:
     """The rows with a digest of their words, null where there are none, in a new column `digest`."""
     held = docs.columns
@@ -213,19 +311,20 @@ def word_digests(docs: DataFrame, text: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, shared, text: str, again: bool = False) -> DataFrame:
-    """__id, the samples (32 bits each) and the keys of the bands. again: only of texts with a common shingle,
-    as the others have those of the turn without idf."""
+    """__id, the samples (32 bits each) and the keys of the bands. again: only of texts with a shingle that two voters
+    have (common, or in the column `rare`), as the others have those of the turn without idf."""
 
     def signed(batches):
         for batch in batches:
             samples, keys, at = [], [], []
             lane = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+            rare = batch.column("rare").to_pylist() if again else [None] * batch.num_rows
             for k, found in _documents(batch, text):
-                if again and not shared.value.has_common(found):
+                if again and not rare[k] and not shared.value.has_common(found):
                     continue
                 at.append(k)
                 found, counts = _distinct(found)
-                drawn = shared.value.sample(found, shared.value.weights(found, counts))
+                drawn = shared.value.sample(found, shared.value.weights(found, counts, rare[k]))
                 band = lane.copy()
                 for row in drawn.reshape(BANDS, ROWS).T:
                     band = mix(band ^ row) + row
@@ -279,26 +378,26 @@ def _verify(links: DataFrame, texts: DataFrame, shared) -> DataFrame:
     no task.
     """
     kind = texts.schema["__id"].dataType.simpleString()
+    of_text = [c for c in texts.columns if c != "__id"]
     lead = _groups(links).join(texts, F.col("a") == F.col("__id")).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
-    lead = lead.select("a", "lot", "lots", F.lit(None).cast(kind).alias("b"), "__text")
-    rest = links.join(texts, F.col("b") == F.col("__id")).select("a", "lot", "lots", "b", "__text")
+    lead = lead.select("a", "lot", "lots", F.lit(None).cast(kind).alias("b"), *of_text)
+    rest = links.join(texts, F.col("b") == F.col("__id")).select("a", "lot", "lots", "b", *of_text)
 
     def score(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        sampler, own = shared.value, None
+        own = None
         b = group.column("b").to_pylist()
         lead_at = next((i for i, x in enumerate(b) if x is None), None)
         order = [] if lead_at is None else [lead_at, *(i for i in range(len(b)) if i != lead_at)]
         out_b, out_s = [], []
-        sets = _sets_of(group.column("__text"))
+        sets = _weighed(group, shared.value)
         for i in order:
-            found_counts = sets[i]
+            found, counts, idf = sets[i]
             if own is None:
-                own = found_counts
-                own_w = sampler.weights(*own)
+                own, own_w = found, idf * counts
                 continue
-            w = sampler.weights(*found_counts)
-            _, x, y = np.intersect1d(own[0], found_counts[0], assume_unique=True, return_indices=True)
+            w = idf * counts
+            _, x, y = np.intersect1d(own, found, assume_unique=True, return_indices=True)
             low = np.minimum(own_w[x], w[y]).sum()
             out_b.append(b[i]), out_s.append(float(low / (own_w.sum() + w.sum() - low)))
         whole = {c: group.column(c)[:1].to_pylist() * len(out_b) for c in ("a", "lot", "lots")}
@@ -352,21 +451,22 @@ def _in_blocks(groups: DataFrame, texts: DataFrame, shared, least: float) -> Dat
     kind = groups.schema["a"].dataType.simpleString()
 
     def compare(group: pa.Table) -> pa.Table:
-        links = _forest(_all_similar(_sets_of(group.column("__text")), shared.value, least), group.column("class").to_pylist())
+        links = _forest(_all_similar(_weighed(group, shared.value), least), group.column("class").to_pylist())
         return pa.table([[x for x, _ in links], [y for _, y in links]], pa.schema([("a", group.schema.field("class").type), ("b", group.schema.field("class").type)]))
 
-    placed = held.select("a", "class", "__text", F.explode(cells).alias("cell")).select("a", "class", "__text", "cell.*")
+    of_text = [c for c in texts.columns if c != "__id"]
+    placed = held.select("a", "class", *of_text, F.explode(cells).alias("cell")).select("a", "class", *of_text, "cell.*")
     return placed.groupBy("a", "row", "col", "same").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
-def _all_similar(sets: list, sampler: Sampler, least: float) -> np.ndarray:
+def _all_similar(sets: list, least: float) -> np.ndarray:
     """Pairs of sets at least so similar, by exact weighted Jaccard over slices of the shared shingles. A
     shingle that a text has n times counts as n of them."""
     many, weights = [], []
-    for found, counts in sets:
+    for found, counts, idf in sets:
         times = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         many.append(np.where(times > 0, mix(np.repeat(found, counts) + times.astype(np.uint64)), np.repeat(found, counts)))
-        weights.append(np.repeat(sampler.weights(found, np.ones(len(found))), counts))
+        weights.append(np.repeat(idf, counts))
     rows = np.repeat(np.arange(len(sets)), [len(x) for x in many])
     totals = np.array([w.sum() for w in weights])
     _, cols, seen = np.unique(np.concatenate(many), return_inverse=True, return_counts=True)
@@ -451,7 +551,7 @@ def _banded(signed: DataFrame) -> DataFrame:
 
 def _linked(folded: DataFrame, signed: DataFrame, buckets: DataFrame, shared, least: float, classes: DataFrame | None = None) -> DataFrame:
     """The classes (id, class) of the texts by the weights of `shared`, joined to the classes given."""
-    texts = cut(folded.select("__id", "__text").join(buckets.select(F.col("id").alias("__id")).distinct(), "__id", "left_semi"))
+    texts = cut(folded.drop("digest").join(buckets.select(F.col("id").alias("__id")).distinct(), "__id", "left_semi"))
     similar, samples = F.col("similarity") >= least - 1e-9, signed.select("__id", "samples")
     scored = cut(_verify(_dealt(_leaders(buckets)), texts, shared))
     found = scored.where(similar)
@@ -501,12 +601,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     classes = _linked(folded, signed, cut(buckets.join(crowded, "bucket")), even, least)
 
-    heads = folded.join(classes.select(F.col("id").alias("__id")), "__id", "left_anti")
-    votes = heads.count()
-    common = common_shingles(heads, votes, "__text")
-    if len(common[0]):
-        ranked = spark.sparkContext.broadcast(Sampler(*common, votes))
-        again = cut(signatures(folded.select("__id", "__text"), ranked, "__text", again=True))
+    # a class has a row for each text but its head
+    total, size = folded.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()
+    votes = total - classes.count()
+    others = classes.select(F.col("id").alias("__id"), F.lit(False).alias("voter"))
+    common = common_shingles(folded, total, "__text", folded.join(others, "__id", "left_anti"))
+    ranked = spark.sparkContext.broadcast(Sampler(*common, max(votes, 1), least=1))
+    voting = folded.select("__id", "__text").join(others, "__id", "left").withColumn("voter", F.coalesce("voter", F.lit(True)))
+    rare = cut(rare_shingles(voting, ranked, "__text", size, total))
+    if len(common[0]) or not rare.isEmpty():
+        weighed = folded.join(rare, "__id", "left")
+        again = cut(signatures(weighed.select("__id", "__text", "rare"), ranked, "__text", again=True))
         signed = signed.join(again.select("__id"), "__id", "left_anti")
         # written with their classes, so that the bands are laid out once
         marked = again.select("__id", "bands", F.lit(True).alias("again")).unionByName(signed.select("__id", "bands", F.lit(False).alias("again")))
@@ -514,7 +619,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
         marked = cut(marked)
         crowded = marked.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("again").alias("again")).where("low < high AND again").select("bucket")
         buckets = cut(marked.select("id", "band", "bucket").join(crowded, "bucket"))
-        classes = _linked(folded, again.unionByName(signed), buckets, ranked, least, classes)
+        classes = _linked(weighed, again.unionByName(signed), buckets, ranked, least, classes)
 
     heads = cut(folded.join(classes, F.col("__id") == F.col("id"), "left").select("digest", F.coalesce("class", "__id").alias("__class")))
     placed = cut(keyed.where("digest IS NOT NULL").join(heads, "digest").select("__key", "__row", "__class"))
